@@ -105,3 +105,217 @@ def q_cluster_mean_distance(spark, sf):
 def q_cluster_members(spark, sf):
     """Members per given label with their prompt, position in id order."""
     return C.cluster_members(T.vectors(spark, sf).select("id", "label"), T.prompts(spark, sf))
+
+
+# ---------------------------------------------------------------- corpus scores
+
+def _corpus_method(method):
+    def q(spark, sf):
+        from embedscope.operators.scoring import corpus_scores
+        return corpus_scores(T.queries(spark, sf), T.corpus(spark, sf), method=method, top_k=5)
+    q.__doc__ = f"Q4: mean of the 5 smallest {method} distances from each query vector " \
+                f"(label >= 5) to the corpus (label < 5), normalised."
+    return q
+
+
+for _m in ("cosine", "euclidean", "manhattan", "faiss_cosine", "faiss_l2"):
+    register(f"corpus_score_{_m}")(_corpus_method(_m))
+
+
+@register("corpus_score_raw")
+def q_corpus_score_raw(spark, sf):
+    """Q4 without normalisation, k = 7, euclidean."""
+    from embedscope.operators.scoring import corpus_scores
+    return corpus_scores(T.queries(spark, sf), T.corpus(spark, sf), method="euclidean",
+                         top_k=7, normalize=False)
+
+
+@register("score_distribution")
+def q_score_distribution(spark, sf):
+    """A5 over the cosine corpus scores, threshold 0.5 (exact quantiles)."""
+    from embedscope.operators.scoring import corpus_scores, distribution
+    s = corpus_scores(T.queries(spark, sf), T.corpus(spark, sf), method="cosine")
+    return distribution(s, threshold=0.5)
+
+
+# ---------------------------------------------------------------- consistency
+
+def _response_prompts(spark, sf):
+    ids = T.responses(spark, sf).select("id").distinct()
+    return ids.join(T.prompts(spark, sf), "id", "left")
+
+
+def _consistency(spark, sf):
+    from embedscope.operators.consistency import prompt_consistency
+    return prompt_consistency(_response_prompts(spark, sf), T.responses(spark, sf))
+
+
+@register("consistency")
+def q_consistency(spark, sf):
+    """Q5 (J3, A6-A9, W2): consistency of the five responses of each prompt."""
+    return _consistency(spark, sf)
+
+
+@register("consistency_batch")
+def q_consistency_batch(spark, sf):
+    """A10: batch statistics of the consistency table."""
+    from embedscope.operators.consistency import batch_statistics
+    return batch_statistics(_consistency(spark, sf))
+
+
+@register("perturbation_sweep")
+def q_perturbation_sweep(spark, sf):
+    """Q6: five hashed-Gaussian perturbations per vector at noise 0.05, 0.1,
+    0.2; batch consistency per level."""
+    from embedscope.operators.consistency import perturbation_sweep
+    return perturbation_sweep(T.vectors(spark, sf).select("id", "embedding"))
+
+
+# ---------------------------------------------------------------- agreement
+
+def _agreement_dists(spark, sf):
+    from embedscope.operators.agreement import pair_distances
+    return pair_distances(T.models(spark, sf), names=list(T.MODEL_NAMES), check=False)
+
+
+@register("agreement_pairs")
+def q_agreement_pairs(spark, sf):
+    """A11 (J4, J5): agreement of each model pair."""
+    from embedscope.operators.agreement import pairwise_agreement
+    return pairwise_agreement(_agreement_dists(spark, sf))
+
+
+@register("agreement_global")
+def q_agreement_global(spark, sf):
+    """Global agreement over the model pairs."""
+    from embedscope.operators.agreement import global_agreement, pairwise_agreement
+    return global_agreement(pairwise_agreement(_agreement_dists(spark, sf)))
+
+
+def _prompt_agreement(spark, sf):
+    from embedscope.operators.agreement import prompt_agreement
+    prompts = T.vectors(spark, sf).select("id").join(T.prompts(spark, sf), "id")
+    return prompt_agreement(_agreement_dists(spark, sf), prompts)
+
+
+@register("agreement_prompts")
+def q_agreement_prompts(spark, sf):
+    """Agreement per prompt over model pairs, ranked."""
+    return _prompt_agreement(spark, sf)
+
+
+@register("agreement_matrix")
+def q_agreement_matrix(spark, sf):
+    """A14 + P15: agreement matrix with diagonal and band."""
+    from embedscope.operators.agreement import agreement_matrix, pairwise_agreement
+    return agreement_matrix(pairwise_agreement(_agreement_dists(spark, sf)), list(T.MODEL_NAMES))
+
+
+# ---------------------------------------------------------------- fusion
+
+def _combined(spark, sf):
+    from embedscope.operators.consistency import response_metrics
+    from embedscope.operators.fusion import combine_scores
+    v = T.vectors(spark, sf)
+    prompts = T.prompts(spark, sf)
+    listed = v.select("id").join(prompts, "id")
+    man = (C.ManifoldModel(C.centres(v)).distances(v.select("id", "embedding"))
+           .join(prompts, "id"))
+    cons = response_metrics(T.responses(spark, sf)).join(prompts, "id")
+    agr = _prompt_agreement(spark, sf)
+    return combine_scores(listed, man, cons, agr)
+
+
+@register("combined")
+def q_combined(spark, sf):
+    """Q8 (J6, W1): weighted fusion of manifold, consistency and agreement
+    by prompt text, ranked."""
+    return _combined(spark, sf)
+
+
+@register("combined_stats")
+def q_combined_stats(spark, sf):
+    """A4 over the combined scores."""
+    from embedscope.operators.fusion import combined_statistics
+    return combined_statistics(_combined(spark, sf))
+
+
+@register("combined_top5")
+def q_combined_top5(spark, sf):
+    """Five most likely hallucinations."""
+    from embedscope.operators.ranking import top_k
+    return top_k(_combined(spark, sf).select("id", "prompt", "combined_score"),
+                 [F.col("combined_score").desc(), F.col("id")], 5, "position")
+
+
+@register("combined_bottom5")
+def q_combined_bottom5(spark, sf):
+    """Last five of the ranking, in ranking order, renumbered."""
+    from embedscope.operators.ranking import last_k
+    return last_k(_combined(spark, sf).select("id", "prompt", "combined_score"),
+                  [F.col("combined_score").desc(), F.col("id")],
+                  [F.col("combined_score").asc(), F.col("id").desc()], 5)
+
+
+# ---------------------------------------------------------------- comparison
+
+def _long_scores(spark, sf):
+    from embedscope.operators.compare import long_scores
+    from embedscope.operators.scoring import corpus_scores
+    q, c = T.queries(spark, sf), T.corpus(spark, sf)
+    prompts = T.prompts(spark, sf)
+    frames = {m: corpus_scores(q, c, method=m).join(prompts, "id")
+              for m in ("cosine", "euclidean", "manhattan", "faiss_cosine")}
+    return long_scores(frames)
+
+
+@register("method_stats")
+def q_method_stats(spark, sf):
+    """Q12/A20 (U1): per-method statistics of the long score table."""
+    from embedscope.operators.compare import method_statistics
+    return method_statistics(_long_scores(spark, sf))
+
+
+@register("method_correlation")
+def q_method_correlation(spark, sf):
+    """A21 (J11, U2): correlation of cosine and manhattan scores on common
+    prompts, last value winning."""
+    from embedscope.operators.compare import method_correlation
+    return method_correlation(_long_scores(spark, sf), "cosine", "manhattan")
+
+
+@register("score_histogram")
+def q_score_histogram(spark, sf):
+    """20-bin histogram per method."""
+    from embedscope.operators.compare import histogram
+    return histogram(_long_scores(spark, sf), bins=20)
+
+
+@register("score_boxplot")
+def q_score_boxplot(spark, sf):
+    """Box-plot statistics per method (exact quartiles)."""
+    from embedscope.operators.compare import box_stats
+    return box_stats(_long_scores(spark, sf))
+
+
+# ---------------------------------------------------------------- row-wise functions
+
+@register("vector_ops")
+def q_vector_ops(spark, sf):
+    """Row-wise vector functions of each
+    vector against its reversed copy."""
+    from embedscope.functions import vectors as V
+    v = T.vectors(spark, sf).join(T.prompts(spark, sf), "id", "left")
+    a, b = F.col("embedding"), F.reverse("embedding")
+    cos = V.cosine_distance(a, b)
+    return v.select(
+        "id", V.dot(a, b).alias("dot"), V.norm(a).alias("norm"),
+        V.norm(V.normalize(a)).alias("unit_norm"),
+        V.cosine_distance_raw(a, b).alias("cos_raw"), cos.alias("cos_lib"),
+        V.euclidean_distance(a, b).alias("euclid"), V.sq_euclidean_distance(a, b).alias("sq_euclid"),
+        V.manhattan_distance(a, b).alias("manhattan"), V.ip_distance(a, b).alias("ip_dist"),
+        V.invert(cos).alias("similarity"), V.dim(a).alias("dim"),
+        V.agreement_band(V.invert(cos) + F.lit(0.75)).alias("band"),
+        V.shorten("prompt", 30).alias("short"),
+        V.pair_name(F.lit("raw"), F.lit("reversed")).alias("pair"),
+        V.cluster_key("label").alias("cluster"))

@@ -139,3 +139,267 @@ SELECT CAST(label AS BIGINT) AS label, vec_id AS id, d.text AS prompt,
        CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS position
 FROM embeddings LEFT JOIN documents d ON d.doc_id = vec_id
 """
+
+# ---------------------------------------------------------------- corpus scores
+
+QV = "qv AS (SELECT * FROM v WHERE label >= 5)"
+CV = "cv AS (SELECT * FROM v WHERE label < 5)"
+_DIST = {
+    "cosine": cos_lib("q.e", "c.e"),
+    "euclidean": "list_distance(q.e, c.e)",
+    "manhattan": "list_sum(list_transform(q.e, lambda x, i: abs(x - c.e[i])))",
+    "faiss_cosine": ("1.0 - list_dot_product(list_transform(q.e, lambda x: x / sqrt(list_dot_product(q.e, q.e))), "
+                     "list_transform(c.e, lambda x: x / sqrt(list_dot_product(c.e, c.e))))"),
+    "faiss_l2": "list_dot_product(list_transform(q.e, lambda x, i: x - c.e[i]), list_transform(q.e, lambda x, i: x - c.e[i]))",
+}
+_NORM = {
+    "cosine": "least(s, 1.0)", "faiss_cosine": "least(s, 1.0)",
+    "euclidean": "least(s / (2.0 * sqrt(dim)), 1.0)", "faiss_l2": "least(s / (2.0 * sqrt(dim)), 1.0)",
+    "manhattan": "least(s / (2.0 * dim), 1.0)",
+}
+
+
+def corpus_sql(method: str, k: int = 5, normalize: bool = True) -> str:
+    score = _NORM[method] if normalize else "s"
+    return f"""{V}, {QV}, {CV},
+pd AS (SELECT q.id, len(q.e) AS dim, {_DIST[method]} AS d,
+              row_number() OVER (PARTITION BY q.id ORDER BY {_DIST[method]}, c.id) AS nn
+       FROM qv q, cv c),
+sc AS (SELECT id, any_value(dim) AS dim, avg(d) AS s FROM pd WHERE nn <= {k} GROUP BY id),
+scored AS (SELECT id, {score} AS score FROM sc)"""
+
+
+for _m in ("cosine", "euclidean", "manhattan", "faiss_cosine", "faiss_l2"):
+    ORACLES[f"corpus_score_{_m}"] = f"WITH {corpus_sql(_m)} SELECT id, {r('score')} AS score FROM scored"
+
+ORACLES["corpus_score_raw"] = (f"WITH {corpus_sql('euclidean', 7, False)} "
+                               f"SELECT id, {r('score')} AS score FROM scored")
+
+ORACLES["score_distribution"] = f"""WITH {corpus_sql('cosine')}
+SELECT {r('avg(score)')} AS mean, {r('stddev_pop(score)')} AS std, {r('min(score)')} AS min,
+       {r('max(score)')} AS max, {r('quantile_cont(score, 0.5)')} AS median,
+       {r('quantile_cont(score, 0.25)')} AS percentile_25, {r('quantile_cont(score, 0.75)')} AS percentile_75,
+       {r('quantile_cont(score, 0.9)')} AS percentile_90, {r('quantile_cont(score, 0.95)')} AS percentile_95,
+       CAST(count(*) FILTER (WHERE score > 0.5) AS BIGINT) AS above_threshold,
+       CAST(count(*) FILTER (WHERE score <= 0.5) AS BIGINT) AS below_threshold, 0.5 AS threshold
+FROM scored"""
+
+# ---------------------------------------------------------------- consistency
+
+RS = "rs AS (SELECT id // 5 AS id, id % 5 AS rid, e FROM v)"
+
+
+def consistency_cte(src: str = "rs", key: str = "id") -> str:
+    return f"""
+cpd AS (SELECT a.{key} AS k, {cos_lib('a.e', 'b.e')} AS d FROM {src} a
+        JOIN {src} b ON a.{key} = b.{key} AND a.rid <> b.rid),
+cps AS (SELECT k, avg(d) AS m, stddev_pop(d) AS s, max(d) AS mx, min(d) AS mn FROM cpd GROUP BY k),
+cfv AS (SELECT k, i, var_pop(x) AS vp FROM (SELECT {key} AS k, unnest(e) AS x,
+        unnest(generate_series(1, len(e))) AS i FROM {src}) GROUP BY k, i),
+cfe AS (SELECT k, avg(vp) AS ev, -sum(((vp + 1e-8) / t) * ln((vp + 1e-8) / t)) AS ee
+        FROM (SELECT k, vp, sum(vp + 1e-8) OVER (PARTITION BY k) AS t FROM cfv) GROUP BY k),
+ccn AS (SELECT {key} AS k, count(*) AS n FROM {src} GROUP BY {key}),
+cm AS (SELECT ccn.k, ccn.n,
+         CASE WHEN n >= 2 THEN m END AS mean_pairwise_distance,
+         CASE WHEN n >= 2 THEN s END AS std_pairwise_distance,
+         CASE WHEN n >= 2 THEN mx END AS max_pairwise_distance,
+         CASE WHEN n >= 2 THEN mn END AS min_pairwise_distance,
+         CASE WHEN n >= 2 THEN ev END AS embedding_variance,
+         CASE WHEN n >= 2 THEN ee END AS embedding_entropy,
+         CASE WHEN n >= 2 THEN 1.0 - m END AS consistency_score
+       FROM ccn LEFT JOIN cps ON cps.k = ccn.k LEFT JOIN cfe ON cfe.k = ccn.k)"""
+
+
+CONS = f"""{V}, {RS}, {consistency_cte()},
+cons AS (SELECT cm.k AS id, d.text AS prompt, CAST(cm.n AS BIGINT) AS n_responses, mean_pairwise_distance,
+           std_pairwise_distance, max_pairwise_distance, min_pairwise_distance, embedding_variance,
+           embedding_entropy, consistency_score,
+           CAST(row_number() OVER (ORDER BY coalesce(consistency_score, 0.0), cm.k) AS BIGINT) AS rank
+         FROM cm LEFT JOIN documents d ON d.doc_id = cm.k)"""
+
+ORACLES["consistency"] = f"""WITH {CONS}
+SELECT id, prompt, n_responses, {r('mean_pairwise_distance')} AS mean_pairwise_distance,
+  {r('std_pairwise_distance')} AS std_pairwise_distance, {r('max_pairwise_distance')} AS max_pairwise_distance,
+  {r('min_pairwise_distance')} AS min_pairwise_distance, {r('embedding_variance')} AS embedding_variance,
+  {r('embedding_entropy')} AS embedding_entropy, {r('consistency_score')} AS consistency_score, rank
+FROM cons"""
+
+BATCH = """CAST(count(*) AS BIGINT) AS n_prompts,
+  {mc} AS mean_consistency, {sc} AS std_consistency, {mv} AS mean_embedding_variance,
+  {sv} AS std_embedding_variance""".format(
+    mc=r("coalesce(avg(consistency_score), 0.0)"), sc=r("coalesce(stddev_pop(consistency_score), 0.0)"),
+    mv=r("coalesce(avg(embedding_variance), 0.0)"), sv=r("coalesce(stddev_pop(embedding_variance), 0.0)"))
+
+ORACLES["consistency_batch"] = f"WITH {CONS} SELECT {BATCH} FROM cons"
+
+
+def _u(tag: str) -> str:
+    key = "concat_ws(':', '42', CAST(p.lvl AS VARCHAR), CAST(p.id AS VARCHAR), CAST(p.rid AS VARCHAR), " \
+          f"CAST(i - 1 AS VARCHAR), '{tag}')"
+    return f"((CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) + 0.5) / 4294967296.0)"
+
+
+ORACLES["perturbation_sweep"] = f"""WITH {V},
+p AS (SELECT l.lvl, v.id, r.rid, v.e, sqrt(list_dot_product(v.e, v.e)) AS n0
+      FROM v, (SELECT unnest([0.05, 0.1, 0.2]::DOUBLE[]) AS lvl) l, (SELECT unnest(range(5)) AS rid) r),
+pn AS (SELECT p.lvl, p.id, p.rid, p.n0,
+         list_transform(p.e, lambda x, i: x + p.lvl * sqrt(-2.0 * ln({_u('a')})) * cos(2.0 * pi() * {_u('b')})) AS pe
+       FROM p),
+ps AS (SELECT lvl, CAST(lvl AS VARCHAR) || '#' || CAST(id AS VARCHAR) AS gk, rid,
+         CASE WHEN sqrt(list_dot_product(pe, pe)) = 0 THEN pe
+              ELSE list_transform(pe, lambda x: x / sqrt(list_dot_product(pe, pe)) * n0) END AS e
+       FROM pn),
+{consistency_cte('ps', 'gk')},
+lv AS (SELECT DISTINCT gk, lvl FROM ps)
+SELECT lv.lvl AS noise_level, {BATCH}
+FROM cm JOIN lv ON lv.gk = cm.k GROUP BY lv.lvl"""
+
+# ---------------------------------------------------------------- agreement
+
+MODELS = f"""{PL},
+m AS (SELECT 'raw' AS model, 0 AS pos, id, e FROM v
+      UNION ALL SELECT 'reversed', 1, id, list_reverse(e) FROM v
+      UNION ALL SELECT 'planted', 2, id, e FROM pl),
+apd AS (SELECT a.id, a.model AS model1, b.model AS model2, {cos_lib('a.e', 'b.e')} AS distance
+        FROM m a JOIN m b ON a.id = b.id AND a.pos < b.pos),
+ap AS (SELECT model1, model2, avg(distance) AS mean_distance, stddev_pop(distance) AS std_distance,
+         max(distance) AS max_distance, min(distance) AS min_distance, 1.0 - avg(distance) AS agreement_score,
+         count(*) AS n_prompts FROM apd GROUP BY model1, model2)"""
+
+ORACLES["agreement_pairs"] = f"""WITH {V}, {MODELS}
+SELECT model1, model2, {r('mean_distance')} AS mean_distance, {r('std_distance')} AS std_distance,
+  {r('max_distance')} AS max_distance, {r('min_distance')} AS min_distance,
+  {r('agreement_score')} AS agreement_score, CAST(n_prompts AS BIGINT) AS n_prompts,
+  model1 || '_vs_' || model2 AS pair
+FROM ap"""
+
+ORACLES["agreement_global"] = f"""WITH {V}, {MODELS}
+SELECT CAST(count(*) AS BIGINT) AS n_model_pairs, {r('avg(agreement_score)')} AS mean_agreement,
+  {r('stddev_pop(agreement_score)')} AS std_agreement, {r('min(agreement_score)')} AS min_agreement,
+  {r('max(agreement_score)')} AS max_agreement, {r('avg(mean_distance)')} AS mean_distance,
+  {r('stddev_pop(mean_distance)')} AS std_distance
+FROM ap"""
+
+PAGR = f"""{MODELS},
+pa AS (SELECT v.id, d.text AS prompt, 1.0 - coalesce(avg(distance), 0.0) AS agreement_score,
+         coalesce(avg(distance), 0.0) AS mean_distance, coalesce(stddev_pop(distance), 0.0) AS std_distance,
+         coalesce(max(distance), 0.0) AS max_distance, count(distance) AS n_model_pairs
+       FROM v JOIN documents d ON d.doc_id = v.id LEFT JOIN apd ON apd.id = v.id
+       GROUP BY v.id, d.text),
+par AS (SELECT *, row_number() OVER (ORDER BY agreement_score, id) AS rank FROM pa)"""
+
+ORACLES["agreement_prompts"] = f"""WITH {V}, {PAGR}
+SELECT id, prompt, {r('agreement_score')} AS agreement_score, {r('mean_distance')} AS mean_distance,
+  {r('std_distance')} AS std_distance, {r('max_distance')} AS max_distance,
+  CAST(n_model_pairs AS BIGINT) AS n_model_pairs, CAST(rank AS BIGINT) AS rank
+FROM par"""
+
+ORACLES["agreement_matrix"] = f"""WITH {V}, {MODELS},
+mx AS (SELECT model1 AS model_a, model2 AS model_b, agreement_score FROM ap
+       UNION ALL SELECT model2, model1, agreement_score FROM ap
+       UNION ALL SELECT model, model, 1.0 FROM (SELECT DISTINCT model FROM m))
+SELECT model_a, model_b, {r('agreement_score')} AS agreement_score,
+  CASE WHEN agreement_score > 0.8 THEN 'high' WHEN agreement_score > 0.6 THEN 'medium' ELSE 'low' END AS band
+FROM mx"""
+
+# ---------------------------------------------------------------- fusion
+
+COMB = f"""{V}, {centres_cte('v')}, {RS}, {consistency_cte()}, {PAGR},
+man AS (SELECT d.text AS prompt, max(x.d) AS manifold_distance
+        FROM (SELECT v.id, min({cos_raw('v.e', 'c.c')}) AS d FROM v, c GROUP BY v.id) x
+        JOIN documents d ON d.doc_id = x.id GROUP BY d.text),
+con AS (SELECT d.text AS prompt, min(consistency_score) AS consistency_score
+        FROM cm JOIN documents d ON d.doc_id = cm.k GROUP BY d.text),
+agr AS (SELECT prompt, min(agreement_score) AS agreement_score FROM par GROUP BY prompt),
+lst AS (SELECT v.id, d.text AS prompt FROM v JOIN documents d ON d.doc_id = v.id),
+j AS (SELECT lst.id, lst.prompt, manifold_distance, consistency_score, agreement_score,
+        coalesce(0.4 * manifold_distance, 0.0) + coalesce(0.3 * (1.0 - consistency_score), 0.0)
+          + coalesce(0.3 * (1.0 - agreement_score), 0.0) AS num,
+        (CASE WHEN manifold_distance IS NOT NULL THEN 0.4 ELSE 0.0 END)
+          + (CASE WHEN consistency_score IS NOT NULL THEN 0.3 ELSE 0.0 END)
+          + (CASE WHEN agreement_score IS NOT NULL THEN 0.3 ELSE 0.0 END) AS den
+      FROM lst LEFT JOIN man ON man.prompt = lst.prompt LEFT JOIN con ON con.prompt = lst.prompt
+      LEFT JOIN agr ON agr.prompt = lst.prompt),
+comb AS (SELECT *, CASE WHEN den > 0 THEN num / den ELSE 0.0 END AS combined_score FROM j),
+combr AS (SELECT *, row_number() OVER (ORDER BY combined_score DESC, id) AS rank FROM comb)"""
+
+ORACLES["combined"] = f"""WITH {COMB}
+SELECT id, prompt, {r('manifold_distance')} AS manifold_distance, {r('consistency_score')} AS consistency_score,
+  {r('agreement_score')} AS agreement_score, {r('manifold_distance')} AS norm_manifold,
+  {r('1.0 - consistency_score')} AS norm_consistency, {r('1.0 - agreement_score')} AS norm_agreement,
+  {r('combined_score')} AS combined_score, CAST(rank AS BIGINT) AS rank
+FROM combr"""
+
+ORACLES["combined_stats"] = f"""WITH {COMB}
+SELECT {r('avg(combined_score)')} AS mean_combined_score, {r('stddev_pop(combined_score)')} AS std_combined_score,
+  {r('min(combined_score)')} AS min_combined_score, {r('max(combined_score)')} AS max_combined_score
+FROM comb"""
+
+ORACLES["combined_top5"] = f"""WITH {COMB}
+SELECT id, prompt, {r('combined_score')} AS combined_score, CAST(rank AS BIGINT) AS position
+FROM combr WHERE rank <= 5"""
+
+ORACLES["combined_bottom5"] = f"""WITH {COMB}
+SELECT id, prompt, {r('combined_score')} AS combined_score,
+  CAST(rank - (SELECT count(*) FROM combr) + 5 AS BIGINT) AS position
+FROM combr WHERE rank > (SELECT count(*) FROM combr) - 5"""
+
+# ---------------------------------------------------------------- comparison
+
+LONG = f"""{V}, {QV}, {CV},
+""" + ",\n".join(
+    f"""pd_{m} AS (SELECT q.id, len(q.e) AS dim, {_DIST[m]} AS d,
+          row_number() OVER (PARTITION BY q.id ORDER BY {_DIST[m]}, c.id) AS nn FROM qv q, cv c),
+s_{m} AS (SELECT id, '{m}' AS method, {_NORM[m]} AS score
+          FROM (SELECT id, avg(d) AS s, any_value(dim) AS dim FROM pd_{m} WHERE nn <= 5 GROUP BY id))"""
+    for m in ("cosine", "euclidean", "manhattan", "faiss_cosine")) + """,
+lg AS (SELECT x.id, d.text AS prompt, x.score, x.method FROM
+       (SELECT * FROM s_cosine UNION ALL SELECT * FROM s_euclidean UNION ALL SELECT * FROM s_manhattan
+        UNION ALL SELECT * FROM s_faiss_cosine) x JOIN documents d ON d.doc_id = x.id)"""
+
+ORACLES["method_stats"] = f"""WITH {LONG}
+SELECT method, {r('avg(score)')} AS mean, {r('stddev_samp(score)')} AS std, {r('min(score)')} AS min,
+  {r('max(score)')} AS max, CAST(count(score) AS BIGINT) AS count
+FROM lg GROUP BY method"""
+
+ORACLES["method_correlation"] = f"""WITH {LONG},
+la AS (SELECT prompt, max_by(score, id) AS a FROM lg WHERE method = 'cosine' GROUP BY prompt),
+lb AS (SELECT prompt, max_by(score, id) AS b FROM lg WHERE method = 'manhattan' GROUP BY prompt)
+SELECT 'cosine' AS method_a, 'manhattan' AS method_b, {r('corr(a, b)')} AS correlation,
+  CAST(count(*) AS BIGINT) AS n_common
+FROM la JOIN lb ON la.prompt = lb.prompt"""
+
+ORACLES["score_histogram"] = f"""WITH {LONG},
+rg AS (SELECT method, min(score) AS lo, max(score) AS hi FROM lg GROUP BY method),
+bn AS (SELECT lg.method, CASE WHEN hi = lo THEN 0 ELSE least(floor((score - lo) / ((hi - lo) / 20)), 19) END AS bin,
+         lo, hi FROM lg JOIN rg ON rg.method = lg.method)
+SELECT method, CAST(bin AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS count,
+  {r('any_value(lo) + bin * (any_value(hi) - any_value(lo)) / 20')} AS lo,
+  {r('any_value(lo) + (bin + 1) * (any_value(hi) - any_value(lo)) / 20')} AS hi
+FROM bn GROUP BY method, bin"""
+
+ORACLES["score_boxplot"] = f"""WITH {LONG},
+q AS (SELECT method, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median,
+        quantile_cont(score, 0.75) AS q3 FROM lg GROUP BY method)
+SELECT q.method, {r('q1')} AS q1, {r('median')} AS median, {r('q3')} AS q3,
+  {r('min(score) FILTER (WHERE score >= q1 - 1.5 * (q3 - q1))')} AS whisker_low,
+  {r('max(score) FILTER (WHERE score <= q3 + 1.5 * (q3 - q1))')} AS whisker_high,
+  CAST(count(*) FILTER (WHERE score < q1 - 1.5 * (q3 - q1) OR score > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS n_outliers
+FROM lg JOIN q ON q.method = lg.method GROUP BY q.method, q1, median, q3"""
+
+ORACLES["vector_ops"] = f"""WITH {V},
+w AS (SELECT v.id, v.e AS a, list_reverse(v.e) AS b, v.label, d.text AS prompt
+      FROM v LEFT JOIN documents d ON d.doc_id = v.id)
+SELECT id, {r('list_dot_product(a, b)')} AS dot, {r('sqrt(list_dot_product(a, a))')} AS norm,
+  {r('sqrt(list_dot_product(list_transform(a, lambda x: x / sqrt(list_dot_product(a, a))), list_transform(a, lambda x: x / sqrt(list_dot_product(a, a)))))')} AS unit_norm,
+  {r(cos_raw('a', 'b'))} AS cos_raw, {r(cos_lib('a', 'b'))} AS cos_lib,
+  {r('list_distance(a, b)')} AS euclid,
+  {r('list_dot_product(list_transform(a, lambda x, i: x - b[i]), list_transform(a, lambda x, i: x - b[i]))')} AS sq_euclid,
+  {r('list_sum(list_transform(a, lambda x, i: abs(x - b[i])))')} AS manhattan,
+  {r('1.0 - list_dot_product(list_transform(a, lambda x: x / sqrt(list_dot_product(a, a))), list_transform(b, lambda x: x / sqrt(list_dot_product(b, b))))')} AS ip_dist,
+  {r('1.0 - ' + cos_lib('a', 'b'))} AS similarity, CAST(len(a) AS BIGINT) AS dim,
+  CASE WHEN 1.0 - {cos_lib('a', 'b')} + 0.75 > 0.8 THEN 'high'
+       WHEN 1.0 - {cos_lib('a', 'b')} + 0.75 > 0.6 THEN 'medium' ELSE 'low' END AS band,
+  CASE WHEN length(prompt) > 30 THEN substr(prompt, 1, 30) || '...' ELSE prompt END AS short,
+  'raw_vs_reversed' AS pair, 'cluster_' || label AS cluster
+FROM w"""
