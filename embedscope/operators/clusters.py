@@ -93,30 +93,35 @@ def score_summary(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
 
 def silhouette_points(df: DataFrame, label_col: str = "label", metric: str = "euclidean",
                       id_col: str = "id", vec_col: str = "embedding",
-                      include_noise: bool = False) -> DataFrame:
-    """Per-point silhouette ``(id, label, s)`` (A17, exact).
+                      include_noise: bool = False, group_col: str | None = None) -> DataFrame:
+    """Per-point silhouette ``([group,] id, label, s)`` (A17, exact).
 
     a = mean distance to the rest of its own cluster, b = smallest mean
     distance to another cluster, s = (b - a) / max(a, b); a singleton
     cluster gives 0.  Built from per-(point, label) distance sums made by
-    the pair kernel: n x k partial rows, never n x n.
+    the pair kernel: n x k partial rows, never n x n.  With ``group_col``
+    every group (e.g. a clustering configuration) is scored separately in
+    the same job.
     """
+    from embedscope.operators.pairs import G
     pts = df if include_noise else df.where(F.col(label_col) != NOISE)
-    pts = pts.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"),
+    keys = [group_col] if group_col else []
+    pts = pts.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"),
                      F.col(label_col).cast("bigint").alias("label"))
     sums = pair_reduce(pts, pts, LabelSums("label"), metric=metric, rattrs=("label",),
-                       same_ids=True)
-    sums = sums.select(F.col(LID).alias("id"), F.col("label").alias("other"), "sum_d", "n")
-    joined = sums.join(pts.select("id", "label"), "id")
+                       same_ids=True, group_col=group_col)
+    sums = sums.select(*([F.col(G).alias(group_col)] if group_col else []), F.col(LID).alias("id"),
+                       F.col("label").alias("other"), "sum_d", "n")
+    joined = sums.join(pts.select(*keys, "id", "label"), keys + ["id"])
     own = F.col("other") == F.col("label")
-    per = joined.groupBy("id", "label").agg(
+    per = joined.groupBy(*keys, "id", "label").agg(
         F.max(F.when(own, F.col("n"))).alias("n_own"),
         F.max(F.when(own, F.col("sum_d"))).alias("sum_own"),
         F.min(F.when(~own, F.col("sum_d") / F.col("n"))).alias("b"))
     a = F.try_divide(F.col("sum_own"), F.col("n_own") - 1)
     s = (F.when(F.col("n_own") <= 1, F.lit(0.0))
          .otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0))))
-    return per.select("id", "label", s.alias("s"))
+    return per.select(*keys, "id", "label", s.alias("s"))
 
 
 def silhouette(df: DataFrame, label_col: str = "label", metric: str = "euclidean",

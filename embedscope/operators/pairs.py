@@ -235,7 +235,7 @@ def _side(df: DataFrame, id_col: str, vec_col: str, group_col, attrs, id_name: s
     g = F.col(group_col) if group_col else F.lit(0).cast("bigint")
     return df.select(g.alias(G), F.col(id_col).cast("bigint").alias(id_name),
                      F.col(vec_col).cast("array<double>").alias(VEC),
-                     *[F.col(a) for a in attrs])
+                     *[F.col(a).alias(a) for a in attrs])
 
 
 def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric: str,
@@ -286,3 +286,90 @@ def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric:
     partial = (lx.groupBy(G, LB, RB).cogroup(rx.groupBy(G, LB, RB))
                .applyInPandas(run_tile, schema=f"{G} {gtype}, {red.schema}"))
     return red.merge(partial)
+
+
+def _mat(series, dtype) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=dtype) for v in series.to_numpy()])
+
+
+class CountWithinMulti(Reducer):
+    """CountWithin for several eps values at once (one distance tile):
+    ``(lid, cfg, n)``, cfg = position in ``eps_list``."""
+
+    def __init__(self, eps_list):
+        self.eps = [float(e) for e in eps_list]
+        self.schema = f"{LID} bigint, cfg int, n bigint"
+
+    def tile(self, d, left, right):
+        lids = left[LID].to_numpy()
+        parts = [pd.DataFrame({LID: lids, "cfg": c, "n": (d <= e).sum(axis=1).astype(np.int64)})
+                 for c, e in enumerate(self.eps)]
+        return pd.concat(parts, ignore_index=True)
+
+    def merge(self, partial):
+        return partial.groupBy(G, LID, "cfg").agg(F.sum("n").alias("n"))
+
+
+class ForestWithinMulti(Reducer):
+    """Spanning-forest edges of ``d <= eps_c`` among rows flagged in the
+    boolean array column ``flag_col`` (element c), for every config c:
+    ``(cfg, src, dst)``."""
+
+    def __init__(self, eps_list, flag_col: str = "core"):
+        self.eps = [float(e) for e in eps_list]
+        self.flag_col = flag_col
+        self.schema = "cfg int, src bigint, dst bigint"
+
+    def tile(self, d, left, right):
+        lids, rids = left[LID].to_numpy(), right[RID].to_numpy()
+        lf, rf = _mat(left[self.flag_col], bool), _mat(right[self.flag_col], bool)
+        ids, inv = np.unique(np.concatenate([lids, rids]), return_inverse=True)
+        li, ri = inv[:len(lids)], inv[len(lids):]
+        out = []
+        for c, e in enumerate(self.eps):
+            a, b = np.nonzero((d <= e) & lf[:, c][:, None] & rf[:, c][None, :])
+            src, dst = li[a], ri[b]
+            keep = src != dst
+            src, dst = src[keep], dst[keep]
+            if src.size == 0:
+                continue
+            lab = components(len(ids), src, dst)
+            used = np.zeros(len(ids), bool)
+            used[src] = True
+            used[dst] = True
+            order = np.lexsort((ids, lab))
+            order = order[used[order]]
+            same = lab[order][1:] == lab[order][:-1]
+            out.append(pd.DataFrame({"cfg": c, "src": ids[order][:-1][same],
+                                     "dst": ids[order][1:][same]}))
+        if not out:
+            return pd.DataFrame({"cfg": pd.Series([], dtype="int32"), "src": [], "dst": []})
+        return pd.concat(out, ignore_index=True)
+
+    def merge(self, partial):
+        return partial.select(G, "cfg", "src", "dst").distinct()
+
+
+class MinAttrWithinMulti(Reducer):
+    """Per left row and config c: smallest right ``attr[c]`` among right rows
+    with ``d <= eps_c`` and ``attr[c] >= 0`` (negative = absent)."""
+
+    def __init__(self, eps_list, attr: str):
+        self.eps = [float(e) for e in eps_list]
+        self.attr = attr
+        self.schema = f"{LID} bigint, cfg int, m bigint"
+
+    def tile(self, d, left, right):
+        lids = left[LID].to_numpy()
+        vals = _mat(right[self.attr], np.int64)
+        big = np.iinfo(np.int64).max
+        out = []
+        for c, e in enumerate(self.eps):
+            v = vals[:, c]
+            m = np.where((d <= e) & (v >= 0)[None, :], v[None, :], big).min(axis=1)
+            keep = m != big
+            out.append(pd.DataFrame({LID: lids[keep], "cfg": c, "m": m[keep]}))
+        return pd.concat(out, ignore_index=True)
+
+    def merge(self, partial):
+        return partial.groupBy(G, LID, "cfg").agg(F.min("m").alias("m"))

@@ -45,3 +45,16 @@ def last_k(df: DataFrame, order: list[Column], reverse: list[Column], k: int,
     """Last k rows of the ranking, kept in ranking order and renumbered 1..k."""
     tail = df.orderBy(*reverse).limit(k)
     return tail.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
+def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rank",
+                partitions: int | None = None) -> DataFrame:
+    """1..n rank inside each group without a per-group task: the global
+    rank on ``(group, order)`` minus the first position of the group.  A
+    group holding a third of all rows is still spread over many range
+    partitions."""
+    ranked = global_rank(df, [F.col(g) for g in group] + order, "__pos", partitions)
+    first = ranked.groupBy(*group).agg(F.min("__pos").alias("__first"))
+    return (ranked.join(first, group)
+            .withColumn(name, (F.col("__pos") - F.col("__first") + 1).cast("int"))
+            .drop("__pos", "__first"))

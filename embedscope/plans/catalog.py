@@ -319,3 +319,71 @@ def q_vector_ops(spark, sf):
         V.shorten("prompt", 30).alias("short"),
         V.pair_name(F.lit("raw"), F.lit("reversed")).alias("pair"),
         V.cluster_key("label").alias("cluster"))
+
+
+# ---------------------------------------------------------------- density clustering
+
+# Fixed eps values for the planted vectors (no pair distance lies within
+# 1e-6 of them at sf0.01, so the inclusive comparison is stable).
+DBSCAN_EPS = 1.3
+DBSCAN_NOISY_EPS = 1.25
+SWEEP_EPS = (1.1, 1.25, 1.3, 1.5)
+
+
+@register("k_distance")
+def q_k_distance(spark, sf):
+    """W6 (J10): 3rd-neighbour distance of each planted vector, sorted."""
+    from embedscope.operators.density import k_distance
+    return k_distance(T.planted(spark, sf), k=3)
+
+
+@register("elbow_eps")
+def q_elbow_eps(spark, sf):
+    """W7 + W8: elbow of the k-distance curve and the four sweep values."""
+    from embedscope.operators.density import EPS_MULTIPLIERS, elbow_eps, k_distance
+    e = elbow_eps(k_distance(T.planted(spark, sf), k=3))
+    mult = F.explode(F.array(*[F.lit(m) for m in EPS_MULTIPLIERS])).alias("multiplier")
+    return e.select("eps", "elbow_position", "jump", mult).select(
+        "elbow_position", "jump", "multiplier", (F.col("eps") * F.col("multiplier")).alias("eps"))
+
+
+@register("dbscan")
+def q_dbscan(spark, sf):
+    """M4 (J9): DBSCAN of the planted vectors, eps 1.3, min_samples 3."""
+    from embedscope.operators.density import dbscan
+    return dbscan(T.planted(spark, sf), DBSCAN_EPS, 3)
+
+
+def _sweep(spark, sf):
+    from embedscope.operators.density import dbscan_sweep
+    return dbscan_sweep(T.planted(spark, sf), list(SWEEP_EPS), 3)
+
+
+@register("dbscan_sweep_labels")
+def q_dbscan_sweep_labels(spark, sf):
+    """M5: labels of the planted vectors for four eps values, one job."""
+    return _sweep(spark, sf)[0]
+
+
+@register("dbscan_sweep")
+def q_dbscan_sweep(spark, sf):
+    """M5 + A17 + A19: clusters, noise and silhouette without noise per eps."""
+    return _sweep(spark, sf)[1]
+
+
+def _noisy_labels(spark, sf):
+    from embedscope.operators.density import dbscan
+    p = T.planted(spark, sf).select("id", "embedding")
+    return p.join(dbscan(p, DBSCAN_NOISY_EPS, 3), "id")
+
+
+@register("noise_nearest")
+def q_noise_nearest(spark, sf):
+    """J8 (Q10): each DBSCAN noise point's nearest cluster centre."""
+    return C.noise_to_nearest(_noisy_labels(spark, sf))
+
+
+@register("dbscan_cluster_distance")
+def q_dbscan_cluster_distance(spark, sf):
+    """A16 (Q10): mean within-cluster cosine distance of the DBSCAN clusters."""
+    return C.mean_pair_distance(_noisy_labels(spark, sf).where("label <> -1"), group_col="label")

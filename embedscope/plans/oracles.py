@@ -403,3 +403,83 @@ SELECT id, {r('list_dot_product(a, b)')} AS dot, {r('sqrt(list_dot_product(a, a)
   CASE WHEN length(prompt) > 30 THEN substr(prompt, 1, 30) || '...' ELSE prompt END AS short,
   'raw_vs_reversed' AS pair, 'cluster_' || label AS cluster
 FROM w"""
+
+# ---------------------------------------------------------------- density clustering
+
+KD = f"""{V}, {PL},
+kn AS (SELECT a.id, list_distance(a.e, b.e) AS d,
+         row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.e, b.e), b.id) AS nn
+       FROM pl a, pl b),
+kd AS (SELECT id, d AS k_distance, row_number() OVER (ORDER BY d, id) - 1 AS position FROM kn WHERE nn = 3)"""
+
+ORACLES["k_distance"] = f"""WITH {KD}
+SELECT id, {r('k_distance')} AS k_distance, CAST(position AS BIGINT) AS position FROM kd"""
+
+ORACLES["elbow_eps"] = f"""WITH {KD},
+st AS (SELECT b.position AS elbow_position, b.k_distance AS after, b.k_distance - a.k_distance AS jump
+       FROM kd a JOIN kd b ON b.position = a.position + 1),
+best AS (SELECT * FROM st ORDER BY jump DESC, elbow_position LIMIT 1)
+SELECT CAST(elbow_position AS BIGINT) AS elbow_position, {r('jump')} AS jump, m AS multiplier,
+  {r('after * m')} AS eps
+FROM best, (SELECT unnest([0.5, 1.0, 1.5, 2.0]::DOUBLE[]) AS m)"""
+
+
+def dbscan_sql(cfgs: list[tuple[int, float]]) -> str:
+    vals = ", ".join(f"({c}, {e})" for c, e in cfgs)
+    return f"""RECURSIVE {V}, {PL},
+cfg AS (SELECT * FROM (VALUES {vals}) t(cfg, eps)),
+pd AS (SELECT a.id AS a, b.id AS b, list_distance(a.e, b.e) AS d FROM pl a, pl b),
+nb AS (SELECT cfg.cfg, pd.a AS id, count(*) AS n FROM pd JOIN cfg ON pd.d <= cfg.eps GROUP BY cfg.cfg, pd.a),
+core AS (SELECT cfg, id FROM nb WHERE n >= 3),
+ce AS (SELECT c.cfg, pd.a, pd.b FROM pd JOIN cfg c ON pd.d <= c.eps
+       JOIN core x ON x.cfg = c.cfg AND x.id = pd.a JOIN core y ON y.cfg = c.cfg AND y.id = pd.b),
+reach(cfg, src, dst) AS (SELECT cfg, id, id FROM core
+       UNION SELECT r.cfg, r.src, ce.b FROM reach r JOIN ce ON ce.cfg = r.cfg AND ce.a = r.dst),
+comp AS (SELECT cfg, src AS id, min(dst) AS comp FROM reach GROUP BY cfg, src),
+num AS (SELECT cfg, comp, dense_rank() OVER (PARTITION BY cfg ORDER BY comp) - 1 AS label
+        FROM (SELECT DISTINCT cfg, comp FROM comp)),
+corelab AS (SELECT comp.cfg, comp.id, num.label FROM comp JOIN num ON num.cfg = comp.cfg AND num.comp = comp.comp),
+border AS (SELECT c.cfg, pd.a AS id, min(cl.label) AS label FROM pd JOIN cfg c ON pd.d <= c.eps
+           JOIN corelab cl ON cl.cfg = c.cfg AND cl.id = pd.b GROUP BY c.cfg, pd.a),
+lab AS (SELECT cfg.cfg, cfg.eps, pl.id, CAST(coalesce(corelab.label, border.label, -1) AS BIGINT) AS label
+        FROM pl CROSS JOIN cfg LEFT JOIN corelab ON corelab.cfg = cfg.cfg AND corelab.id = pl.id
+        LEFT JOIN border ON border.cfg = cfg.cfg AND border.id = pl.id)"""
+
+
+ORACLES["dbscan"] = f"WITH {dbscan_sql([(0, 1.3)])} SELECT id, label FROM lab"
+
+_SW = [(0, 1.1), (1, 1.25), (2, 1.3), (3, 1.5)]
+
+ORACLES["dbscan_sweep_labels"] = f"""WITH {dbscan_sql(_SW)}
+SELECT CAST(cfg AS BIGINT) AS cfg, {r('eps')} AS eps, id, label FROM lab"""
+
+ORACLES["dbscan_sweep"] = f"""WITH {dbscan_sql(_SW)},
+sp AS (SELECT a.cfg, a.id, a.label AS la, b.label AS lb, list_distance(x.e, y.e) AS d
+       FROM lab a JOIN lab b ON a.cfg = b.cfg AND a.id <> b.id AND a.label <> -1 AND b.label <> -1
+       JOIN pl x ON x.id = a.id JOIN pl y ON y.id = b.id),
+sl AS (SELECT cfg, id, la, lb, avg(d) AS m FROM sp GROUP BY cfg, id, la, lb),
+spt AS (SELECT cfg, id, max(CASE WHEN la = lb THEN m END) AS a, min(CASE WHEN la <> lb THEN m END) AS b
+        FROM sl GROUP BY cfg, id),
+sil AS (SELECT cfg, avg(CASE WHEN a IS NULL THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END) AS s
+        FROM spt GROUP BY cfg),
+sm AS (SELECT cfg, eps, count(DISTINCT label) FILTER (WHERE label <> -1) AS n_clusters,
+         count(*) FILTER (WHERE label = -1) AS n_noise FROM lab GROUP BY cfg, eps)
+SELECT CAST(sm.cfg AS BIGINT) AS cfg, {r('eps')} AS eps, CAST(n_clusters AS BIGINT) AS n_clusters,
+  CAST(n_noise AS BIGINT) AS n_noise, {r('CASE WHEN n_clusters > 1 THEN sil.s END')} AS silhouette
+FROM sm LEFT JOIN sil ON sil.cfg = sm.cfg"""
+
+NOISY = dbscan_sql([(0, 1.25)]) + """,
+nl AS (SELECT lab.id, lab.label, pl.e FROM lab JOIN pl ON pl.id = lab.id)"""
+
+ORACLES["noise_nearest"] = f"""WITH {NOISY}, {centres_cte('nl')},
+nd AS (SELECT n.id, c.label, {cos_lib('n.e', 'c.c')} AS d,
+         row_number() OVER (PARTITION BY n.id ORDER BY {cos_lib('n.e', 'c.c')}, c.label) AS rk
+       FROM nl n, c WHERE n.label = -1)
+SELECT n.id, CAST(nd.label AS BIGINT) AS nearest_label, {r("coalesce(nd.d, 'inf'::DOUBLE)")} AS distance
+FROM nl n LEFT JOIN nd ON nd.id = n.id AND nd.rk = 1 WHERE n.label = -1"""
+
+ORACLES["dbscan_cluster_distance"] = f"""WITH {NOISY}
+SELECT CAST(a.label AS BIGINT) AS label, CAST((SELECT count(*) FROM nl s WHERE s.label = a.label) AS BIGINT) AS n,
+  {r(f"avg({cos_lib('a.e', 'b.e')})")} AS mean_distance
+FROM nl a JOIN nl b ON a.label = b.label AND a.id < b.id WHERE a.label <> -1
+GROUP BY a.label"""
