@@ -72,3 +72,47 @@ def components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
         if np.array_equal(new, lab):
             return lab
         lab = new
+
+
+def rowwise(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of row i of ``a`` to row i of ``b`` (same semantics as
+    :func:`pairwise`)."""
+    if a.shape[0] == 0:
+        return np.zeros(0)
+    if metric in ("cosine", "faiss_cosine"):
+        s = np.einsum("ij,ij->i", _unit_rows(a), _unit_rows(b))
+        return np.clip(1.0 - s, 0.0, 2.0) if metric == "cosine" else 1.0 - s
+    if metric == "cosine_raw":
+        na = np.sqrt(np.einsum("ij,ij->i", a, a))
+        nb = np.sqrt(np.einsum("ij,ij->i", b, b))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return 1.0 - np.einsum("ij,ij->i", a, b) / (na * nb)
+    diff = a - b
+    if metric == "euclidean":
+        return np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    if metric in ("sqeuclidean", "faiss_l2"):
+        return np.einsum("ij,ij->i", diff, diff)
+    if metric == "manhattan":
+        return np.abs(diff).sum(axis=1)
+    raise ValueError(f"Unknown method: {metric}")
+
+
+def group_pairs(lcodes: np.ndarray, rcodes: np.ndarray):
+    """All (left row, right row) index pairs with equal group code.
+
+    Rows need not be sorted; returns ``(li, ri)`` ordered by group.
+    """
+    lo = np.argsort(lcodes, kind="stable")
+    ro = np.argsort(rcodes, kind="stable")
+    lc, rc = lcodes[lo], rcodes[ro]
+    groups, rstart, rcount = np.unique(rc, return_index=True, return_counts=True)
+    pos = np.searchsorted(groups, lc)
+    pos = np.clip(pos, 0, max(len(groups) - 1, 0))
+    present = (len(groups) > 0) & (groups[pos] == lc) if len(groups) else np.zeros(len(lc), bool)
+    per_left = np.where(present, rcount[pos] if len(groups) else 0, 0)
+    total = int(per_left.sum())
+    li = np.repeat(np.arange(len(lc)), per_left)
+    starts = np.cumsum(per_left) - per_left
+    within = np.arange(total) - np.repeat(starts, per_left)
+    ri = np.repeat(rstart[pos] if len(groups) else np.zeros(len(lc), int), per_left) + within
+    return lo[li], ro[ri]

@@ -30,12 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedscope.functions.kernels import components, pairwise, stack
+from embedscope.functions.kernels import components, group_pairs, pairwise, rowwise, stack
 from embedscope.session import default_parallelism
 
-G, LID, RID, VEC, LB, RB = "__g", "__lid", "__rid", "__v", "__lb", "__rb"
+G, LID, RID, VEC, LB, RB, BK = "__g", "__lid", "__rid", "__v", "__lb", "__rb", "__bk"
 
 DEFAULT_BLOCK_ROWS = 2048
+# Groups with at most this many pairs in a tile take the vectorised path.
+SMALL_GROUP_PAIRS = 4096
 
 
 class Reducer:
@@ -194,6 +196,25 @@ class PairStats(Reducer):
         return pd.DataFrame({"n": [vals.size], "s": [vals.sum()], "ss": [(vals * vals).sum()],
                              "mn": [vals.min()], "mx": [vals.max()]})
 
+    def tile_pairs(self, codes, d, lids, rids):
+        """Many small groups at once: ``codes`` is the group code of each
+        pair, ``d`` its distance."""
+        keep = lids != rids
+        codes, d = codes[keep], d[keep]
+        if d.size == 0:
+            return None
+        k = int(codes.max()) + 1
+        n = np.bincount(codes, minlength=k)
+        s = np.bincount(codes, weights=d, minlength=k)
+        ss = np.bincount(codes, weights=d * d, minlength=k)
+        mn = np.full(k, np.inf)
+        mx = np.full(k, -np.inf)
+        np.minimum.at(mn, codes, d)
+        np.maximum.at(mx, codes, d)
+        has = n > 0
+        return np.nonzero(has)[0], {"n": n[has].astype(np.int64), "s": s[has], "ss": ss[has],
+                                    "mn": mn[has], "mx": mx[has]}
+
     def merge(self, partial):
         return partial.groupBy(G).agg(
             F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
@@ -248,6 +269,12 @@ def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric:
     Returns the reducer's merged output with the group column named
     ``__g`` (a constant 0 when ``group_col`` is None).  ``same_ids`` says
     both sides share one id space, so a row met with itself gets distance 0.
+
+    Grouped work is packed: small groups share a tile (the tile key is a
+    hash bucket of the group, with ``total rows / block_rows`` buckets), and
+    a group larger than a block is split into blocks of its own.  A tile
+    therefore holds about ``block_rows`` rows per side, whatever the mix of
+    many tiny groups and a few huge ones.
     """
     spark = left.sparkSession
     block = int(block_rows or spark.conf.get("embedscope.pairs.blockRows", str(DEFAULT_BLOCK_ROWS)))
@@ -260,30 +287,81 @@ def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric:
               .join(rgt.groupBy(G).agg(F.count(F.lit(1)).alias("__nr")), G))
     nlb = F.greatest(F.ceil(F.col("__nl") / block), F.least(F.col("__nl"), F.lit(floor)))
     nrb = F.ceil(F.col("__nr") / block)
-    plan = counts.select(G, nlb.cast("int").alias("__nlb"), nrb.cast("int").alias("__nrb"))
+    plan = counts.select(G, "__nl", nlb.cast("int").alias("__nlb"), nrb.cast("int").alias("__nrb"))
+    if group_col:
+        tot = counts.agg(F.greatest(F.lit(1), F.ceil(F.sum("__nl") / block)).cast("int").alias("__nbk"))
+        plan = (plan.withColumn("__one", F.lit(1))
+                .join(F.broadcast(tot.withColumn("__one", F.lit(1))), "__one").drop("__one"))
+        bucket = F.pmod(F.xxhash64(G), F.col("__nbk")).cast("int")
+    else:
+        bucket = F.lit(0)
+    plan = plan.select(G, "__nlb", "__nrb", bucket.alias("__bkp"))
 
     lx = (lft.join(plan, G)
           .withColumn(LB, F.pmod(F.xxhash64(LID), F.col("__nlb")).cast("int"))
           .withColumn(RB, F.explode(F.sequence(F.lit(0), F.col("__nrb") - 1)))
-          .drop("__nlb", "__nrb"))
+          .withColumn(BK, F.col("__bkp") + 0)
+          .drop("__nlb", "__nrb", "__bkp"))
     rx = (rgt.join(plan, G)
           .withColumn(RB, F.pmod(F.xxhash64(RID), F.col("__nrb")).cast("int"))
           .withColumn(LB, F.explode(F.sequence(F.lit(0), F.col("__nlb") - 1)))
-          .drop("__nlb", "__nrb"))
+          .withColumn(BK, F.col("__bkp") + 0)
+          .drop("__nlb", "__nrb", "__bkp"))
 
     red = reducer
+    out_cols = [G] + [c.split()[0] for c in red.schema.split(", ")]
 
-    def run_tile(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(lpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame(columns=[G] + [c.split()[0] for c in red.schema.split(", ")])
+    def one_group(g, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         d = pairwise(metric, stack(lpdf[VEC]), stack(rpdf[VEC]))
         if same_ids:
             d[lpdf[LID].to_numpy()[:, None] == rpdf[RID].to_numpy()[None, :]] = 0.0
         out = red.tile(d, lpdf, rpdf)
-        out.insert(0, G, key[0])
+        out.insert(0, G, g)
         return out
 
-    partial = (lx.groupBy(G, LB, RB).cogroup(rx.groupBy(G, LB, RB))
+    def run_tile(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(lpdf) == 0 or len(rpdf) == 0:
+            return pd.DataFrame(columns=out_cols)
+        if not group_col:
+            return one_group(lpdf[G].iloc[0], lpdf.reset_index(drop=True), rpdf.reset_index(drop=True))
+        outs = []
+        if hasattr(red, "tile_pairs"):
+            # small groups: form the within-group pairs by index arithmetic and
+            # reduce them in one vectorised pass; big groups use the matrix path
+            keys, lcodes = np.unique(lpdf[G].to_numpy(), return_inverse=True)
+            rpos = np.searchsorted(keys, rpdf[G].to_numpy())
+            rpos = np.clip(rpos, 0, len(keys) - 1)
+            rcodes = np.where(keys[rpos] == rpdf[G].to_numpy(), rpos, -1)
+            nl = np.bincount(lcodes, minlength=len(keys))
+            nr = np.bincount(rcodes[rcodes >= 0], minlength=len(keys))
+            small = (nl * nr) <= SMALL_GROUP_PAIRS
+            lmask, rmask = small[lcodes], (rcodes >= 0) & small[np.maximum(rcodes, 0)]
+            if lmask.any() and rmask.any():
+                li, ri = group_pairs(lcodes[lmask], rcodes[rmask])
+                lsel, rsel = np.nonzero(lmask)[0][li], np.nonzero(rmask)[0][ri]
+                a, b = stack(lpdf[VEC]), stack(rpdf[VEC])
+                d = rowwise(metric, a[lsel], b[rsel])
+                lids, rids = lpdf[LID].to_numpy()[lsel], rpdf[RID].to_numpy()[rsel]
+                if same_ids:
+                    d = np.where(lids == rids, 0.0, d)
+                res = red.tile_pairs(lcodes[lsel], d, lids, rids)
+                if res is not None:
+                    idx, cols = res
+                    part = pd.DataFrame(cols)
+                    part.insert(0, G, keys[idx])
+                    outs.append(part)
+            big = set(keys[~small].tolist())
+        else:
+            big = None
+        rparts = {g: sub.reset_index(drop=True) for g, sub in rpdf.groupby(G, sort=False)
+                  if big is None or g in big}
+        outs += [one_group(g, sub.reset_index(drop=True), rparts[g])
+                 for g, sub in lpdf.groupby(G, sort=False) if g in rparts]
+        if not outs:
+            return pd.DataFrame(columns=out_cols)
+        return pd.concat(outs, ignore_index=True)
+
+    partial = (lx.groupBy(BK, LB, RB).cogroup(rx.groupBy(BK, LB, RB))
                .applyInPandas(run_tile, schema=f"{G} {gtype}, {red.schema}"))
     return red.merge(partial)
 

@@ -233,17 +233,17 @@ BATCH = """CAST(count(*) AS BIGINT) AS n_prompts,
 ORACLES["consistency_batch"] = f"WITH {CONS} SELECT {BATCH} FROM cons"
 
 
-def _u(tag: str) -> str:
+def _u(word: int) -> str:
     key = "concat_ws(':', '42', CAST(p.lvl AS VARCHAR), CAST(p.id AS VARCHAR), CAST(p.rid AS VARCHAR), " \
-          f"CAST(i - 1 AS VARCHAR), '{tag}')"
-    return f"((CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) + 0.5) / 4294967296.0)"
+          "CAST(i - 1 AS VARCHAR))"
+    return f"((CAST(('0x' || substr(md5({key}), {1 + 8 * word}, 8)) AS BIGINT) + 0.5) / 4294967296.0)"
 
 
 ORACLES["perturbation_sweep"] = f"""WITH {V},
 p AS (SELECT l.lvl, v.id, r.rid, v.e, sqrt(list_dot_product(v.e, v.e)) AS n0
       FROM v, (SELECT unnest([0.05, 0.1, 0.2]::DOUBLE[]) AS lvl) l, (SELECT unnest(range(5)) AS rid) r),
 pn AS (SELECT p.lvl, p.id, p.rid, p.n0,
-         list_transform(p.e, lambda x, i: x + p.lvl * sqrt(-2.0 * ln({_u('a')})) * cos(2.0 * pi() * {_u('b')})) AS pe
+         list_transform(p.e, lambda x, i: x + p.lvl * sqrt(-2.0 * ln({_u(0)})) * cos(2.0 * pi() * {_u(1)})) AS pe
        FROM p),
 ps AS (SELECT lvl, CAST(lvl AS VARCHAR) || '#' || CAST(id AS VARCHAR) AS gk, rid,
          CASE WHEN sqrt(list_dot_product(pe, pe)) = 0 THEN pe
