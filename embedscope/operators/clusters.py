@@ -236,3 +236,41 @@ def noise_to_nearest(df: DataFrame, label_col: str = "label", id_col: str = "id"
     cents = centres(df, label_col, vec_col)
     noise = df.where(F.col(label_col) == NOISE).select(id_col, vec_col)
     return nearest_centre(noise, cents, metric="cosine", id_col=id_col, vec_col=vec_col)
+
+
+def element_statistics(df: DataFrame, vec_col: str = "embedding", group_col: str | None = None) -> DataFrame:
+    """A3: mean, population std, min and max over all matrix elements,
+    from per-row partial sums (no element explode)."""
+    keys = [group_col] if group_col else []
+    e = F.col(vec_col)
+    per = df.select(*keys, V.vsum(e).alias("__s"), V.sq_norm(e).alias("__ss"),
+                    F.array_min(e).alias("__mn"), F.array_max(e).alias("__mx"), F.size(e).alias("__n"))
+    agg = per.groupBy(*keys).agg(F.sum("__s").alias("s"), F.sum("__ss").alias("ss"),
+                                 F.min("__mn").alias("min"), F.max("__mx").alias("max"),
+                                 F.sum("__n").alias("n"))
+    mean = F.col("s") / F.col("n")
+    return agg.select(*keys, mean.alias("mean"),
+                      F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean)).alias("std"),
+                      "min", "max", F.col("n").alias("n_elements"))
+
+
+def model_comparison(models: DataFrame, labels: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """Per model silhouette of the given labels, mean pairwise cosine
+    distance, dimension and row count, best silhouette first.  All models
+    are scored in one job: the model is the group key of the pair kernel."""
+    lab = models.join(labels, "id")
+    sil = (silhouette_points(lab, metric=metric, group_col="model")
+           .groupBy("model").agg(F.avg("s").alias("silhouette")))
+    mpd = mean_pair_distance(models, group_col="model").select("model", "mean_distance")
+    dims = models.groupBy("model").agg(F.max(F.size("embedding")).alias("dim"),
+                                       F.count(F.lit(1)).alias("n"))
+    return dims.join(sil, "model").join(mpd, "model").select(
+        "model", "silhouette", F.col("mean_distance").alias("avg_distance"), "dim", "n")
+
+
+def best_configuration(summary: DataFrame, config_col: str = "cfg", score_col: str = "silhouette") -> DataFrame:
+    """The configuration with the largest score (strictly above -1,
+    first configuration on ties); no row when all scores are NULL."""
+    ok = summary.where(F.col(score_col).isNotNull() & (F.col(score_col) > -1))
+    return ok.agg(F.max_by(F.struct(*summary.columns), F.struct(F.col(score_col), -F.col(config_col)))
+                  .alias("b")).where(F.col("b").isNotNull()).select("b.*")

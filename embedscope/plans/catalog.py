@@ -387,3 +387,78 @@ def q_noise_nearest(spark, sf):
 def q_dbscan_cluster_distance(spark, sf):
     """A16 (Q10): mean within-cluster cosine distance of the DBSCAN clusters."""
     return C.mean_pair_distance(_noisy_labels(spark, sf).where("label <> -1"), group_col="label")
+
+
+# ---------------------------------------------------------------- model level
+
+@register("element_stats")
+def q_element_stats(spark, sf):
+    """A3 per model: mean, population std, min, max over all elements."""
+    return C.element_statistics(T.models(spark, sf), group_col="model")
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    """A25 (P19, A15, A17): model table on the given labels, one job."""
+    m = T.models(spark, sf).select("model", "id", "embedding")
+    return C.model_comparison(m, T.vectors(spark, sf).select("id", "label"))
+
+
+@register("best_dbscan_config")
+def q_best_dbscan_config(spark, sf):
+    """Best eps of the DBSCAN sweep by silhouette."""
+    return C.best_configuration(_sweep(spark, sf)[1])
+
+
+# ---------------------------------------------------------------- text
+
+def _docs(spark, sf):
+    return T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@register("text_embedding")
+def q_text_embedding(spark, sf):
+    """Mean-pooled one-hot hashed word vectors of every whole
+    document, sparse (id, bucket, weight, n_tokens)."""
+    from embedscope.operators.featurize import hashed_embedding
+    return hashed_embedding(_docs(spark, sf))
+
+
+def _conversation_inputs(spark, sf):
+    from embedscope.operators.featurize import text_embeddings
+    conv = T.table(spark, sf, "conversations")
+    prompts = conv.groupBy(F.col("conv_id").alias("id")).agg(
+        F.min_by(F.when(F.col("role") == "user", F.col("text")),
+                 F.when(F.col("role") == "user", F.col("turn"))).alias("prompt"))
+    turns = conv.where(F.col("role") == "assistant").select(
+        F.concat_ws(":", "conv_id", "turn").alias("key"), "conv_id", "turn", "text")
+    vecs = text_embeddings(turns, id_col="key").join(turns.select("key", "conv_id", "turn"), "key")
+    responses = vecs.select(F.col("conv_id").alias("id"), F.col("turn").alias("response_id"), "embedding")
+    return prompts, responses
+
+
+@register("conversation_consistency")
+def q_conversation_consistency(spark, sf):
+    """E2 -> Q5: consistency of the assistant turns of each conversation
+    (0 to 4 responses, so A9's fewer-than-two rule is exercised)."""
+    from embedscope.operators.consistency import prompt_consistency
+    prompts, responses = _conversation_inputs(spark, sf)
+    return prompt_consistency(prompts, responses)
+
+
+@register("text_model_agreement")
+def q_text_model_agreement(spark, sf):
+    """E3 -> A11: agreement of three hashing text models on all documents."""
+    from embedscope.operators.agreement import pair_distances, pairwise_agreement
+    from embedscope.operators.featurize import TEXT_MODELS, text_models
+    models = text_models(_docs(spark, sf))
+    return pairwise_agreement(pair_distances(models, names=[m[0] for m in TEXT_MODELS], check=False))
+
+
+@register("tfidf_embedding")
+def q_tfidf_embedding(spark, sf):
+    """E2 with MLlib HashingTF + IDF on all documents: (id, dim, norm)."""
+    from embedscope.functions import vectors as V
+    from embedscope.operators.featurize import mllib_embeddings
+    e = mllib_embeddings(_docs(spark, sf), kind="tfidf")
+    return e.select("id", V.dim("embedding").alias("dim"), V.norm("embedding").alias("norm"))

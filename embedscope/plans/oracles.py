@@ -483,3 +483,94 @@ SELECT CAST(a.label AS BIGINT) AS label, CAST((SELECT count(*) FROM nl s WHERE s
   {r(f"avg({cos_lib('a.e', 'b.e')})")} AS mean_distance
 FROM nl a JOIN nl b ON a.label = b.label AND a.id < b.id WHERE a.label <> -1
 GROUP BY a.label"""
+
+# ---------------------------------------------------------------- model level
+
+ORACLES["element_stats"] = f"""WITH {V}, {MODELS},
+el AS (SELECT model, unnest(e) AS x FROM m)
+SELECT model, {r('avg(x)')} AS mean, {r('stddev_pop(x)')} AS std, {r('min(x)')} AS min, {r('max(x)')} AS max,
+  CAST(count(*) AS BIGINT) AS n_elements
+FROM el GROUP BY model"""
+
+ORACLES["model_comparison"] = f"""WITH {V}, {MODELS},
+sp AS (SELECT a.model, a.id, va.label AS la, vb.label AS lb, list_distance(a.e, b.e) AS d
+       FROM m a JOIN m b ON a.model = b.model AND a.id <> b.id
+       JOIN v va ON va.id = a.id JOIN v vb ON vb.id = b.id),
+sl AS (SELECT model, id, la, lb, avg(d) AS mm FROM sp GROUP BY model, id, la, lb),
+spt AS (SELECT model, id, max(CASE WHEN la = lb THEN mm END) AS a, min(CASE WHEN la <> lb THEN mm END) AS b
+        FROM sl GROUP BY model, id),
+sil AS (SELECT model, avg(CASE WHEN a IS NULL THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END) AS s
+        FROM spt GROUP BY model),
+mpd AS (SELECT a.model, avg({cos_lib('a.e', 'b.e')}) AS md FROM m a JOIN m b ON a.model = b.model AND a.id < b.id
+        GROUP BY a.model),
+dm AS (SELECT model, max(len(e)) AS dim, count(*) AS n FROM m GROUP BY model)
+SELECT dm.model, {r('sil.s')} AS silhouette, {r('mpd.md')} AS avg_distance, CAST(dim AS BIGINT) AS dim,
+  CAST(n AS BIGINT) AS n
+FROM dm JOIN sil ON sil.model = dm.model JOIN mpd ON mpd.model = dm.model"""
+
+ORACLES["best_dbscan_config"] = ORACLES["dbscan_sweep"].rstrip() .replace(
+    "SELECT CAST(sm.cfg AS BIGINT) AS cfg", "SELECT * FROM (SELECT CAST(sm.cfg AS BIGINT) AS cfg", 1) + """)
+WHERE silhouette IS NOT NULL AND silhouette > -1 ORDER BY silhouette DESC, cfg LIMIT 1"""
+
+# ---------------------------------------------------------------- text
+
+_TOKS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
+_BUCKET = "CAST(('0x' || substr(md5({salt}{tok}), 1, 8)) AS BIGINT) % 64"
+
+ORACLES["text_embedding"] = f"""WITH
+tk AS (SELECT doc_id AS id, unnest({_TOKS}) AS tok FROM documents),
+cnt AS (SELECT id, {_BUCKET.format(salt='', tok='tok')} AS bucket, count(*) AS c FROM tk GROUP BY ALL),
+tot AS (SELECT id, sum(c) AS n FROM cnt GROUP BY id)
+SELECT cnt.id, CAST(bucket AS BIGINT) AS bucket, {r('c / n')} AS weight, CAST(n AS BIGINT) AS n_tokens
+FROM cnt JOIN tot ON tot.id = cnt.id"""
+
+
+def dense_cte(src: str, keys: str, toks: str, salt: str = "") -> str:
+    """Dense 64-d hashed mean-pooled vectors of ``src`` rows keyed by ``keys``."""
+    on = " AND ".join(f"c.{k} = s.{k}" for k in keys.split(", "))
+    return f"""
+dk AS (SELECT {keys}, unnest({toks}) AS tok FROM {src}),
+dc AS (SELECT {keys}, {_BUCKET.format(salt=salt, tok='tok')} AS bucket, count(*) AS c FROM dk GROUP BY ALL),
+dt AS (SELECT {keys}, sum(c) AS n FROM dc GROUP BY ALL),
+dv AS (SELECT {', '.join('s.' + k for k in keys.split(', '))},
+         list(coalesce(c.c / t.n, 0.0) ORDER BY b.b) AS e
+       FROM {src} s CROSS JOIN range(64) b(b)
+       LEFT JOIN dc c ON {on} AND c.bucket = b.b
+       LEFT JOIN dt t ON {on.replace('c.', 't.')}
+       GROUP BY ALL)"""
+
+
+ORACLES["conversation_consistency"] = f"""WITH
+pr AS (SELECT conv_id AS id, min_by(text, turn) FILTER (WHERE role = 'user') AS prompt
+       FROM conversations GROUP BY conv_id),
+ast AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+{dense_cte('ast', 'conv_id, turn', _TOKS)},
+rs AS (SELECT conv_id AS id, turn AS rid, e FROM dv),
+{consistency_cte()},
+cons AS (SELECT pr.id, pr.prompt, CAST(coalesce(cm.n, 0) AS BIGINT) AS n_responses, mean_pairwise_distance,
+           std_pairwise_distance, max_pairwise_distance, min_pairwise_distance, embedding_variance,
+           embedding_entropy, consistency_score,
+           CAST(row_number() OVER (ORDER BY coalesce(consistency_score, 0.0), pr.id) AS BIGINT) AS rank
+         FROM pr LEFT JOIN cm ON cm.k = pr.id)
+SELECT id, prompt, n_responses, {r('mean_pairwise_distance')} AS mean_pairwise_distance,
+  {r('std_pairwise_distance')} AS std_pairwise_distance, {r('max_pairwise_distance')} AS max_pairwise_distance,
+  {r('min_pairwise_distance')} AS min_pairwise_distance, {r('embedding_variance')} AS embedding_variance,
+  {r('embedding_entropy')} AS embedding_entropy, {r('consistency_score')} AS consistency_score, rank
+FROM cons"""
+
+_BIGR = f"list_transform(range(1, len({_TOKS})), lambda i: {_TOKS}[i] || ' ' || {_TOKS}[i + 1])"
+
+ORACLES["text_model_agreement"] = f"""WITH
+docs AS (SELECT doc_id AS id, text FROM documents),
+{dense_cte('docs', 'id', _TOKS).replace('dk AS', 'dk1 AS').replace('FROM dk ', 'FROM dk1 ').replace('dc AS', 'dc1 AS').replace('FROM dc ', 'FROM dc1 ').replace('dt AS', 'dt1 AS').replace('JOIN dc ', 'JOIN dc1 ').replace('JOIN dt ', 'JOIN dt1 ').replace('dv AS', 'dv1 AS')},
+{dense_cte('docs', 'id', _BIGR).replace('dk AS', 'dk2 AS').replace('FROM dk ', 'FROM dk2 ').replace('dc AS', 'dc2 AS').replace('FROM dc ', 'FROM dc2 ').replace('dt AS', 'dt2 AS').replace('JOIN dc ', 'JOIN dc2 ').replace('JOIN dt ', 'JOIN dt2 ').replace('dv AS', 'dv2 AS')},
+{dense_cte('docs', 'id', _TOKS, "'s2:' || ").replace('dk AS', 'dk3 AS').replace('FROM dk ', 'FROM dk3 ').replace('dc AS', 'dc3 AS').replace('FROM dc ', 'FROM dc3 ').replace('dt AS', 'dt3 AS').replace('JOIN dc ', 'JOIN dc3 ').replace('JOIN dt ', 'JOIN dt3 ').replace('dv AS', 'dv3 AS')},
+m AS (SELECT 'words' AS model, 0 AS pos, id, e FROM dv1 UNION ALL SELECT 'bigrams', 1, id, e FROM dv2
+      UNION ALL SELECT 'words_salted', 2, id, e FROM dv3),
+apd AS (SELECT a.id, a.model AS model1, b.model AS model2, {cos_lib('a.e', 'b.e')} AS distance
+        FROM m a JOIN m b ON a.id = b.id AND a.pos < b.pos)
+SELECT model1, model2, {r('avg(distance)')} AS mean_distance, {r('stddev_pop(distance)')} AS std_distance,
+  {r('max(distance)')} AS max_distance, {r('min(distance)')} AS min_distance,
+  {r('1.0 - avg(distance)')} AS agreement_score, CAST(count(*) AS BIGINT) AS n_prompts,
+  model1 || '_vs_' || model2 AS pair
+FROM apd GROUP BY model1, model2"""
