@@ -462,3 +462,57 @@ def q_tfidf_embedding(spark, sf):
     from embedscope.operators.featurize import mllib_embeddings
     e = mllib_embeddings(_docs(spark, sf), kind="tfidf")
     return e.select("id", V.dim("embedding").alias("dim"), V.norm("embedding").alias("norm"))
+
+
+# ---------------------------------------------------------------- MLlib clustering (checked by invariants)
+
+@register("kmeans")
+def q_kmeans(spark, sf):
+    """M1: k-means (k = 10, seed 42) of the planted vectors."""
+    from embedscope.operators.mlmodels import kmeans
+    return kmeans(T.planted(spark, sf), 10)[0]
+
+
+@register("kmeans_sweep")
+def q_kmeans_sweep(spark, sf):
+    """M2 + A17: k-means for k = 2..5 scored by exact silhouette in one job."""
+    from embedscope.operators.mlmodels import kmeans_sweep
+    return kmeans_sweep(T.planted(spark, sf), ks=[2, 3, 4, 5])[1]
+
+
+@register("bisecting_kmeans")
+def q_bisecting_kmeans(spark, sf):
+    """M7: hierarchical (bisecting) k-means, k = 10."""
+    from embedscope.operators.mlmodels import bisecting_kmeans
+    return bisecting_kmeans(T.planted(spark, sf), 10)
+
+
+@register("gmm_uncertainty")
+def q_gmm_uncertainty(spark, sf):
+    """Q13 (M3, P20, W9): Gaussian-mixture posterior entropy, ranked, with
+    the 75th-percentile cut."""
+    from embedscope.operators.mlmodels import uncertainty
+    return uncertainty(T.planted(spark, sf), 4)
+
+
+@register("cluster_tournament")
+def q_cluster_tournament(spark, sf):
+    """M8: k-means / GMM / DBSCAN / bisecting k-means, best silhouette."""
+    from embedscope.operators.mlmodels import tournament
+    return tournament(T.planted(spark, sf), 10, DBSCAN_EPS)
+
+
+@register("pca_projection")
+def q_pca_projection(spark, sf):
+    """M9: 2-D PCA projection with the given label (chart data)."""
+    from embedscope.operators.mlmodels import pca_2d
+    p = T.planted(spark, sf)
+    return pca_2d(p).join(p.select("id", "label"), "id")
+
+
+@register("model_analysis")
+def q_model_analysis(spark, sf):
+    """Q11: per-model element statistics, best k, silhouette, mean
+    distance, dimension and count."""
+    from embedscope.operators.mlmodels import model_analysis
+    return model_analysis(T.models(spark, sf))
