@@ -516,3 +516,19 @@ def q_model_analysis(spark, sf):
     distance, dimension and count."""
     from embedscope.operators.mlmodels import model_analysis
     return model_analysis(T.models(spark, sf))
+
+
+# ---------------------------------------------------------------- sinks and sources
+
+@register("scores_roundtrip")
+def q_scores_roundtrip(spark, sf):
+    """S10 + read back: corpus scores of two methods written partitioned by
+    model and method to the shared folder, read back pruned to one method."""
+    from embedscope.operators.scoring import corpus_scores
+    from embedscope.sources.files import output_dir, read_scores, write_scores
+    q, c = T.queries(spark, sf), T.corpus(spark, sf)
+    parts = [corpus_scores(q, c, method=m).select("id", "score", F.lit("raw").alias("model"),
+                                                  F.lit(m).alias("method"))
+             for m in ("cosine", "manhattan")]
+    path = write_scores(parts[0].unionByName(parts[1]), output_dir(spark, "scores"))
+    return read_scores(spark, path, model="raw", method="cosine").select("id", "score", "model", "method")

@@ -574,3 +574,6 @@ SELECT model1, model2, {r('avg(distance)')} AS mean_distance, {r('stddev_pop(dis
   {r('1.0 - avg(distance)')} AS agreement_score, CAST(count(*) AS BIGINT) AS n_prompts,
   model1 || '_vs_' || model2 AS pair
 FROM apd GROUP BY model1, model2"""
+
+ORACLES["scores_roundtrip"] = (f"WITH {corpus_sql('cosine')} SELECT id, {r('score')} AS score, "
+                               "'raw' AS model, 'cosine' AS method FROM scored")
