@@ -532,3 +532,38 @@ def q_scores_roundtrip(spark, sf):
              for m in ("cosine", "manhattan")]
     path = write_scores(parts[0].unionByName(parts[1]), output_dir(spark, "scores"))
     return read_scores(spark, path, model="raw", method="cosine").select("id", "score", "model", "method")
+
+
+# ---------------------------------------------------------------- reports
+
+@register("pipeline_report")
+def q_pipeline_report(spark, sf):
+    """Report lines from the cluster statistics, consistency batch,
+    global agreement and the combined ranking."""
+    from embedscope.operators.agreement import global_agreement, pairwise_agreement
+    from embedscope.operators.consistency import batch_statistics
+    from embedscope.operators.reports import pipeline_report
+    v = T.vectors(spark, sf)
+    stats = C.clustering_stats(v.select("label"), C.silhouette(v), 3, 2)
+    batch = batch_statistics(_consistency(spark, sf))
+    agr = global_agreement(pairwise_agreement(_agreement_dists(spark, sf)))
+    return pipeline_report(stats, batch, agr, _combined(spark, sf))
+
+
+@register("consistency_report")
+def q_consistency_report(spark, sf):
+    """R2: consistency report of the conversation responses."""
+    from embedscope.operators.consistency import batch_statistics, prompt_consistency
+    from embedscope.operators.reports import consistency_report
+    prompts, responses = _conversation_inputs(spark, sf)
+    scored = prompt_consistency(prompts, responses)
+    return consistency_report(scored, batch_statistics(scored))
+
+
+@register("agreement_report")
+def q_agreement_report(spark, sf):
+    """Agreement report of the three embedding models."""
+    from embedscope.operators.agreement import global_agreement, pairwise_agreement
+    from embedscope.operators.reports import agreement_report
+    pairs = pairwise_agreement(_agreement_dists(spark, sf))
+    return agreement_report(global_agreement(pairs), pairs, _prompt_agreement(spark, sf))

@@ -577,3 +577,28 @@ FROM apd GROUP BY model1, model2"""
 
 ORACLES["scores_roundtrip"] = (f"WITH {corpus_sql('cosine')} SELECT id, {r('score')} AS score, "
                                "'raw' AS model, 'cosine' AS method FROM scored")
+
+# ---------------------------------------------------------------- reports
+
+ORACLES["pipeline_report"] = f"""WITH {COMB}, {silhouette_sql('v', 'list_distance(a.e, b.e)')},
+ranked AS (SELECT *, count(*) OVER () AS total FROM combr)
+SELECT 'methods' AS section, CAST(1 AS BIGINT) AS position, 'Density-based manifold detection' AS text
+UNION ALL SELECT 'methods', 2, 'Consistency-based scoring'
+UNION ALL SELECT 'methods', 3, 'Cross-model agreement detection'
+UNION ALL SELECT 'manifold', 1, printf('Clusters found: %d', (SELECT count(DISTINCT label) FROM v WHERE label <> -1))
+UNION ALL SELECT 'manifold', 2, printf('Noise points: %d (%.1f%%)', (SELECT count(*) FROM v WHERE label = -1),
+                                       (SELECT 100.0 * count(*) FILTER (WHERE label = -1) / count(*) FROM v))
+UNION ALL SELECT 'manifold', 3, printf('Silhouette score: %.3f', (SELECT silhouette FROM sil))
+UNION ALL SELECT 'consistency', 1, printf('Mean consistency: %.3f', (SELECT coalesce(avg(consistency_score), 0.0) FROM cm))
+UNION ALL SELECT 'consistency', 2, printf('Mean embedding variance: %.3f',
+                                          (SELECT coalesce(avg(embedding_variance), 0.0) FROM cm))
+UNION ALL SELECT 'agreement', 1, printf('Mean agreement: %.3f', (SELECT avg(agreement_score) FROM ap))
+UNION ALL SELECT 'agreement', 2, printf('Model pairs: %d', (SELECT count(*) FROM ap))
+UNION ALL SELECT 'combined', 1, printf('Mean combined score: %.3f', (SELECT avg(combined_score) FROM comb))
+UNION ALL SELECT 'combined', 2, printf('Score range: %.3f - %.3f', (SELECT min(combined_score) FROM comb),
+                                       (SELECT max(combined_score) FROM comb))
+UNION ALL SELECT 'top', rank, printf('%d. Score %.3f: %s...', rank, combined_score, substr(prompt, 1, 60))
+  FROM ranked WHERE rank <= 5
+UNION ALL SELECT 'bottom', rank - total + 5, printf('%d. Score %.3f: %s...', rank - total + 5, combined_score,
+                                                    substr(prompt, 1, 60))
+  FROM ranked WHERE rank > total - 5"""
