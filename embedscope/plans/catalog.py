@@ -567,3 +567,34 @@ def q_agreement_report(spark, sf):
     from embedscope.operators.reports import agreement_report
     pairs = pairwise_agreement(_agreement_dists(spark, sf))
     return agreement_report(global_agreement(pairs), pairs, _prompt_agreement(spark, sf))
+
+
+# ---------------------------------------------------------------- streaming
+
+@register("stream_manifold_scores")
+def q_stream_manifold_scores(spark, sf):
+    """The embeddings file as a stream scored against the centres of the
+    given labels (stateless, append, availableNow)."""
+    from embedscope.streaming.stream import embeddings_stream, run_to_table, score_stream
+    cents = C.centres(T.vectors(spark, sf))
+    return run_to_table(spark, lambda sink, ck: score_stream(spark, embeddings_stream(spark, sf), cents,
+                                                            sink, ck), "x1")
+
+
+@register("event_drift")
+def q_event_drift(spark, sf):
+    """X2 (batch): daily profile of each event type and its cosine drift
+    from the previous day."""
+    from embedscope.streaming.stream import daily_profiles, drift
+    ev = T.table(spark, sf, "events").select("ts", "event_type", "value")
+    return drift(daily_profiles(ev))
+
+
+@register("stream_event_drift")
+def q_stream_event_drift(spark, sf):
+    """X2 (streaming): watermarked daily profiles from the events stream,
+    then the drift step on the sink."""
+    from embedscope.streaming.stream import drift, events_stream, run_to_table, stream_daily_profiles
+    prof = run_to_table(spark, lambda sink, ck: stream_daily_profiles(spark, events_stream(spark, sf),
+                                                                      sink, ck), "x2")
+    return drift(prof)

@@ -602,3 +602,25 @@ UNION ALL SELECT 'top', rank, printf('%d. Score %.3f: %s...', rank, combined_sco
 UNION ALL SELECT 'bottom', rank - total + 5, printf('%d. Score %.3f: %s...', rank - total + 5, combined_score,
                                                     substr(prompt, 1, 60))
   FROM ranked WHERE rank > total - 5"""
+
+# ---------------------------------------------------------------- streaming
+
+ORACLES["stream_manifold_scores"] = f"""WITH {V}, {centres_cte('v')},
+d AS (SELECT v.id, c.label, {cos_raw('v.e', 'c.c')} AS d,
+        row_number() OVER (PARTITION BY v.id ORDER BY {cos_raw('v.e', 'c.c')}, c.label) AS rk FROM v, c)
+SELECT id, CAST(label AS BIGINT) AS nearest_label, {r('d')} AS manifold_distance FROM d WHERE rk = 1"""
+
+DRIFT = f"""WITH
+p AS (SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, value AS f0,
+        sin(2.0 * pi() / 24.0 * hour(ts)) AS f1, cos(2.0 * pi() / 24.0 * hour(ts)) AS f2 FROM events),
+a AS (SELECT event_type, day, count(*) AS n, sum(f0) / count(*) AS c0, sum(f1) / count(*) AS c1,
+        sum(f2) / count(*) AS c2 FROM p GROUP BY event_type, day),
+l AS (SELECT *, lag(day) OVER w AS prev_day, lag(c0) OVER w AS p0, lag(c1) OVER w AS p1, lag(c2) OVER w AS p2
+      FROM a WINDOW w AS (PARTITION BY event_type ORDER BY day))
+SELECT event_type, strftime(day, '%Y-%m-%d') AS day, CAST(n AS BIGINT) AS n,
+  strftime(prev_day, '%Y-%m-%d') AS prev_day,
+  {r('CASE WHEN p0 IS NOT NULL THEN 1.0 - (c0 * p0 + c1 * p1 + c2 * p2) / (sqrt(c0 * c0 + c1 * c1 + c2 * c2) * sqrt(p0 * p0 + p1 * p1 + p2 * p2)) END')} AS drift
+FROM l"""
+
+ORACLES["event_drift"] = DRIFT
+ORACLES["stream_event_drift"] = DRIFT
