@@ -598,3 +598,25 @@ def q_stream_event_drift(spark, sf):
     prof = run_to_table(spark, lambda sink, ck: stream_daily_profiles(spark, events_stream(spark, sf),
                                                                       sink, ck), "x2")
     return drift(prof)
+
+
+# ---------------------------------------------------------------- hierarchical density clustering
+
+@register("hdbscan")
+def q_hdbscan(spark, sf):
+    """M6: hierarchical density clustering of the planted vectors
+    (min_cluster_size 3, min_samples 2), labels per vector."""
+    from embedscope.operators.hdbscan import hdbscan
+    return hdbscan(T.planted(spark, sf), 3, 2)[0]
+
+
+@register("full_pipeline")
+def q_full_pipeline(spark, sf):
+    """Q9: HDBSCAN -> manifold score -> consistency of the five responses
+    -> agreement of three models -> fusion -> report, written to the shared
+    folder; returns the combined ranking."""
+    from embedscope.plans.pipeline import run_full_pipeline
+    p = T.planted(spark, sf).select("id", "embedding")
+    out = run_full_pipeline(p, T.prompts(spark, sf), models=T.models(spark, sf),
+                            responses=T.responses(spark, sf))
+    return out["combined"]

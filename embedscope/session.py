@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,9 +79,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared checkpoint folder)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows as a Parquet table in the shared
+    checkpoint folder and read them back.
+
+    A written table survives the loss of executors like a reliable
+    checkpoint, and unlike ``Dataset.checkpoint`` it gives the planner the
+    real size of the data: a checkpoint carries the estimate of the plan it
+    replaces, and in an iterative job (connected components, Boruvka
+    rounds) those estimates multiply round after round until planning
+    itself stalls.
+    """
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/embedscope-cut/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def default_parallelism(spark: SparkSession) -> int:
