@@ -624,3 +624,17 @@ FROM l"""
 
 ORACLES["event_drift"] = DRIFT
 ORACLES["stream_event_drift"] = DRIFT
+
+_CONV_WITH = ORACLES["conversation_consistency"].split("\nSELECT id, prompt, n_responses,")[0]
+
+ORACLES["consistency_report"] = _CONV_WITH + """,
+tot AS (SELECT count(*) AS total FROM cons)
+SELECT 'summary' AS section, CAST(1 AS BIGINT) AS position, printf('Prompts analysed: %d', (SELECT total FROM tot)) AS text
+UNION ALL SELECT 'summary', 2, printf('Mean consistency: %.3f (std %.3f)',
+  (SELECT coalesce(avg(consistency_score), 0.0) FROM cons), (SELECT coalesce(stddev_pop(consistency_score), 0.0) FROM cons))
+UNION ALL SELECT 'summary', 3, printf('Mean embedding variance: %.6f', (SELECT coalesce(avg(embedding_variance), 0.0) FROM cons))
+UNION ALL SELECT 'least_consistent', rank, printf('%d. Score %.3f: %s...', rank, coalesce(consistency_score, 0.0),
+  substr(prompt, 1, 60)) FROM cons WHERE rank <= 5
+UNION ALL SELECT 'most_consistent', rank - (SELECT total FROM tot) + 5,
+  printf('%d. Score %.3f: %s...', rank - (SELECT total FROM tot) + 5, coalesce(consistency_score, 0.0), substr(prompt, 1, 60))
+  FROM cons WHERE rank > (SELECT total FROM tot) - 5"""
