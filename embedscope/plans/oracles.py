@@ -638,3 +638,12 @@ UNION ALL SELECT 'least_consistent', rank, printf('%d. Score %.3f: %s...', rank,
 UNION ALL SELECT 'most_consistent', rank - (SELECT total FROM tot) + 5,
   printf('%d. Score %.3f: %s...', rank - (SELECT total FROM tot) + 5, coalesce(consistency_score, 0.0), substr(prompt, 1, 60))
   FROM cons WHERE rank > (SELECT total FROM tot) - 5"""
+
+ORACLES["agreement_report"] = f"""WITH {V}, {PAGR}
+SELECT 'summary' AS section, CAST(1 AS BIGINT) AS position, printf('Model pairs: %d', (SELECT count(*) FROM ap)) AS text
+UNION ALL SELECT 'summary', 2, printf('Mean agreement: %.3f (std %.3f)', (SELECT avg(agreement_score) FROM ap),
+  (SELECT stddev_pop(agreement_score) FROM ap))
+UNION ALL SELECT 'pairs', row_number() OVER (ORDER BY model1, model2),
+  printf('%s: agreement %.3f, mean distance %.3f', model1 || '_vs_' || model2, agreement_score, mean_distance) FROM ap
+UNION ALL SELECT 'disagreement', rank, printf('%d. Score %.3f: %s...', rank, agreement_score, substr(prompt, 1, 60))
+  FROM par WHERE rank <= 5"""
