@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from embedscope.llm.blocknames import OP3_SQL, op3_exact_dedup
+from embedscope.llm.mixing import op10_mixing
+from embedscope.llm.packing import op5_packing
 from embedscope.llm.quality import op9_quality
+from embedscope.llm.tokenfiles import op7_token_files
 from embedscope.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_packing": op5_packing,
+    "op7_token_files": op7_token_files,
     "op9_quality": op9_quality,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
