@@ -22,7 +22,9 @@ GROUP_CHARS = 2 << 20
 _CHUNK = re.compile(rb"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: White space other than space, tab and line ends: runs of it may join the
 #: space before a chunk, so such texts are encoded whole.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　]")
+_OTHER_SPACE = re.compile("[" + "".join(map(chr, (
+    0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 
 
 class Encoder:

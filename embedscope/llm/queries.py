@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from embedscope.llm.blocknames import OP3_SQL, op3_exact_dedup
+from embedscope.llm.minhash import OP2_SQL, op2_near_dedup
 from embedscope.llm.mixing import op10_mixing
 from embedscope.llm.packing import op5_packing
 from embedscope.llm.quality import op9_quality
@@ -11,6 +12,7 @@ from embedscope.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_packing": op5_packing,
     "op7_token_files": op7_token_files,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_near_dedup": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
 }
