@@ -220,7 +220,7 @@ def _verify(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             b += [int(node[lo + j]) for _, j in pairs]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return tasks.join(sets, "node").groupBy("k1", "k2", "k3").applyInArrow(run, "a long, b long")
+    return tasks.join(sets.hint("merge"), "node").groupBy("k1", "k2", "k3").applyInArrow(run, "a long, b long")
 
 
 def _blocked(nodes: DataFrame) -> DataFrame:
@@ -255,13 +255,14 @@ def near_groups(docs: DataFrame, keys: list[str], cuts: Cuts, words: int = 5, pe
         F.any_value("bands").alias("bands")))
     banded = classes.select("node", F.explode(_bands_array(bands)).alias("h"))
     hubs = banded.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
-    near = components(banded.join(hubs.select("h", "hub"), "h").where("node <> hub")
+    near = components(banded.join(hubs.select("h", "hub").hint("merge"), "h").where("node <> hub")
                       .select(F.col("node").alias("a"), F.col("hub").alias("b")), cuts)
     nodes = cuts.cut(_blocked(classes.join(near, "node").select("node", F.col("component").alias("grp"), "n", "set_key")))
 
     picked = nodes.select(F.col("node").alias("__node"), F.col("set_key").alias("__key"))
+    # merge joins at every size: no plan that only small inputs can have
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(
-        picked, F.col("__id") == F.col("__node")).select("__node", "__key", "text")
+        picked.hint("merge"), F.col("__id") == F.col("__node")).select("__node", "__key", "text")
 
     def elements(batches):
         for b in batches:
@@ -312,7 +313,7 @@ def near_groups(docs: DataFrame, keys: list[str], cuts: Cuts, words: int = 5, pe
     final = classes.select("set_key", "node").join(joined, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("__c"))
     own = F.col("doc_id").cast("long")
-    return signed.select(*keys, "doc_id", "n_shingles", "set_key").join(final, "set_key", "left").select(
+    return signed.select(*keys, "doc_id", "n_shingles", "set_key").join(final.hint("merge"), "set_key", "left").select(
         *keys, "doc_id", "n_shingles",
         F.when(own.isNotNull(), F.coalesce("__c", own)).alias("component_id"),
         (own.isNull() | (F.coalesce("__c", own) == own)).alias("kept"))
