@@ -15,13 +15,20 @@ from array import array
 
 import numpy as np
 
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 80 << 20  # of each of two generations
 ENTRY_BYTES = 170
-GROUP_CHARS = 2 << 20
+GROUP_CHARS = 1 << 20
+
+#: Byte-level vocabularies show a byte as a character: printable Latin-1 as
+#: itself, the others as U+0100 and up, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 _CHUNK = re.compile(rb"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_UNEVEN = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r")
 #: White space other than space, tab and line ends: runs of it may join the
 #: space before a chunk, so such texts are encoded whole.
+_CONTROL = (b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (
     0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C),
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
@@ -47,47 +54,109 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         mark = self.tokenizer.encode("\n" if keeps_space else "~", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.cache: dict[bytes, bytes] = {}
+        self.line_end = np.array(mark, self.dtype).tobytes()
+        self.merges = self.tokenizer.model.tokenize
+        self.signs = {c.encode(): array(self.code, [t.id for t in self.merges(c)]).tobytes() for c in ".,"}
+        self.recent: dict = {}
+        self.older: dict = {}
         self.held = 0
 
+    # A key says which part of a text it stands for: bytes without leading white
+    # space for a word (after a space, where that is kept), bytes with a leading
+    # line end for that and a word, (0, word) for a word at the start of the
+    # text, (1, chunk) for any other chunk.
+
+    def _keys(self, text: str) -> list | None:
+        data = text.encode("utf-8")
+        if not self.keeps_space:
+            return data.split()  # at ASCII white space
+        if any(c in data for c in _CONTROL) if data.isascii() else _OTHER_SPACE.search(text):
+            return None
+        # each gap is one space or one line end, none at the ends
+        if data and data[0] not in b" \n" and data[-1] not in b" \n" and not any(g in data for g in _UNEVEN):
+            keys = data.replace(b"\n", b" \n").split(b" ")
+            keys[0] = (0, keys[0])
+            return keys
+        keys = []
+        for c in _CHUNK.findall(data):
+            word = c.lstrip(b" \t\n\r")
+            gap = c[:len(c) - len(word)]
+            if not word or len(gap) > 1 or gap not in (b"", b" ", b"\n") or (not gap and keys):
+                keys.append((1, c))
+            else:
+                keys.append(word if gap == b" " else c if gap else (0, c))
+        return keys
+
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in done]
 
-    def _joinable(self, chunk: bytes) -> bool:
-        """Whether the mark before and after the chunk leaves its ids alone."""
-        if self.keeps_space:  # the mark is a line end
-            return chunk[0] not in b"\t\n\r" and chunk[:2] != b"  " and chunk != b" "
-        return b"~" not in chunk  # the mark is a word of its own
-
-    def _fresh(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of many chunks: one text with marks between them, whose ids are
-        cut at the marks; what the marks could touch goes to the library alone."""
-        joined = [c for c in chunks if self._joinable(c)] if self.mark is not None else []
-        found: dict[bytes, bytes] = {}
-        for i in range(0, len(joined), 2048):
-            part = joined[i:i + 2048]
-            text = (b"\n" if self.keeps_space else b" ~ ").join(part).decode("utf-8")
+    def _unit(self, key) -> tuple[bytes, bytes, bool]:
+        """What precedes the ids of a key's text, the text, and whether marks
+        around the text leave its ids alone."""
+        if not self.keeps_space:
+            return b"", key, b"~" not in key  # the mark is a word of its own
+        if type(key) is tuple:  # the mark is a line end
+            return b"", key[1], key[0] == 0 and bool(key[1])
+        return (self.line_end, key[1:], len(key) > 1) if key[:1] == b"\n" else (b"", b" " + key, True)
+
+    def _plain(self, key) -> bytes | None:
+        """The ids of a word of Latin letters with at most one full stop or comma
+        after it, straight from the library's merges: such a word is one part of
+        the split and the sign another.  None for any other key."""
+        bare = type(key) is tuple or key[:1] == b"\n"
+        if type(key) is tuple:
+            if key[0]:
+                return None
+            word = key[1]
+        else:
+            word = key[1:] if bare else key
+        sign = self.signs.get(word[-1:], b"")
+        body = word[:-1] if sign else word
+        text = body.decode("utf-8")
+        if not text.isalpha() or max(text) > "\xff":
+            return None
+        if self.keeps_space:
+            shown = text
+        else:
+            shown = text.lower()
+        if not body.isascii():
+            shown = shown.encode("utf-8").decode("latin-1").translate(_SHOWN)
+        tokens = self.merges(shown if bare or not self.keeps_space else "\u0120" + shown)
+        ids = array(self.code, [t.id for t in tokens]).tobytes()
+        return (self.line_end if key[:1] == b"\n" else b"") + ids + sign
+
+    def _fresh(self, keys: list) -> dict:
+        """The ids of many keys: plain words one by one; for the rest one text
+        with marks between theirs, whose ids are cut at the marks; what marks
+        could touch is encoded alone."""
+        found: dict = {}
+        units = []
+        for k in keys:
+            ids = self._plain(k)
+            if ids is None:
+                units.append((k, *self._unit(k)))
+            else:
+                found[k] = ids
+        joined = [u for u in units if u[3]] if self.mark is not None else []
+        w = self.dtype.itemsize
+        for i in range(0, len(joined), 512):
+            part = joined[i:i + 512]
+            text = (b"\n" if self.keeps_space else b" ~ ").join([u[2] for u in part]).decode("utf-8")
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(ids == self.mark)
             if len(at) != len(part) - 1:
                 continue
-            w = self.dtype.itemsize
             data = ids.tobytes()
             starts, ends = [0, *((at + 1) * w).tolist()], [*(at * w).tolist(), len(data)]
-            found.update(zip(part, [data[a:b] for a, b in zip(starts, ends)]))
-        alone = [c for c in chunks if c not in found]
-        for i in range(0, len(alone), 2048):
-            part = alone[i:i + 2048]
-            found.update(zip(part, self._library([c.decode("utf-8") for c in part])))
+            found.update({u[0]: u[1] + data[a:b] for u, a, b in zip(part, starts, ends)})
+        alone = [u for u in units if u[0] not in found]
+        for i in range(0, len(alone), 512):
+            part = alone[i:i + 512]
+            done = self._library([u[2].decode("utf-8") for u in part])
+            found.update({u[0]: u[1] + d for u, d in zip(part, done)})
         return found
 
-    def _chunks(self, text: str) -> list[bytes] | None:
-        data = text.encode("utf-8")
-        if not self.keeps_space:
-            return data.split()  # at ASCII white space
-        return None if _OTHER_SPACE.search(text) else _CHUNK.findall(data)
-
     def packed(self, texts: list[str | None]):
         group, size = [], 0
         for t in texts:
@@ -99,18 +168,37 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[str]):
-        chunked = [self._chunks(t) for t in texts]
-        wanted = set().union(*[c for c in chunked if c])
-        missing = wanted.difference(self.cache)
+        parts, holes = [], []
+        wanted: dict = {}
+        recent, older = self.recent, self.older
+        for t in texts:
+            keys = self._keys(t)
+            if keys is None:
+                parts.append(self._library([t]))
+                continue
+            found = list(map(recent.get, keys))
+            parts.append(found)
+            if None in found:
+                for i, v in enumerate(found):
+                    if v is None:
+                        k = keys[i]
+                        v = older.get(k)
+                        if v is None:
+                            holes.append((found, i, k))
+                            wanted[k] = None
+                        else:
+                            found[i] = recent[k] = v
+                            self.held += len(k) + len(v) + ENTRY_BYTES
+        if wanted:
+            fresh = self._fresh(list(wanted))
+            for found, i, k in holes:
+                found[i] = fresh[k]
+            recent.update(fresh)
+            self.held += sum(map(len, fresh)) + sum(map(len, fresh.values())) + ENTRY_BYTES * len(fresh)
         if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held, missing = 0, wanted
-        fresh = self._fresh(list(missing))
-        self.held += sum(map(len, fresh)) + sum(map(len, fresh.values())) + ENTRY_BYTES * len(fresh)
-        self.cache.update(fresh)
-        get = self.cache.__getitem__
-        for t, chunks in zip(texts, chunked):
-            yield self._library([t])[0] if chunks is None else b"".join(map(get, chunks))
+            self.recent, self.older, self.held = {}, recent, 0
+        for found in parts:
+            yield b"".join(found)
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

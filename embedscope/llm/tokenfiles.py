@@ -48,7 +48,10 @@ _DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("start", "<u8")])
 
 def _bit_lengths(d: np.ndarray) -> np.ndarray:
     """Bits of unsigned 32-bit numbers (0 for 0)."""
-    return np.frexp(d.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(d.astype(np.float64))[1]
+
+
+_LENGTHS = _bit_lengths(np.arange(1 << 16)).astype(np.uint8)
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -56,19 +59,20 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     count, n = ids.shape
     low = ids.min(axis=1)
     diff = ids - low[:, None]
-    lengths = _bit_lengths(diff)
-    ordered = np.sort(lengths, axis=1)
-    widths = ordered[:, [min(n - 1, -(-n * p // 100) - 1) for p in PERCENTILES]]
-    over = (lengths[:, :, None] > widths[:, None, :]).sum(axis=1)
+    lengths = _LENGTHS[diff] if diff.max(initial=0) < 1 << 16 else _bit_lengths(diff).astype(np.uint8)
+    at_most = np.cumsum(np.bincount(
+        (np.arange(count)[:, None] * 33 + lengths).ravel(), minlength=33 * count).reshape(count, 33), axis=1)
+    widths = np.stack([(at_most < -(-n * p // 100)).sum(axis=1) for p in PERCENTILES], axis=1)
+    over = n - np.take_along_axis(at_most, widths, axis=1)
     sizes = (n * widths + 7) // 8 + 6 * over
     width = widths[np.arange(count), sizes.argmin(axis=1)]
     out: list[bytes] = [b""] * count
     for w in np.unique(width):
         at = np.nonzero(width == w)[0]
-        part = diff[at]
-        bits = ((part[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+        bits = np.unpackbits(diff[at].astype("<u4").view(np.uint8).reshape(len(at), n, 4)[:, :, :(int(w) + 7) // 8],
+                             axis=2, bitorder="little")[:, :, :w]
         packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
-        for k, b in enumerate(at):
+        for k, b in enumerate(at.tolist()):
             places = np.nonzero(lengths[b] > w)[0]
             out[b] = b"".join((
                 _BLOCK.pack(int(low[b]), int(w), n, len(places)), packed[k].tobytes(),
