@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from embedscope.llm.blocknames import OP3_SQL, op3_exact_dedup
+from embedscope.llm.linktrust import OP6_SQL, op6_url_filter
 from embedscope.llm.minhash import OP2_SQL, op2_near_dedup
 from embedscope.llm.mixing import op10_mixing
 from embedscope.llm.packing import op5_packing
 from embedscope.llm.quality import op9_quality
+from embedscope.llm.rotcodes import OP4_SQL, op4_embedding_dedup
 from embedscope.llm.tokenfiles import op7_token_files
 from embedscope.llm.toxicity import op1_toxicity
 
@@ -14,7 +16,9 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_packing": op5_packing,
+    "op6_url_filter": op6_url_filter,
     "op7_token_files": op7_token_files,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
@@ -23,4 +27,6 @@ QUERIES = {
 ORACLES = {
     "op2_near_dedup": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op4_embedding_dedup": OP4_SQL,
+    "op6_url_filter": OP6_SQL,
 }
