@@ -8,6 +8,7 @@ from embedscope.llm.minhash import OP2_SQL, op2_near_dedup
 from embedscope.llm.mixing import op10_mixing
 from embedscope.llm.packing import op5_packing
 from embedscope.llm.quality import op9_quality
+from embedscope.llm.quotes import op8_quotation_links
 from embedscope.llm.rotcodes import OP4_SQL, op4_embedding_dedup
 from embedscope.llm.tokenfiles import op7_token_files
 from embedscope.llm.toxicity import op1_toxicity
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
     "op7_token_files": op7_token_files,
+    "op8_quotation_links": op8_quotation_links,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
