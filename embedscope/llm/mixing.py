@@ -32,7 +32,7 @@ CAP = 2.0
 BLOCK_WORDS = 128
 SHARDS = 32
 SEED = 20
-ROUNDS = 24
+ROUNDS = 16
 BUCKET_ROWS = 20_000
 
 _SPACE = r"\\x20\\x09-\\x0D"
@@ -118,11 +118,12 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 def _permuted(block: str, n: str, keys: str) -> str:
     """SQL: the place of ``block`` in a keyed permutation of ``0 .. n-1``.
 
-    Swap-or-not rounds: each round pairs x with key - x (mod n) and swaps the
+    Swap-or-not rounds: each round pairs x with k - x (mod n) and swaps the
     two if a hash bit of the pair says so; a bijection for every n.
     """
-    return f"""aggregate({keys}, cast({block} as bigint), (x, k) ->
-        if(xxhash64(k, greatest(x, pmod(pmod(k, {n}) - x, {n}))) % 2 = 0, x, pmod(pmod(k, {n}) - x, {n})))"""
+    other = f"if(k.k >= x, k.k - x, k.k - x + {n})"
+    return f"""aggregate({keys}, cast({block} as bigint),
+        (x, k) -> if(xxhash64(k.s, greatest(x, {other})) % 2 = 0, x, {other}))"""
 
 
 def source_targets(sized: DataFrame, cuts: Cuts, weights=WEIGHTS, share: float = SHARE,
@@ -183,7 +184,8 @@ def mix(docs: DataFrame, keys: list[str], cuts: Cuts, weights=WEIGHTS, share: fl
         F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS)).cast("long").alias("buckets"),
         # tickets that have been dealt after each shard
         F.expr("transform(given, (g, i) -> aggregate(slice(given, 1, i + 1), 0L, (a, x) -> a + x.n))").alias("ends"),
-        *[F.expr(f"transform(sequence(1, {ROUNDS}), r -> xxhash64({seed}, idx, {e}, r))").alias(f"keys{e}")
+        *[F.expr(f"transform(sequence(1, {ROUNDS}), r -> named_struct('k', pmod(xxhash64({seed}, idx, {e}, r), "
+                 f"greatest(blocks, 1L)), 's', xxhash64({seed}, idx, {e}, r, 1)))").alias(f"keys{e}")
           for e in range(int(cap))]))
 
     rows = sized.join(targets.select(F.col("source").alias("__s"), "buckets"),
@@ -201,11 +203,17 @@ def mix(docs: DataFrame, keys: list[str], cuts: Cuts, weights=WEIGHTS, share: fl
         *keys, "doc_id", "source", "size", "__h", (F.col("before") + F.col("__in")).alias("start"))
     rows = rows.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
 
-    tickets = ", ".join(f"named_struct('pass', {e}, 'block', b, 'ticket', {e} * blocks + "
-                        f"{_permuted('b', 'blocks', f'keys{e}')})" for e in range(int(cap)))
+    def tickets(count: int) -> str:
+        return "array(" + ", ".join(f"named_struct('pass', {e}, 'block', b, 'ticket', {e} * blocks + "
+                                    f"{_permuted('b', 'blocks', f'keys{e}')})" for e in range(count)) + ")"
+
+    most = int(cap)
+    deals = tickets(most)
+    for e in range(most - 1, 0, -1):  # passes beyond the quota have no tickets
+        deals = f"if(element_at(ends, -1) <= {e} * blocks, {tickets(e)}, {deals})"
     w = f"{block_words}L"
     pieces = f"""if(size = 0, array(), transform(
-        filter(flatten(transform(sequence(start div {w}, (start + size - 1) div {w}), b -> array({tickets}))),
+        filter(flatten(transform(sequence(start div {w}, (start + size - 1) div {w}), b -> {deals})),
                t -> t.ticket < element_at(ends, -1)),
         t -> named_struct(
             'pass', t.pass, 'block', t.block,

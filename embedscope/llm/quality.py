@@ -29,7 +29,7 @@ BITS = 20
 EPOCHS = 3
 CACHE_WORDS = 300_000
 
-_WORD = re.compile(r"[^\W_]+|([^\w\s]|_)\1*|\n")
+_WORD = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -38,7 +38,7 @@ def _shape(word: str) -> str:
     if word[0].isdigit():
         return "9"
     if not word[0].isalpha():
-        return word[0] if len(word) == 1 else word[0] * 2 if len(word) == 2 else word[0] * 3
+        return word[:3]
     if word.islower():
         return "a"
     if len(word) > 1 and word.isupper():
@@ -47,14 +47,28 @@ def _shape(word: str) -> str:
 
 
 class _Hashes(dict):
-    """word -> (word hash, shape hash), bounded: emptied when full."""
-
-    def __missing__(self, word: str):
-        if len(self) >= CACHE_WORDS:
+    """word -> row of ``word_hash`` and ``shape_hash``; emptied between two texts
+    when full."""
+
+    def __init__(self):
+        self.word_hash = np.empty(1 << 12, np.uint64)
+        self.shape_hash = np.empty(1 << 12, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        i = len(self)
+        if i >= len(self.word_hash):
+            self.word_hash = np.concatenate([self.word_hash, self.word_hash])
+            self.shape_hash = np.concatenate([self.shape_hash, self.shape_hash])
+        self.word_hash[i] = xxh3_64_intdigest(word.lower(), 1)
+        self.shape_hash[i] = xxh3_64_intdigest(_shape(word), 2)
+        self[word] = i
+        return i
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > CACHE_WORDS:
             self.clear()
-        value = (xxh3_64_intdigest(word.lower(), 1), xxh3_64_intdigest(_shape(word), 2))
-        self[word] = value
-        return value
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.word_hash[at], self.shape_hash[at]
 
 
 _REPEAT = np.uint64(xxh3_64_intdigest("repeat", 3))
@@ -79,27 +93,15 @@ def _grams(h: np.ndarray, orders: tuple[int, ...], seed: int) -> np.ndarray:
 
 def features(text: str, cache: _Hashes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells (int32) and values (float32) of one whole text."""
-    words, marks, seen, start = [], [], set(), 0
-    for m in _WORD.finditer(text):
-        w = m.group()
-        if w == "\n":
-            line = text[start:m.start()]
-            start = m.end()
-            if len(line) > 1:
-                if line in seen:
-                    marks.append(len(words))
-                seen.add(line)
-            continue
-        words.append(w)
-    if start and text[start:] in seen and len(text) > start + 1:
-        marks.append(len(words))
+    words = _WORD.findall(text)
     if not words:
         return np.zeros(1, np.int32), np.ones(1, np.float32)
-    both = np.array([cache[w] for w in words], np.uint64)
-    h, s = both[:, 0], both[:, 1].copy()
+    h, s = cache.of(words)
     s[1:][h[1:] == h[:-1]] = _REPEAT
-    if marks:
-        s = np.insert(s, marks, _LINE)
+    lines = [x for x in text.split("\n") if len(x) > 1]
+    again = len(lines) - len(set(lines))
+    if again:
+        s = np.concatenate([s, np.full(again, _LINE)])
     mask = np.uint64((1 << (bits - 1)) - 1)
     idx, val = [np.zeros(1, np.int64)], [np.ones(1)]
     for offset, g in ((0, _grams(h, (1, 2), 10)), (1 << (bits - 1), _grams(s, (1, 2, 3), 20))):

@@ -19,7 +19,6 @@ and upper third become grades 1, 2 and 3.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -42,26 +41,34 @@ _FTRL = dict(alpha=0.2, beta=1.0, l1=0.3, l2=0.2)
 
 
 class _Cells(dict):
-    """word -> tuple of cells, bounded: emptied when full."""
+    """word -> row of ``cells`` (-1: none); emptied between two texts when full."""
 
     def __init__(self, bits: int):
         self.mask = (1 << bits) - 1
+        self.cells = np.empty((1 << 12, 1 + len(PREFIXES)), np.int32)
 
-    def __missing__(self, word: str):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = (xxh3_64_intdigest(word, 11) & self.mask, *[
-            xxh3_64_intdigest(word[:n], 12) & self.mask for n in PREFIXES if len(word) >= n])
-        self[word] = value
-        return value
+    def __missing__(self, word: str) -> int:
+        i = len(self)
+        if i >= len(self.cells):
+            self.cells = np.concatenate([self.cells, self.cells])
+        self.cells[i] = [xxh3_64_intdigest(word, 11) & self.mask, *[
+            xxh3_64_intdigest(word[:n], 12) & self.mask if len(word) >= n else -1 for n in PREFIXES]]
+        self[word] = i
+        return i
 
 
 def features(text: str, cache: _Cells) -> tuple[np.ndarray, np.ndarray]:
-    cells = [c for w, n in Counter(_WORD.findall(text.lower())).items() for c in cache[w] for _ in range(min(n, 3))]
-    if not cells:
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
+    words = _WORD.findall(text.lower())
+    if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    idx, counts = np.unique(np.array(cells, np.int32), return_counts=True)
-    return idx, np.log1p(counts).astype(np.float32)
+    rows, times = np.unique(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)), return_counts=True)
+    cells = cache.cells[rows]
+    times = np.broadcast_to(np.minimum(times, 3)[:, None], cells.shape)
+    there = cells >= 0
+    idx, at = np.unique(cells[there], return_inverse=True)
+    return idx, np.log1p(np.bincount(at, times[there])).astype(np.float32)
 
 
 def grade(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, grades: int = GRADES,
