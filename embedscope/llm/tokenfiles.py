@@ -69,9 +69,12 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     out: list[bytes] = [b""] * count
     for w in np.unique(width):
         at = np.nonzero(width == w)[0]
-        bits = np.unpackbits(diff[at].astype("<u4").view(np.uint8).reshape(len(at), n, 4)[:, :, :(int(w) + 7) // 8],
-                             axis=2, bitorder="little")[:, :, :w]
-        packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+        part = diff[at].astype("<u4").view(np.uint8).reshape(len(at), n, 4)[:, :, :(int(w) + 7) // 8]
+        if w % 8:
+            bits = np.unpackbits(part, axis=2, bitorder="little")[:, :, :w]
+            packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+        else:  # whole bytes
+            packed = np.ascontiguousarray(part).reshape(len(at), -1)
         for k, b in enumerate(at.tolist()):
             places = np.nonzero(lengths[b] > w)[0]
             out[b] = b"".join((
@@ -85,6 +88,8 @@ def decode_block(data: memoryview, at: int) -> np.ndarray:
     at += _BLOCK.size
     size = (n * width + 7) // 8
     out = np.zeros(n, np.uint64)
+    if width == 16 and low < 1 << 31 and not over:
+        return np.frombuffer(data, "<u2", n, at) + np.uint32(low)
     if width:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little")
         words = np.zeros((n, 32), np.uint8)
