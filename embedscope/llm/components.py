@@ -13,27 +13,30 @@ from pyspark.sql import functions as F
 
 from embedscope.llm.work import Cuts
 
+#: Rows that a task writes; keeps small rounds from writing many small files.
+ROWS_A_TASK = 100_000
+
 
 def components(edges: DataFrame, cuts: Cuts, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges (a, b)``; the component is
     named by its smallest node.  Loops, repeats and an empty table are allowed."""
     stars = cuts.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                      .distinct())
-    state = None
     for _ in range(max_rounds):
-        new_state = stars.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if state == new_state:
+        several = stars.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+        inner = stars.select("u").join(stars.select(F.col("v").alias("u")), "u", "left_semi")
+        if several.unionByName(inner).isEmpty():  # each node points at a root
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = new_state
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cuts.cut(large)
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        tasks = max(1, stars.count() // ROWS_A_TASK)
+        large = cuts.cut(large.coalesce(tasks))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        new = cuts.cut(small)
+        new = cuts.cut(small.coalesce(tasks))
         cuts.drop(stars, large)
         stars = new
     raise RuntimeError(f"components not found after {max_rounds} rounds")

@@ -285,30 +285,34 @@ def near_groups(docs: DataFrame, keys: list[str], cuts: Cuts, words: int = 5, pe
     joined = components(links, cuts)
     # groups of several blocks: representatives, as long as that joins anything
     wide = cuts.cut(nodes.where("blocks > 1").select("node", "grp", "n", "block"))
-    while not wide.isEmpty():
+    held = not wide.isEmpty()
+    while held:
         named = wide.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_groups = named.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-            .where("lo <> hi").select("grp")
+        open_groups = cuts.cut(named.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                               .where("lo <> hi").select("grp"))
+        held = not open_groups.isEmpty()
+        if not held:
+            break
         heads = _blocked(named.where("component = node").join(open_groups, "grp").select("node", "grp", "n"))
         more = cuts.cut(_within_blocks(heads, sets, percent, baskets))
         if more.isEmpty():
             break
-        links = cuts.cut(links.unionByName(more))
-        joined = components(links, cuts)
-    if not wide.isEmpty():
+        # the components so far are stars: few rounds join them further
+        joined = components(joined.toDF("a", "b").unionByName(more), cuts)
+    if held:
         # what is still apart: all pairs of blocks that hold more than one component
         named = cuts.cut(named.select("node", "grp", "block", "component"))
-        held = named.groupBy("grp", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        other = held.select("grp", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi")])
-        pairs = cuts.cut(held.join(other, "grp").where("block < block2 and least(lo, lo2) <> greatest(hi, hi2)")
+        spans = named.groupBy("grp", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        other = spans.select("grp", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi")])
+        pairs = cuts.cut(spans.join(other, "grp").where("block < block2 and least(lo, lo2) <> greatest(hi, hi2)")
                          .select("grp", "block", "block2"))
         if not pairs.isEmpty():
             sides = [named.join(pairs.withColumnRenamed("block" if s else "block2", "__o").withColumnRenamed(
                 "block2" if s else "block", "block"), ["grp", "block"]).select(
                     F.col("grp").alias("k1"), F.least("block", "__o").alias("k2"),
                     F.greatest("block", "__o").alias("k3"), "grp", F.lit(s).alias("side"), "node") for s in (0, 1)]
-            links = cuts.cut(links.unionByName(_verify(sides[0].unionByName(sides[1]), sets, percent)))
-            joined = components(links, cuts)
+            more = _verify(sides[0].unionByName(sides[1]), sets, percent)
+            joined = components(joined.toDF("a", "b").unionByName(more), cuts)
 
     final = classes.select("set_key", "node").join(joined, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("__c"))
