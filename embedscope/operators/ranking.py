@@ -1,10 +1,11 @@
 """Global ranking (W1), top-k (W3) and last-k.
 
 A window without PARTITION BY runs in a single task.  ``global_rank``
-instead range-partitions on the sort key, numbers rows inside each sorted
-partition, and adds the row count of all earlier partitions (a table with
-one row per partition, so its broadcast is bounded by the partition
-count).
+instead range-partitions and sorts once, writes the rows with their partition
+and position, and adds the row count of all earlier partitions, read from the
+written table (one row per partition, so its broadcast is bounded by the
+partition count).  Reading the counts from a second evaluation would be wrong:
+a range exchange samples its boundaries anew whenever it runs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from embedscope.session import cut_lineage
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -23,15 +26,15 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank",
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
-    numbered = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                .withColumn("__mid", F.monotonically_increasing_id())
+    numbered = (cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                            .withColumn("__mid", F.monotonically_increasing_id()))
                 .withColumn("__pid", F.shiftright("__mid", 33))
                 .withColumn("__loc", F.col("__mid").bitwiseAND(F.lit(_LOW33))))
     sizes = numbered.groupBy("__pid").agg((F.max("__loc") + 1).alias("__cnt"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__pid", F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"))
     return (numbered.join(F.broadcast(offsets), "__pid")
-            .select(*cols, (F.col("__off") + F.col("__loc") + 1).cast("int").alias(name)))
+            .select(*cols, (F.col("__off") + F.col("__loc") + 1).cast("bigint").alias(name)))
 
 
 def top_k(df: DataFrame, order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -56,5 +59,5 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str
     ranked = global_rank(df, [F.col(g) for g in group] + order, "__pos", partitions)
     first = ranked.groupBy(*group).agg(F.min("__pos").alias("__first"))
     return (ranked.join(first, group)
-            .withColumn(name, (F.col("__pos") - F.col("__first") + 1).cast("int"))
+            .withColumn(name, (F.col("__pos") - F.col("__first") + 1).cast("bigint"))
             .drop("__pos", "__first"))
