@@ -36,7 +36,7 @@ from embedscope.llm.work import Cuts, row_keyed, table
 
 BANDS = 48
 ROWS = 6
-GROUP_ELEMENTS = 400_000
+GROUP_ELEMENTS = 100_000
 BLOCK_DOCS = 256
 BLOCK_SHINGLES = 1_000_000
 
