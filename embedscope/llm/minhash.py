@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from embedscope.llm.components import components
@@ -122,7 +123,8 @@ def sign(docs: DataFrame, keys: list[str], words: int, bands: int, rows: int) ->
     """``(*keys, doc_id, n_shingles, set_key, bands)`` of every whole text."""
     frame = docs.select(*keys, "doc_id", "text")
     passed = [*keys, "doc_id"]
-    schema = frame.drop("text").schema.add("n_shingles", "long").add("set_key", "binary").add("bands", "binary")
+    schema = frame.drop("text").schema.add("n_shingles", "long").add("set_key", "binary") \
+        .add("bands", T.ArrayType(T.LongType()))
 
     def run(batches):
         for b in batches:
@@ -130,7 +132,7 @@ def sign(docs: DataFrame, keys: list[str], words: int, bands: int, rows: int) ->
 
             def flush():
                 for row in band_hashes(signatures(sets, bands * rows), bands, rows):
-                    hashes.append(row.tobytes())
+                    hashes.append(row.view(np.int64))
                 sets.clear()
 
             for t in b.column("text").to_pylist():
@@ -145,16 +147,12 @@ def sign(docs: DataFrame, keys: list[str], words: int, bands: int, rows: int) ->
             flush()
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in passed] + [pa.array(counts, pa.int64()), pa.array(names, pa.binary()),
-                                                 pa.array(hashes, pa.binary())],
+                                                 pa.array(hashes, pa.list_(pa.int64()))],
                 [*passed, "n_shingles", "set_key", "bands"])
 
     return frame.mapInArrow(run, schema)
 
 
-def _bands_array(bands: int):
-    return F.expr(f"transform(sequence(0, {bands - 1}), i -> substring(bands, i * 8 + 1, 8))")
-
-
 def linked(sets: list[np.ndarray], split: int | None, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with ``100 * common >= percent * union``;
     with ``split``, of the pairs across that position only.
@@ -253,7 +251,7 @@ def near_groups(docs: DataFrame, keys: list[str], cuts: Cuts, words: int = 5, pe
     classes = cuts.cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(
         F.min(F.col("doc_id").cast("long")).alias("node"), F.any_value("n_shingles").alias("n"),
         F.any_value("bands").alias("bands")))
-    banded = classes.select("node", F.explode(_bands_array(bands)).alias("h"))
+    banded = classes.select("node", F.explode("bands").alias("h"))
     hubs = banded.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
     near = components(banded.join(hubs.select("h", "hub").hint("merge"), "h").where("node <> hub")
                       .select(F.col("node").alias("a"), F.col("hub").alias("b")), cuts)
