@@ -114,14 +114,12 @@ class Encoder:
         sign = self.signs.get(word[-1:], b"")
         body = word[:-1] if sign else word
         text = body.decode("utf-8")
-        if not text.isalpha() or max(text) > "\xff":
-            return None
-        if self.keeps_space:
-            shown = text
+        if body.isalpha():  # of bytes: ASCII letters
+            shown = text if self.keeps_space else text.lower()
+        elif text.isalpha() and max(text) <= "\xff":
+            shown = (text if self.keeps_space else text.lower()).encode("utf-8").decode("latin-1").translate(_SHOWN)
         else:
-            shown = text.lower()
-        if not body.isascii():
-            shown = shown.encode("utf-8").decode("latin-1").translate(_SHOWN)
+            return None
         tokens = self.merges(shown if bare or not self.keeps_space else "\u0120" + shown)
         ids = array(self.code, [t.id for t in tokens]).tobytes()
         return (self.line_end if key[:1] == b"\n" else b"") + ids + sign
@@ -132,7 +130,12 @@ class Encoder:
         could touch is encoded alone."""
         found: dict = {}
         units = []
+        merges, code, space = self.merges, self.code, "\u0120" if self.keeps_space else ""
         for k in keys:
+            if type(k) is bytes and k.isalpha():  # ASCII letters alone: most of the keys
+                word = k.decode() if space else k.lower().decode()
+                found[k] = array(code, [t.id for t in merges(space + word)]).tobytes()
+                continue
             ids = self._plain(k)
             if ids is None:
                 units.append((k, *self._unit(k)))
