@@ -159,25 +159,41 @@ def _featurise(bits: int):
     return run
 
 
-def collected(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """The bounded sample's sparse rows in an order that only the ids decide."""
-    t = sample.toArrow()
-    rows = sorted(zip(t["doc_id"].to_pylist(), t["cells"].to_pylist(), t["vals"].to_pylist(), t["y"].to_pylist()),
-                  key=lambda r: (xxh3_64_intdigest(str(r[0])), r[3]))
-    return [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32), y) for _, c, v, y in rows]
+def trained(sample: DataFrame, learn) -> list[np.ndarray]:
+    """The arrays that ``learn(rows)`` makes of a bounded sample's sparse rows
+    ``(cells, vals, y)``, given in an order that only the ids decide.
+
+    The updates are sequential, so they run in one task, whose input is the
+    sample's bound at most; the driver receives the arrays alone.
+    """
+
+    def run(batches):
+        rows = []
+        for b in batches:
+            rows += zip(map(str, b.column("doc_id").to_pylist()), b.column("y").to_pylist(),
+                        b.column("cells").to_pylist(), b.column("vals").to_pylist())
+        rows.sort(key=lambda r: (xxh3_64_intdigest(r[0]), r[1]))
+        made = learn([(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32), y) for _, y, c, v in rows])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(made)), pa.int32()), pa.array([m.dtype.str for m in made]),
+             pa.array([m.tobytes() for m in made], pa.binary())], ["part", "kind", "data"])
+
+    parts = sample.repartition(1).mapInArrow(run, "part int, kind string, data binary").collect()
+    if not parts:  # an empty plan runs no task
+        return list(learn([]))
+    return [np.frombuffer(bytes(r.data), r.kind) for r in sorted(parts, key=lambda r: r.part)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, where=None, sample_rows: int = SAMPLE_ROWS,
         bits: int = BITS) -> np.ndarray:
     """Weights (``2**bits`` floats) from at most ``sample_rows`` labelled documents.
 
-    The features of the sample are made on the executors; the updates, which
-    are sequential by nature, run over that bounded sample in one process.
+    Both the sample's features and the updates are made on the executors.
     """
     sample = labelled_sample(docs, labels, {"y": F.col("quality").cast("int")}, sample_rows, where)
     sample = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
-    return train_ftrl(collected(
-        sample.mapInArrow(_featurise(bits), "doc_id long, y int, cells binary, vals binary")), bits)
+    made = sample.mapInArrow(_featurise(bits), "doc_id long, y int, cells binary, vals binary")
+    return trained(made, lambda rows: [train_ftrl(rows, bits)])[0]
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str], bits: int = BITS,

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from embedscope.llm.quality import collected, ftrl_step, ftrl_weights, sigmoid
+from embedscope.llm.quality import ftrl_step, ftrl_weights, sigmoid, trained
 from embedscope.llm.work import labelled_sample, table
 
 SAMPLE_ROWS = 16_000
@@ -125,7 +125,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], targets: np.ndarray, b
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = BITS):
     """Weights and thresholds from at most ``sample_rows`` labelled documents;
-    features on the executors, the sequential updates over the bounded sample."""
+    features and the sequential updates are made on the executors."""
     sample = labelled_sample(docs, labels, {"y": (F.col("toxic") > 0).cast("int")}, sample_rows)
 
     def run(batches):
@@ -136,9 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits
                 [b.column("doc_id"), b.column("y"), pa.array([c.tobytes() for c, _ in cells], pa.binary()),
                  pa.array([v.tobytes() for _, v in cells], pa.binary())], ["doc_id", "y", "cells", "vals"])
 
-    rows = collected(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
-                     .mapInArrow(run, "doc_id long, y int, cells binary, vals binary"))
-    return train(rows, grade(rows, bits), bits)
+    made = (sample.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
+            .mapInArrow(run, "doc_id long, y int, cells binary, vals binary"))
+    return trained(made, lambda rows: train(rows, grade(rows, bits), bits))
 
 
 def score(docs: DataFrame, weights: np.ndarray, theta: np.ndarray, bits: int = BITS) -> DataFrame:
