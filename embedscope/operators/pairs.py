@@ -4,13 +4,17 @@ Every operator whose cost is "each vector against many vectors" (corpus
 kNN, range neighbours for DBSCAN, silhouette sums, pairs inside a prompt's
 responses, nearest centre) runs through :func:`pair_reduce`.
 
-Plan (all DataFrame operations, no driver round trip):
+Plan:
 
-1. Count rows per group on both sides (one aggregate).
+1. Count rows: of both sides where there are no groups (two numbers, literals
+   in the plan, so no join), else per group (a written table).
 2. Split each group into blocks of at most ``block_rows`` rows by a hash of
    the row id.  A group that holds a third of all rows simply gets many
    blocks; a tiny group gets one.  The ungrouped case is one group whose
-   left side is also split up to the available task slots.
+   left side is also split up to the available task slots.  Only the groups of
+   several blocks are joined to the rows: broadcast up to
+   ``PLAN_BROADCAST_ROWS`` of them, else by a salted key, so that a hot group
+   is never one task.
 3. Replicate each left row to the right blocks of its group and each right
    row to the left blocks (an equi-join key ``(group, lb, rb)``, never a
    cartesian product of rows), then ``cogroup(...).applyInPandas`` per tile.
@@ -31,13 +35,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from embedscope.functions.kernels import components, group_pairs, pairwise, rowwise, stack
-from embedscope.session import default_parallelism
+from embedscope.session import cut_lineage, default_parallelism
 
 G, LID, RID, VEC, LB, RB, BK = "__g", "__lid", "__rid", "__v", "__lb", "__rb", "__bk"
 
 DEFAULT_BLOCK_ROWS = 2048
 # Groups with at most this many pairs in a tile take the vectorised path.
 SMALL_GROUP_PAIRS = 4096
+# Block plans (three numbers a group) up to this many rows are broadcast.
+PLAN_BROADCAST_ROWS = 100_000
+PLAN_SALTS = 64
 
 
 class Reducer:
@@ -259,6 +266,18 @@ def _side(df: DataFrame, id_col: str, vec_col: str, group_col, attrs, id_name: s
                      *[F.col(a).alias(a) for a in attrs])
 
 
+def _planned(rows: DataFrame, several: DataFrame, id_name: str, few: bool) -> DataFrame:
+    """``rows`` with the numbers of blocks of their group (1 where the plan has none)."""
+    if few:
+        joined = rows.join(F.broadcast(several), G, "left")
+    else:
+        salted = several.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(PLAN_SALTS - 1))))
+        joined = (rows.withColumn("__salt", F.pmod(F.xxhash64(id_name), F.lit(PLAN_SALTS)).cast("int"))
+                  .join(salted.hint("merge"), [G, "__salt"], "left").drop("__salt"))
+    one = F.lit(1)
+    return joined.withColumns({"__nlb": F.coalesce("__nlb", one), "__nrb": F.coalesce("__nrb", one)})
+
+
 def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric: str,
                 id_col: str = "id", vec_col: str = "embedding", right_id_col: str | None = None,
                 right_vec_col: str | None = None, group_col: str | None = None,
@@ -283,30 +302,31 @@ def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric:
     gtype = lft.schema[G].dataType.simpleString()
     floor = left_floor or (1 if group_col else default_parallelism(spark))
 
-    counts = (lft.groupBy(G).agg(F.count(F.lit(1)).alias("__nl"))
-              .join(rgt.groupBy(G).agg(F.count(F.lit(1)).alias("__nr")), G))
-    nlb = F.greatest(F.ceil(F.col("__nl") / block), F.least(F.col("__nl"), F.lit(floor)))
-    nrb = F.ceil(F.col("__nr") / block)
-    plan = counts.select(G, "__nl", nlb.cast("int").alias("__nlb"), nrb.cast("int").alias("__nrb"))
     if group_col:
-        tot = counts.agg(F.greatest(F.lit(1), F.ceil(F.sum("__nl") / block)).cast("int").alias("__nbk"))
-        plan = (plan.withColumn("__one", F.lit(1))
-                .join(F.broadcast(tot.withColumn("__one", F.lit(1))), "__one").drop("__one"))
-        bucket = F.pmod(F.xxhash64(G), F.col("__nbk")).cast("int")
+        lft, rgt = lft.where(F.col(G).isNotNull()), rgt.where(F.col(G).isNotNull())
+        counts = cut_lineage(lft.groupBy(G).agg(F.count(F.lit(1)).alias("__nl"))
+                             .join(rgt.groupBy(G).agg(F.count(F.lit(1)).alias("__nr")), G))
+        total = counts.agg(F.sum("__nl")).first()[0] or 0
+        keys = [BK, LB, RB]
+        bucket = F.pmod(F.xxhash64(G), F.lit(max(1, -(-total // block)))).cast("int")
+        several = cut_lineage(counts.select(
+            G, F.greatest(F.ceil(F.col("__nl") / block), F.least(F.col("__nl"), F.lit(floor))).cast("int").alias("__nlb"),
+            F.ceil(F.col("__nr") / block).cast("int").alias("__nrb")).where("__nlb > 1 or __nrb > 1"))
+        few = several.count() <= PLAN_BROADCAST_ROWS
+        lx, rx = _planned(lft, several, LID, few), _planned(rgt, several, RID, few)
     else:
-        bucket = F.lit(0)
-    plan = plan.select(G, "__nlb", "__nrb", bucket.alias("__bkp"))
+        nl = lft.count()
+        nr = nl if left is right else rgt.count()
+        keys, bucket = [LB, RB], F.lit(0)
+        sizes = {"__nlb": F.lit(max(1, -(-nl // block), min(nl, floor))), "__nrb": F.lit(max(1, -(-nr // block)))}
+        lx, rx = lft.withColumns(sizes), rgt.withColumns(sizes)
 
-    lx = (lft.join(plan, G)
-          .withColumn(LB, F.pmod(F.xxhash64(LID), F.col("__nlb")).cast("int"))
+    lx = (lx.withColumn(LB, F.pmod(F.xxhash64(LID), F.col("__nlb")).cast("int"))
           .withColumn(RB, F.explode(F.sequence(F.lit(0), F.col("__nrb") - 1)))
-          .withColumn(BK, F.col("__bkp") + 0)
-          .drop("__nlb", "__nrb", "__bkp"))
-    rx = (rgt.join(plan, G)
-          .withColumn(RB, F.pmod(F.xxhash64(RID), F.col("__nrb")).cast("int"))
+          .withColumn(BK, bucket).drop("__nlb", "__nrb"))
+    rx = (rx.withColumn(RB, F.pmod(F.xxhash64(RID), F.col("__nrb")).cast("int"))
           .withColumn(LB, F.explode(F.sequence(F.lit(0), F.col("__nlb") - 1)))
-          .withColumn(BK, F.col("__bkp") + 0)
-          .drop("__nlb", "__nrb", "__bkp"))
+          .withColumn(BK, bucket).drop("__nlb", "__nrb"))
 
     red = reducer
     out_cols = [G] + [c.split()[0] for c in red.schema.split(", ")]
@@ -361,7 +381,7 @@ def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric:
             return pd.DataFrame(columns=out_cols)
         return pd.concat(outs, ignore_index=True)
 
-    partial = (lx.groupBy(BK, LB, RB).cogroup(rx.groupBy(BK, LB, RB))
+    partial = (lx.groupBy(*keys).cogroup(rx.groupBy(*keys))
                .applyInPandas(run_tile, schema=f"{G} {gtype}, {red.schema}"))
     return red.merge(partial)
 

@@ -73,3 +73,30 @@ def test_cosine_scale_invariant(spark, sample):
     a = pair_reduce(df, df, TopK(3), metric="cosine", same_ids=True).orderBy(LID, "nn").collect()
     b = pair_reduce(scaled, scaled, TopK(3), metric="cosine", same_ids=True).orderBy(LID, "nn").collect()
     assert np.allclose([r["d"] for r in a], [r["d"] for r in b], atol=1e-12)
+
+
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_hot_group_and_plan(spark, monkeypatch, broadcast_rows):
+    """A group with a third of the rows, many small ones, and a null group; no
+    cross join in the plan, whichever way the block plan comes in."""
+    from embedscope.operators import pairs
+    monkeypatch.setattr(pairs, "PLAN_BROADCAST_ROWS", broadcast_rows)
+    rows = spark.range(3000).selectExpr(
+        "id", "case when id % 3 = 0 then 0 when id = 1 then null else id % 200 + 1 end as g",
+        "array(cast(id % 17 as double), cast(id % 5 as double) + 1) as embedding")
+    out = pair_reduce(rows, rows, PairStats(), metric="euclidean", group_col="g", same_ids=True, block_rows=64)
+    plan = out._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = {r[G]: r for r in out.collect()}
+    pdf = rows.where("g is not null").toPandas()
+    for g, part in pdf.groupby("g"):
+        x = np.stack(part["embedding"].to_numpy())
+        if len(x) > 1:
+            assert got[g]["n"] == len(x) * (len(x) - 1)
+            assert got[g]["s"] == pytest.approx(euclid(x, x).sum(), rel=1e-6)
+
+
+def test_ungrouped_plan_has_no_join(spark):
+    df = spark.range(50).selectExpr("id", "array(cast(id as double), 1D) as embedding")
+    out = pair_reduce(df, df, TopK(2), metric="euclidean", same_ids=True, block_rows=8)
+    assert "Join" not in out._jdf.queryExecution().toString()
