@@ -64,3 +64,65 @@ def same_partition(a, b):
         if m.setdefault(x, y) != y:
             return False
     return len(set(m.values())) == len(m)
+
+
+def hdbscan(x, least, min_samples):
+    """Labels and number of clusters from the definition: components of the
+    mutual-reachability graph at every distinct weight, from the top down."""
+    d = euclid(x, x)
+    np.fill_diagonal(d, 0.0)
+    core = np.sort(d, axis=1)[:, min_samples]
+    m = np.maximum(np.maximum(core[:, None], core[None, :]), d)
+    n = len(x)
+    m = np.round(m, 9)
+
+    def parts(ids, w):
+        """Components of ``ids`` by edges below ``w``."""
+        ids, out = set(ids), []
+        while ids:
+            todo, comp = [ids.pop()], []
+            while todo:
+                i = todo.pop()
+                comp.append(i)
+                near = [j for j in ids if m[i, j] < w]
+                ids.difference_update(near)
+                todo += near
+            out.append(sorted(comp))
+        return out
+
+    def widest(ids):
+        """Largest weight of the spanning tree of ``ids``."""
+        for w in sorted({m[i, j] for i in ids for j in ids if i < j}):
+            if len(parts(ids, np.nextafter(w, np.inf))) == 1:
+                return w
+
+    count = 0
+
+    def grow(ids, birth):
+        """(best sum, chosen clusters, own stability, kept) of a cluster."""
+        nonlocal count
+        count += 1
+        stability, cur = 0.0, ids
+        while True:
+            w = widest(cur)
+            lam = 1 / max(w, 1e-300)
+            split = parts(cur, w)
+            big = [p for p in split if len(p) >= least]
+            if len(big) == 1:
+                stability += (len(cur) - len(big[0])) * (lam - birth)
+                cur = big[0]
+                continue
+            stability += len(cur) * (lam - birth)
+            kids = [grow(p, lam) for p in big]
+            below = sum(k[0] for k in kids)
+            chosen = [c for k in kids for c in k[1]]
+            if kids and below > stability:
+                return below, chosen, chosen
+            return stability, [ids], chosen
+
+    chosen = grow(list(range(n)), 0.0)[2]  # the root is not selectable
+    labels = [-1] * n
+    for k, ids in enumerate(sorted(chosen)):
+        for i in ids:
+            labels[i] = k
+    return labels, count

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import planted_clusters, to_df
-from reference_impl import cos_lib, same_partition
+from reference_impl import cos_lib, hdbscan as bf_hdbscan, same_partition
 
 
 def test_hdbscan_separated_clusters(spark):
@@ -29,6 +29,22 @@ def test_hdbscan_needs_two_points(spark):
         hdbscan(to_df(spark, np.ones((1, 2))))
 
 
+@pytest.mark.parametrize("kind,band", [("cloud", 7), ("cloud", 1 << 18), ("grid", 5), ("grid", 1 << 18)])
+def test_hdbscan_matches_definition(spark, kind, band):
+    """Any band size, many tied weights included, gives the textbook result."""
+    from embedscope.operators.hdbscan import hdbscan
+    rng = np.random.default_rng(4)
+    if kind == "cloud":
+        x = planted_clusters(size=12, noise=12, sd=0.25)
+    else:  # integer places, some repeated: most weights are ties
+        x = rng.integers(0, 9, size=(60, 2)).astype(float)
+    labels, clusters = hdbscan(to_df(spark, x), 4, 2, band_edges=band)
+    got = {r["id"]: r["label"] for r in labels.collect()}
+    want, n_clusters = bf_hdbscan(x, 4, 2)
+    assert [got[i] for i in range(len(x))] == want
+    assert clusters.count() == n_clusters
+
+
 def test_hashed_text_embedding(spark):
     from embedscope.operators.featurize import hashed_embedding, text_embeddings
     texts = spark.createDataFrame([(1, "a b  a\nc"), (2, ""), (3, "x")], "id bigint, text string")
