@@ -4,11 +4,13 @@ A line that starts with ``>`` marks is quoted, as deep as it has marks.  Each ru
 of lines of one depth between blank lines is a passage; passages and their single
 lines are normalised (lower case, letters and digits only, one space between
 words) and hashed.  A message's own passages (depth 0) are joined with the
-passages quoted directly (depth 1) by others: the original of a quotation is the
+passages that others quote, at any depth: the original of a quotation is the
 latest earlier message of the same conversation with that passage, else the first
-message anywhere that has it, if it comes before.  The message that accounts for
-the most quoted characters is the one replied to; a message without a known
-quotation answers the one before it in its conversation.
+message anywhere that has it, if it comes before.  Of the quoted passages with an
+original, those at the shallowest depth vote: the message that accounts for the
+most characters quoted there is the one replied to, so deeper levels count where
+nothing shallower is known.  A message without a known quotation answers the one
+before it in its conversation.
 
 Replies form trees; pointer doubling finds each message's root and depth in a
 logarithmic number of rounds, however long a conversation is.  The result has a
@@ -87,7 +89,7 @@ def parsed(messages: DataFrame) -> DataFrame:
                 for depth, p in passages:
                     for unit in {p, *p.split("\n")}:
                         n = normalised(unit)
-                        if n and depth < 2:
+                        if n:
                             units[depth, xxh3_128_digest(n)] = len(n)
                 found.append([{"depth": d, "hash": h, "chars": c} for (d, h), c in units.items()])
             yield pa.RecordBatch.from_arrays(
@@ -98,33 +100,38 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def _quoted(rows: DataFrame) -> DataFrame:
-    """``(conv_id, turn, reply)``: the message that each quoting one answers."""
+    """``(conv_id, turn, reply, quote_depth)``: the message that each quoting one
+    answers, and the depth of the quotation that tells it."""
     units = rows.select("conv_id", "turn", F.explode("passages").alias("p")).select(
         "conv_id", "turn", "p.depth", "p.hash", "p.chars")
-    quotes = units.where("depth = 1").drop("depth").distinct()
+    quotes = units.where("depth >= 1").distinct()
     wanted = quotes.select("hash").distinct()
     own = units.where("depth = 0").select("conv_id", "turn", "hash").distinct().join(wanted, "hash", "left_semi")
     first = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("anywhere"))
     # only passages that someone quotes come here: the latest own turn before the quotation
-    both = own.select("conv_id", "hash", "turn", F.lit(None).cast("int").alias("chars")).unionByName(
-        quotes.select("conv_id", "hash", "turn", "chars"))
+    none = F.lit(None).cast("int")
+    both = own.select("conv_id", "hash", "turn", none.alias("depth"), none.alias("chars")).unionByName(
+        quotes.select("conv_id", "hash", "turn", "depth", "chars"))
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("near", F.max(F.when(F.col("chars").isNull(), F.col("turn"))).over(before)).where(
         "chars is not null")
     me = F.struct("conv_id", "turn")
-    found = near.join(first, "hash", "left").select("conv_id", "turn", "chars", F.when(
+    found = near.join(first, "hash", "left").select("conv_id", "turn", "depth", "chars", F.when(
         F.col("near").isNotNull(), F.struct("conv_id", F.col("near").alias("turn")))
         .when(F.col("anywhere") < me, F.col("anywhere")).alias("reply")).where("reply is not null")
-    votes = found.groupBy("conv_id", "turn", "reply").agg(F.sum("chars").alias("chars"))
+    votes = found.groupBy("conv_id", "turn", "depth", "reply").agg(F.sum("chars").alias("chars"))
     return votes.groupBy("conv_id", "turn").agg(F.max(F.struct(
-        F.col("chars"), (F.col("reply.conv_id") == F.col("conv_id")).alias("same"), F.col("reply"))).alias("best")) \
-        .select("conv_id", "turn", "best.reply")
+        (-F.col("depth")).alias("shallow"), F.col("chars"), (F.col("reply.conv_id") == F.col("conv_id")).alias("same"), F.col("reply"))).alias("best")) \
+        .select("conv_id", "turn", "best.reply", (-F.col("best.shallow")).alias("quote_depth"))
 
 
 def reply_order(messages: DataFrame, cuts: Cuts) -> DataFrame:
-    """``(conv_id, turn, role, text, n_quotes, reply_conv, reply_turn, thread_conv,
-    thread_turn, depth, position, chat)`` per row of ``messages``.
+    """``(conv_id, turn, role, text, n_quotes, reply_conv, reply_turn, quote_depth,
+    thread_conv, thread_turn, depth, position, chat)`` per row of ``messages``.
 
+    ``n_quotes`` counts the quoted passages and lines of all depths;
+    ``quote_depth`` is the depth of the quotation that the reply rests on, null
+    where it rests on the order of the turns or there is none.
     Null and empty texts have no passages and an empty text; rows that repeat a
     conversation and turn are one message in the links and stay separate rows;
     a row without conversation or turn is linked with nothing (null thread,
@@ -135,13 +142,14 @@ def reply_order(messages: DataFrame, cuts: Cuts) -> DataFrame:
                                            F.col("turn").cast("long").alias("turn"), "role", "text")))
     known = rows.where("conv_id is not null and turn is not null")
     names = cuts.cut(dense_names(known.select("conv_id", "turn"), cuts))
-    quoted = _quoted(known).select("conv_id", "turn", "reply.conv_id", "reply.turn").toDF(
-        "conv_id", "turn", "rc", "rt")
+    quoted = _quoted(known).select("conv_id", "turn", "reply.conv_id", "reply.turn", "quote_depth").toDF(
+        "conv_id", "turn", "rc", "rt", "quote_depth")
     target = names.select(F.col("conv_id").alias("rc"), F.col("turn").alias("rt"), F.col("name").alias("quoted"))
-    quoted = quoted.join(target, ["rc", "rt"]).select("conv_id", "turn", "quoted")
+    quoted = quoted.join(target, ["rc", "rt"]).select("conv_id", "turn", "quoted", "quote_depth")
     earlier = names.select((F.col("name") + 1).alias("name"), F.col("conv_id").alias("c0"))
     up = names.join(earlier, "name", "left").join(quoted, ["conv_id", "turn"], "left").select(
-        "name", F.coalesce("quoted", F.when(F.col("c0") == F.col("conv_id"), F.col("name") - 1)).alias("parent"))
+        "name", F.coalesce("quoted", F.when(F.col("c0") == F.col("conv_id"), F.col("name") - 1)).alias("parent"),
+        "quote_depth")
     # pointer doubling: root and depth of each message
     up = cuts.cut(up)
     jump = cuts.cut(up.select("name", F.coalesce("parent", "name").alias("root"),
@@ -163,12 +171,12 @@ def reply_order(messages: DataFrame, cuts: Cuts) -> DataFrame:
               .join(at, F.col("name") == F.col("n1")).drop("n1")
               .join(names.toDF("thread_conv", "thread_turn", "root"), "root")
               .join(names.toDF("reply_conv", "reply_turn", "parent"), "parent", "left")
-              .select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), "reply_conv", "reply_turn",
+              .select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), "reply_conv", "reply_turn", "quote_depth",
                       "thread_conv", "thread_turn", "depth", "position"))
     return rows.join(linked, (F.col("conv_id") == F.col("__c")) & (F.col("turn") == F.col("__t")), "left").select(
         "conv_id", "turn", "role", F.col("body").alias("text"),
-        F.size(F.filter("passages", lambda p: p.depth == 1)).alias("n_quotes"),
-        "reply_conv", "reply_turn", "thread_conv", "thread_turn",
+        F.size(F.filter("passages", lambda p: p.depth >= 1)).alias("n_quotes"),
+        "reply_conv", "reply_turn", "quote_depth", "thread_conv", "thread_turn",
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
         F.coalesce("position", F.lit(0)).cast("long").alias("position"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>\n")).alias("chat"))

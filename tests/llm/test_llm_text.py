@@ -245,6 +245,23 @@ def test_quotations(spark):
     assert quotes.reply_order(df.limit(0), Cuts(spark)).count() == 0
 
 
+def test_nested_quotations(spark):
+    m = [(1, 0, "b", "Text of B, first.\nSecond line of B."), (1, 1, "a", "Text of A."), (1, 2, "c", "in between"),
+         (1, 3, "d", "> On Sun B wrote:\n>> Text of B, first.\n>> Second line of B.\nmy answer"),  # depth 1 trimmed
+         (1, 4, "e", ">> text of a\nonly nested"),
+         (1, 5, "f", "> Text of A.\n>> Text of B, first.\n>> Second line of B.\nthe shallow one counts"),
+         (1, 6, "g", ">> unknown\n>>> In between\n>>>> Text of A."),
+         (2, 0, "h", "> > > Second line of B.\nfrom elsewhere"), (3, 0, "i", ">> nobody said this"),
+         (3, 1, "j", "plain")]
+    df = spark.createDataFrame(m, "conv_id long, turn long, role string, text string")
+    by = {(r.conv_id, r.turn): r for r in quotes.reply_order(df, Cuts(spark)).collect()}
+    assert {k: (r.reply_conv, r.reply_turn, r.quote_depth) for k, r in by.items()} == {
+        (1, 0): (None, None, None), (1, 1): (1, 0, None), (1, 2): (1, 1, None), (1, 3): (1, 0, 2), (1, 4): (1, 1, 2),
+        (1, 5): (1, 1, 1), (1, 6): (1, 2, 3), (2, 0): (1, 0, 3), (3, 0): (None, None, None), (3, 1): (3, 0, None)}
+    assert by[1, 4].n_quotes == by[3, 0].n_quotes == by[2, 0].n_quotes == 1 and by[1, 6].n_quotes == 3
+    assert by[1, 3].n_quotes == 4 and by[3, 1].n_quotes == 0 and by[1, 3].text == "my answer"
+
+
 def test_parse_quotations():
     assert quotes.parse("a\n> b\n> c\n\n>> d\ne") == ("a\n\ne", [(0, "a"), (1, "b\nc"), (2, "d"), (0, "e")])
     assert quotes.parse(None) == ("", []) and quotes.parse("x > y") == ("x > y", [(0, "x > y")])
