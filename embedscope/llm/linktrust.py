@@ -10,7 +10,12 @@ go against the links, from a bad host to those that link to it.  A host is
 blocked if distrust makes up more than ``threshold`` of what has reached it.
 
 Edges are counted per pair of hosts, so a host with very many pages is one row;
-rounds are joins and sums over the edge table, written after each round.
+rounds are joins and sums over the edge table, written after each round.  They
+go on until no score of a host moves by more than ``TOLERANCE`` of itself, or
+all moves still to come add up to less than ``TOLERANCE`` of what a host with a
+single page starts with; an error ends them after ``MAX_ROUNDS``.  Without circles
+of links this takes two rounds more than the longest chain has links, and in any
+case about 150 rounds and 14 for each factor of ten in the number of pages.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 DAMPING = 0.85
+#: What the SQL unrolls: the fixed point only where no walk along links is longer than 11, as in the given pages.
 ROUNDS = 12
+MAX_ROUNDS = 2000
 THRESHOLD = 0.5
 TOLERANCE = 1e-9
 
@@ -62,8 +69,9 @@ def _of_rule(index: Column, values: list[str], none: Column) -> Column:
 
 
 def host_scores(pages: DataFrame, cuts: Cuts, rules=RULES, damping: float = DAMPING,
-                rounds: int = ROUNDS) -> DataFrame:
-    """``(host, trust, distrust, plain)`` of every host with pages or links to it."""
+                max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """``(host, trust, distrust, plain)`` of every host with pages or links to it,
+    at the fixed point of the propagation."""
     host, path = host_and_path(F.col("url"))
     seen = pages.select("url", "html").select(host.alias("host"), path.alias("path"), "html").where("host <> ''")
     linked = F.transform(F.regexp_extract_all("html", F.lit(_LINK), 1), lambda u: F.translate(
@@ -87,7 +95,7 @@ def host_scores(pages: DataFrame, cuts: Cuts, rules=RULES, damping: float = DAMP
     start = cuts.cut(own.unionByName(others))
     state = start
     keep = 1 - damping
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         zero = F.lit(0.0)
         along = state.join(edges, F.col("host") == F.col("src")).select(
             F.col("dst").alias("h"), (F.col("t") * F.col("down")).alias("t"), zero.alias("d"),
@@ -100,14 +108,19 @@ def host_scores(pages: DataFrame, cuts: Cuts, rules=RULES, damping: float = DAMP
             .join(state.select(F.col("host").alias("h0"), *[F.col(c).alias(f"{c}0") for c in "tdp"]),
                   F.col("host") == F.col("h0"))
             .withColumn("moved", sum((F.abs(F.col(c) - F.col(f"{c}0")) for c in "tdp"), zero))
-            .select("host", "t", "d", "p", "moved"))
-        moved = new.agg(F.sum("moved")).first()[0] or 0.0
+            .withColumn("share", F.greatest(*[F.when(F.col(c) > 0, F.abs(F.col(c) - F.col(f"{c}0")) / F.col(c))
+                                              .otherwise(zero) for c in "tdp"]))
+            .select("host", "t", "d", "p", "moved", "share"))
+        moved, share = new.agg(F.sum("moved"), F.max("share")).first()
         if state is not start:
             cuts.drop(state)
-        state = new.drop("moved")
+        state = new.drop("moved", "share")
         state._cut_path = new._cut_path
-        if moved < TOLERANCE:
+        # all later moves together are at most moved * damping / keep
+        if (share or 0.0) < TOLERANCE or moved * damping / keep < TOLERANCE * keep / total:
             break
+    else:
+        raise RuntimeError(f"link trust not settled after {max_rounds} rounds")
     return state.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"), F.col("p").alias("plain"))
 
 

@@ -222,6 +222,24 @@ def test_url_rules_and_links(spark):
     assert linktrust.judge(df.limit(0), Cuts(spark)).count() == 0
 
 
+def test_link_trust_settles(spark):
+    """A chain of 16 hosts, far longer than 12 links, against the linear solution."""
+    n, rules = 16, (("block", "bad.com", "/"), ("allow", "good.org", "/"))
+    hosts = ["good.org", *(f"h{i}.net" for i in range(1, n - 1)), "bad.com"]
+    pages = [(i, f"http://{h}/", f'<a href="http://{hosts[i + 1]}/">x</a>' if i + 1 < n else None)
+             for i, h in enumerate(hosts)] + [(100 + i, "http://bad.com/", None) for i in range(500)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: r for r in linktrust.host_scores(df, Cuts(spark), rules).collect()}
+    start = np.zeros((3, n))
+    start[0, 0], start[1, -1], start[2, 1:-1] = 1, 501, 1
+    down, eye = np.eye(n, k=-1), np.eye(n)  # the next host of the chain receives
+    for name, s, m in zip(("trust", "distrust", "plain"), start / start.sum(), (down, down.T, down)):
+        want = np.linalg.solve(eye - 0.85 * m, 0.15 * s)
+        assert [got[h][name] for h in hosts] == pytest.approx(want, rel=1e-9, abs=1e-15)
+    with pytest.raises(RuntimeError):
+        linktrust.host_scores(df, Cuts(spark), rules, max_rounds=3)
+
+
 def test_quotations(spark):
     m = [(1, 0, "user", "Hello there, how do I sort a list?\n\nAlso: what about dicts?"),
          (1, 1, "assistant", "Use sorted(x).\nIt is stable."), (1, 2, "user", "thanks"),
