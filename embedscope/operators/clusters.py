@@ -134,32 +134,35 @@ def silhouette(df: DataFrame, label_col: str = "label", metric: str = "euclidean
                           F.avg("s")).alias("silhouette"))
 
 
-def calinski_harabasz(df: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
-    """A18, closed form from per-label count, centre and sum of squared
+def calinski_harabasz(df: DataFrame, label_col: str = "label", vec_col: str = "embedding",
+                      group_col: str | None = None) -> DataFrame:
+    """A18 ``([group,] calinski_harabasz)``, closed form from per-label count, centre and sum of squared
     norms: one pass, no pairs, no join.
 
     ``B = sum_k n_k |c_k|^2 - |sum_k n_k c_k|^2 / N`` and
     ``W = sum_k (sum_{i in k} |x_i|^2 - n_k |c_k|^2)``; score
     ``(B / (k - 1)) / (W / (N - k))``, 1.0 when W is 0, NULL with fewer
-    than two labels.
+    than two labels.  With ``group_col`` every group is scored separately in
+    the same job.
     """
+    keys = [group_col] if group_col else []
     summ = Summarizer.metrics("sum", "count")
-    per = (df.select(F.col(label_col).cast("bigint").alias("label"),
+    per = (df.select(*keys, F.col(label_col).cast("bigint").alias("label"),
                      array_to_vector(F.col(vec_col)).alias("__f"),
                      V.sq_norm(vec_col).alias("__sq"))
-           .groupBy("label").agg(summ.summary(F.col("__f")).alias("__s"), F.sum("__sq").alias("sq"))
-           .select(vector_to_array(F.col("__s.sum")).alias("s"),
+           .groupBy(*keys, "label").agg(summ.summary(F.col("__f")).alias("__s"), F.sum("__sq").alias("sq"))
+           .select(*keys, vector_to_array(F.col("__s.sum")).alias("s"),
                    F.col("__s.count").cast("double").alias("n"), "sq"))
     # n_k |c_k|^2 = |s_k|^2 / n_k
-    per = per.select("n", "sq", (V.sq_norm("s") / F.col("n")).alias("nc2"), array_to_vector("s").alias("sv"))
-    agg = per.agg(F.sum("n").alias("N"), F.count("*").alias("k"), F.sum("sq").alias("SQ"),
+    per = per.select(*keys, "n", "sq", (V.sq_norm("s") / F.col("n")).alias("nc2"), array_to_vector("s").alias("sv"))
+    agg = per.groupBy(*keys).agg(F.sum("n").alias("N"), F.count("*").alias("k"), F.sum("sq").alias("SQ"),
                   F.sum("nc2").alias("NC2"), Summarizer.sum(F.col("sv")).alias("__t"))
     b = F.col("NC2") - V.sq_norm(vector_to_array("__t")) / F.col("N")
     w = F.col("SQ") - F.col("NC2")
     score = (F.when(F.col("k") < 2, F.lit(None).cast("double"))
              .when(w == 0, F.lit(1.0))
              .otherwise((b / (F.col("k") - 1)) / (w / (F.col("N") - F.col("k")))))
-    return agg.select(score.alias("calinski_harabasz"))
+    return agg.select(*keys, score.alias("calinski_harabasz"))
 
 
 def join_single_rows(*frames: DataFrame) -> DataFrame:

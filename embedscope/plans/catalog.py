@@ -497,7 +497,8 @@ def q_gmm_uncertainty(spark, sf):
 
 @register("cluster_tournament")
 def q_cluster_tournament(spark, sf):
-    """M8: k-means / GMM / DBSCAN / bisecting k-means, best silhouette."""
+    """M8: k-means / GMM / bisecting k-means for k = 2..5 and 10, and DBSCAN:
+    silhouette and Calinski-Harabasz per configuration, best silhouette."""
     from embedscope.operators.mlmodels import tournament
     return tournament(T.planted(spark, sf), 10, DBSCAN_EPS)
 

@@ -78,6 +78,22 @@ def test_kmeans_recovers_planted(spark):
     assert pca_2d(to_df(spark, planted_clusters(dim=5))).count() == 35
 
 
+def test_tournament_sweeps_k(spark):
+    """Three blobs: k = 3 wins although the given k is 2; scores by definition."""
+    from embedscope.operators.mlmodels import tournament
+    x = planted_clusters(noise=0, sd=0.05)
+    rows = {r["config"]: r for r in tournament(to_df(spark, x), 2, 0.5).collect()}
+    assert set(rows) == {"dbscan", *(f"{m}_{k}" for m in ("kmeans", "gmm", "agglomerative") for k in (2, 3, 4, 5))}
+    assert [c for c, r in rows.items() if r["best"]] == ["kmeans_3"] and rows["dbscan"]["k"] is None
+    truth = np.repeat([0, 1, 2], 10)
+    mean = np.array([x[truth == c].mean(axis=0) for c in range(3)])
+    between = 10 * ((mean - x.mean(axis=0)) ** 2).sum() / 2
+    within = ((x - mean[truth]) ** 2).sum() / 27
+    assert rows["kmeans_3"]["calinski_harabasz"] == pytest.approx(between / within)
+    assert rows["dbscan"]["calinski_harabasz"] == pytest.approx(between / within)
+    assert rows["kmeans_3"]["silhouette"] > max(rows["kmeans_2"]["silhouette"], rows["kmeans_4"]["silhouette"])
+
+
 def test_consistency_single_response_is_null(spark):
     from embedscope.operators.consistency import batch_statistics, prompt_consistency
     rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 0, [1.0, 1.0])]
