@@ -94,6 +94,13 @@ def test_tournament_sweeps_k(spark):
     assert rows["kmeans_3"]["silhouette"] > max(rows["kmeans_2"]["silhouette"], rows["kmeans_4"]["silhouette"])
 
 
+def test_pipeline_needs_responses(spark):
+    from embedscope.plans.pipeline import run_full_pipeline
+    prompts = spark.createDataFrame([(0, "a"), (1, "b")], "id bigint, prompt string")
+    with pytest.raises(ValueError, match="responses"):
+        run_full_pipeline(to_df(spark, np.eye(2)), prompts)
+
+
 def test_consistency_single_response_is_null(spark):
     from embedscope.operators.consistency import batch_statistics, prompt_consistency
     rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 0, [1.0, 1.0])]
