@@ -40,15 +40,20 @@ class Encoder:
 
     ``keeps_space``: white space belongs to the following word (byte-level
     vocabularies); else it only separates words and is dropped.  Special tokens
-    written out in a text are ordinary text.
+    written out in a text are what the library makes of them, or ordinary text
+    with ``plain_specials``.  ``lead_space`` puts a space before each text.
     """
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, plain_specials: bool = False, lead_space: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        # a text with an added token goes through the library whole
+        added = [] if plain_specials else self.tokenizer.get_added_tokens_decoder().values()
+        self.added = ["" if t.normalized else t.content for t in added]  # "": any text
+        self.lead_space = lead_space
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.keeps_space = keeps_space
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -67,6 +72,8 @@ class Encoder:
     # text, (1, chunk) for any other chunk.
 
     def _keys(self, text: str) -> list | None:
+        if any(map(text.__contains__, self.added)):
+            return None
         data = text.encode("utf-8")
         if not self.keeps_space:
             return data.split()  # at ASCII white space
@@ -75,10 +82,11 @@ class Encoder:
         # each gap is one space or one line end, none at the ends
         if data and data[0] not in b" \n" and data[-1] not in b" \n" and not any(g in data for g in _UNEVEN):
             keys = data.replace(b"\n", b" \n").split(b" ")
-            keys[0] = (0, keys[0])
+            if not self.lead_space:
+                keys[0] = (0, keys[0])
             return keys
         keys = []
-        for c in _CHUNK.findall(data):
+        for c in _CHUNK.findall(b" " + data if self.lead_space else data):
             word = c.lstrip(b" \t\n\r")
             gap = c[:len(c) - len(word)]
             if not word or len(gap) > 1 or gap not in (b"", b" ", b"\n") or (not gap and keys):
@@ -177,7 +185,7 @@ class Encoder:
         for t in texts:
             keys = self._keys(t)
             if keys is None:
-                parts.append(self._library([t]))
+                parts.append(self._library([" " + t if self.lead_space else t]))
                 continue
             found = list(map(recent.get, keys))
             parts.append(found)
@@ -204,12 +212,12 @@ class Encoder:
             yield b"".join(found)
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, plain_specials: bool = False, lead_space: bool = False) -> Encoder:
     """This worker process's encoder for a vocabulary file."""
-    key = (path, keeps_space)
+    key = (path, keeps_space, plain_specials, lead_space)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, keeps_space)
+        _encoders[key] = Encoder(*key)
     return _encoders[key]
