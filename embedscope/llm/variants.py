@@ -41,6 +41,7 @@ RATIO = 5
 DELETED_ONE_IN = 199
 BLOCK_WORDS = 1024
 GROUP_WORDS = 8192
+QUERY_WORDS = 256  # that run through an index together
 _COUNTER_WORDS = 400_000
 _COUNTER_ROWS = 20_000
 
@@ -164,7 +165,7 @@ def one_error(index: PositionIndex, queries: np.ndarray, members: np.ndarray, sh
     return excess & short & ~skip
 
 
-def _neighbours(t: pd.DataFrame, least_queries: int = 256) -> pd.DataFrame:
+def _neighbours(t: pd.DataFrame) -> pd.DataFrame:
     """``(word, n_near, form, form_n)`` of the query words of one block."""
     shorter = int(t["s"].iloc[0])
     t = t.sort_values(["word", "grp", "is_query"], kind="stable")
@@ -183,8 +184,8 @@ def _neighbours(t: pd.DataFrame, least_queries: int = 256) -> pd.DataFrame:
         lengths = of_query["word"].str.len().to_numpy()
         for length in (shorter, shorter + 1):
             at = np.flatnonzero(lengths == length)
-            for lo in range(0, len(at), least_queries):
-                some = at[lo:lo + least_queries]
+            for lo in range(0, len(at), QUERY_WORDS):
+                some = at[lo:lo + QUERY_WORDS]
                 asked = of_query["word"].iloc[some].tolist()
                 codes = np.frombuffer("".join(asked).encode("utf-32-le"), "<u4").astype(np.int64).reshape(len(some), -1)
                 near = one_error(index, codes, members[group[some]], shorter, kinds[some])
