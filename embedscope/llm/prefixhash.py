@@ -13,7 +13,8 @@ A fingerprint is the text's length, the hash of its longest span (all of it) and
 a sketch: of the hashes of all spans of ``WIDTH`` code points (shorter ones at
 the text's start; repeats of a span are numbered) the smallest in each of
 ``SLOTS`` ranges.  Two sketches agree in a share of their filled slots that
-estimates the Jaccard similarity ``J`` of the bags of spans; ``likeness`` gives ``2 J / (1 + J)``, the share of spans that two
+estimates the Jaccard similarity ``J`` of the bags of spans (a slot shows one byte,
+so chance agreements are deducted); ``likeness`` gives ``2 J / (1 + J)``, the share of spans that two
 texts of one length have in common.
 
 Two hashes of 31 bits decide: different spans are taken for equal with a
@@ -24,6 +25,7 @@ could raise.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ PART_TEXT_BYTES = 16 << 20
 _SHIFT = np.uint64(31)
 _SLOT_BITS = np.uint64(64 - SLOTS.bit_length() + 1)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_EMPTY_SLOT = "----"
+_SLOT_VALUES = np.uint64(255)
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -181,40 +183,28 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return best
 
 
-def fingerprint(prefixes: Prefixes, slots: np.ndarray) -> str:
-    """``length-hash-slots`` in hex; equal texts have equal fingerprints."""
-    shown = (slots & np.uint64(0xFFFF)).astype(">u2").tobytes().hex()
-    if (slots == _NONE).any():
-        shown = "".join(_EMPTY_SLOT if s == int(_NONE) else shown[4 * i:4 * i + 4]
-                        for i, s in enumerate(slots.tolist()))
-    return f"{prefixes.n:x}-{prefixes.whole():016x}-{shown}"
+def fingerprint(prefixes: Prefixes, slots: np.ndarray) -> bytes:
+    """Length (8 bytes), hash (8 bytes) and a byte a slot, 0 for an empty one;
+    equal texts have equal fingerprints."""
+    shown = (slots % _SLOT_VALUES).astype(np.uint8) + np.uint8(1)
+    shown[slots == _NONE] = 0
+    return struct.pack(">QQ", prefixes.n, prefixes.whole()) + shown.tobytes()
 
 
-def _agreement(agree: int, filled: int) -> float:
-    j = agree / max(1, filled)
-    return 2 * j / (1 + j)
-
-
-def likeness(a: str, b: str) -> float:
-    """Likeness (0 to 1) of the texts of two fingerprints; 1 for equal ones."""
+def _likeness(a: bytes, b: bytes) -> float:
     if a == b:
         return 1.0
-    pairs = [(x, y) for x, y in zip(_slots(a), _slots(b)) if x != _EMPTY_SLOT or y != _EMPTY_SLOT]
-    return _agreement(sum(x == y for x, y in pairs), len(pairs))
-
-
-def _slots(f: str) -> list[str]:
-    shown = f[f.index("-", f.index("-") + 1) + 1:]
-    return [shown[i:i + 4] for i in range(0, 4 * SLOTS, 4)]
+    x, y = np.frombuffer(a, np.uint8, SLOTS, 16), np.frombuffer(b, np.uint8, SLOTS, 16)
+    filled = int(np.count_nonzero(x | y))
+    share = np.count_nonzero((x == y) & (x > 0)) / max(1, filled)
+    by_chance = 1 / int(_SLOT_VALUES)
+    j = max(0.0, (share - by_chance) / (1 - by_chance))
+    return 2 * j / (1 + j)
 
 
-def _likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:
-    """``likeness`` of fingerprints whose slots are at hand."""
-    if a[0] == b[0]:
-        return 1.0
-    same = (a[1] & np.uint64(0xFFFF)) == (b[1] & np.uint64(0xFFFF))
-    none = (a[1] == _NONE).astype(int) + (b[1] == _NONE)
-    return _agreement(int((same & (none == 0)).sum()), int((none < 2).sum()))
+def likeness(a: str, b: str) -> float:
+    """Likeness (0 to 1) of the texts of two fingerprints (hex); 1 for equal ones."""
+    return _likeness(bytes.fromhex(a), bytes.fromhex(b))
 
 
 class Document:
@@ -229,8 +219,7 @@ class Document:
         self.hashes = span_hashes(self.prefixes, 1)
         x = _numbered_hashes(self.hashes)
         self.head_slots = sketch(x[:self.head])
-        self.slots = np.minimum(self.head_slots, sketch(x[self.head:]))
-        self.fingerprint = fingerprint(self.prefixes, self.slots)
+        self.fingerprint = fingerprint(self.prefixes, np.minimum(self.head_slots, sketch(x[self.head:])))
 
     def against(self, after: "Document") -> tuple:
         """The result columns of this document followed by ``after``."""
@@ -241,19 +230,18 @@ class Document:
         slots = np.minimum(self.head_slots, sketch(x[self.head:]))
         text = self.text[:self.head] + after.text[:tail]
         mark = fingerprint(edited, slots)
-        own = (self.fingerprint, self.slots)
-        return (self.doc_id, n, hashlib.sha256(text.encode("utf-8")).hexdigest(), self.fingerprint, mark,
-                _likeness(own, (mark, slots)), _likeness(own, (after.fingerprint, after.slots)),
+        return (self.doc_id, n, hashlib.sha256(text.encode("utf-8")).digest(), self.fingerprint, mark,
+                _likeness(self.fingerprint, mark), _likeness(self.fingerprint, after.fingerprint),
                 p.extend_right(0, edited, 0), p.extend_left(n, edited, edited.n),
                 p.extend_right(0, q, 0), p.extend_left(n, q, q.n))
 
 
 _RESULT = pa.schema([
-    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()),
+    ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
     ("prefix_edited", pa.int64()), ("suffix_edited", pa.int64()), ("prefix_next", pa.int64()),
     ("suffix_next", pa.int64())])
-_RESULT_SQL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+_RESULT_SQL = ("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
                "near_edited double, near_next double, prefix_edited long, suffix_edited long, prefix_next long, "
                "suffix_next long")
 _ROWS_A_BATCH = 512
@@ -288,8 +276,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     yield i, d.prefixes.n, d.fingerprint
         yield from _batches(rows(), schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_chars long, fingerprint string")
+    return _in_hex(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, n_chars long, fingerprint binary"))
+
+
+def _in_hex(df: DataFrame) -> DataFrame:
+    return df.select(*[F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes])
 
 
 def edited_and_next(docs: DataFrame, part_text_bytes: int = PART_TEXT_BYTES) -> DataFrame:
@@ -351,7 +343,7 @@ def edited_and_next(docs: DataFrame, part_text_bytes: int = PART_TEXT_BYTES) ->
                     yield Document(r["doc_id"], r["text"]).against(Document(r["next_id"], r["next_text"]))
         yield from _batches(rows(), _RESULT)
 
-    return found.where("kind = 'r'").select(*_RESULT.names).unionByName(edges.mapInArrow(pair, _RESULT_SQL))
+    return _in_hex(found.where("kind = 'r'").select(*_RESULT.names).unionByName(edges.mapInArrow(pair, _RESULT_SQL)))
 
 
 def op11_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
