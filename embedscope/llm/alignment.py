@@ -8,8 +8,9 @@ together; such ends cut both sequences into groups.
 *Anchors*: where tokens of both sides begin at one byte and both are marked with a
 space, the ends before them are shared.  Anchors cut a document into windows, pairs
 of short id tuples (mostly a word), and what lies inside a window depends on its ids
-alone: its groups, their text and its links are found once and kept, in a
-dictionary of bounded size, by the two tuples.
+alone: which of its tokens end a group is found once, verified byte for byte, and
+kept by the two tuples in a dictionary of bounded size.  A batch of documents asks for
+its distinct windows only; groups and links follow from the kept ends by array steps.
 
 How often a pair of ids is linked in the whole corpus is an aggregate over the
 documents' distinct pairs; a join brings the counts back to the documents.
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from embedscope.llm.work import Cuts, table
 
 MEMO_ENTRIES = 150_000  # of each of two generations
 PIECE_ENTRIES = 200_000
-GROUP_CHARS = 1 << 19
+GROUP_CHARS = 1 << 20
 MARK = "▁"
 #: Pairs of ids that are broadcast (24 bytes each); beyond, the same join shuffles.
 PAIR_BROADCAST_ROWS = 2_000_000
@@ -138,36 +138,16 @@ class Aligner:
         sides = (self.a_bytes, self.b.bytes)
         self.length_a, self.length_b = (np.array([len(x) for x in s], np.int64) for s in sides)
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in s]) for s in sides)
-        self.shown_a, self.shown_b = ([str(i) for i in range(len(s))] for s in sides)
+        # ids as text after each separator
+        self.shown_a = [np.array([c + str(i) for i in range(len(self.a_bytes))], object) for c in ",;"]
+        self.shown_b = [np.array([c + str(i) for i in range(len(self.b.bytes))], object) for c in ",|"]
+        rng = np.random.default_rng(0)
+        self.random_a, self.random_b = (rng.integers(0, 1 << 63, len(s), np.uint64) for s in sides)
+        self.weights = rng.integers(0, 1 << 63, 1 << 10, np.uint64) | np.uint64(1)
         self.memo: dict = {}
         self.old_memo: dict = {}
 
-    def _window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes] | None:
-        """Groups as text and packed links (A id times B's size, plus B id) of one
-        window; None if the two sides have other bytes."""
-        a = np.frombuffer(key[0], self.a.dtype).tolist()
-        b = np.frombuffer(key[1], self.b.dtype).tolist()
-        bytes_a, bytes_b = [self.a_bytes[i] for i in a], [self.b.bytes[i] for i in b]
-        if b"".join(bytes_a) != b"".join(bytes_b):
-            return None
-        shown_a, shown_b, size_b = self.shown_a, self.shown_b, len(self.shown_b)
-        groups, links = [], array("q")
-        left, right = [], []
-        at_a = at_b = j = 0
-        for i, x in zip(a, bytes_a):
-            at_a += len(x)
-            left.append(shown_a[i])
-            while at_b < at_a:
-                at_b += len(bytes_b[j])
-                right.append(shown_b[b[j]])
-                j += 1
-            if at_a == at_b:
-                groups.append(f"{','.join(left)}|{','.join(right)}")
-                links.append(i * size_b + b[j - 1])
-                left, right = [], []
-        return ";".join(groups), links.tobytes()
-
-    def align(self, texts: list[str | None]):
+    def align(self, texts: list[str | None]) -> list[tuple]:
         """``(n_a, n_b, groups, pairs, counts)`` of each text: the groups as text,
         its distinct linked pairs and how often each is linked.  Texts without
         tokens have zeros and nothing."""
@@ -178,61 +158,127 @@ class Aligner:
         if not good:
             return out
         parts_a = list(self.a.packed([texts[i] for i in good]))
-        parts_b = [packed_b[i] for i in good]
-        windows = self._windows(parts_a, parts_b)
-        if None in windows[0]:  # A does not give every text back: one by one
-            if len(good) > 1:
-                return [r for t in texts for r in self.align([t])]
-            return out
-        rows, per_doc = windows
-        wa, wb, size_b = self.a.dtype.itemsize, self.b.dtype.itemsize, len(self.shown_b)
-        ends = np.cumsum(per_doc).tolist()
-        links = [r[1] for r in rows]
-        n_links = np.fromiter(map(len, links), np.int64, len(links)) // 8
-        doc = np.repeat(np.repeat(np.arange(len(good)), per_doc), n_links)
-        span = len(self.shown_a) * size_b
-        keys, counts = np.unique(doc * span + np.frombuffer(b"".join(links), np.int64), return_counts=True)
-        first = np.searchsorted(keys, np.arange(len(good) + 1) * span).tolist()
-        code = keys % span
-        pairs = code // size_b << 32 | code % size_b
-        at = 0
-        for k, (i, end) in enumerate(zip(good, ends)):
-            x, y = first[k], first[k + 1]
-            out[i] = (len(parts_a[k]) // wa, len(parts_b[k]) // wb, ";".join([r[0] for r in rows[at:end]]),
-                      pairs[x:y], counts[x:y])
-            at = end
+        found = self._align(parts_a, [packed_b[i] for i in good])
+        if found is None:  # A does not give every text back: one by one
+            return [r for t in texts for r in self.align([t])] if len(texts) > 1 else out
+        for i, r in zip(good, found):
+            out[i] = r
         return out
 
-    def _windows(self, parts_a: list[bytes], parts_b: list[bytes]) -> tuple[list, list[int]]:
-        """Alignments of all windows of some documents, and each one's number of windows."""
-        wa, wb = self.a.dtype.itemsize, self.b.dtype.itemsize
+    def _align(self, parts_a: list[bytes], parts_b: list[bytes]) -> list[tuple] | None:
+        """Documents whose B side is known to be their text; None if an A side differs."""
+        wa, wb, size_b = self.a.dtype.itemsize, self.b.dtype.itemsize, len(self.b.bytes)
         all_a, all_b = b"".join(parts_a), b"".join(parts_b)
         a, b = np.frombuffer(all_a, self.a.dtype), np.frombuffer(all_b, self.b.dtype)
-        length_a, length_b = self.length_a[a], self.length_b[b]
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         mark_a, mark_b = np.flatnonzero(self.space_a[a]), np.flatnonzero(self.space_b[b])
-        # both sides begin a document with its space, so its start is an anchor too
-        _, in_a, in_b = np.intersect1d((np.cumsum(length_a) - length_a)[mark_a], (np.cumsum(length_b) - length_b)[mark_b],
+        # anchors: tokens with a space that begin at one byte, so what ends before them ends together;
+        # both sides begin a document with its space, so its start is one
+        _, in_a, in_b = np.intersect1d((end_a - self.length_a[a])[mark_a], (end_b - self.length_b[b])[mark_b],
                                        assume_unique=True, return_indices=True)
-        cut_a, cut_b = mark_a[in_a] * wa, mark_b[in_b] * wb
-        starts = np.cumsum([0, *map(len, parts_a)])
-        per_doc = np.diff(np.searchsorted(cut_a, starts)).tolist()
-        if len(cut_a) == 0 or not np.isin(starts[:-1], cut_a).all():
-            return [None], []
-        cut_a, cut_b = [*cut_a.tolist(), len(all_a)], [*cut_b.tolist(), len(all_b)]
-        keys = [(all_a[i:p], all_b[j:q]) for i, j, p, q in zip(cut_a, cut_b, cut_a[1:], cut_b[1:])]
+        cut_a, cut_b = mark_a[in_a], mark_b[in_b]
+        doc_a, doc_b = (np.cumsum([0, *(len(p) // w for p in parts)]) for parts, w in ((parts_a, wa), (parts_b, wb)))
+        if not (np.isin(doc_a[:-1], cut_a).all() and np.isin(doc_b[:-1], cut_b).all()):
+            return None
+        size_wa, size_wb = np.diff(cut_a, append=len(a)), np.diff(cut_b, append=len(b))
+        first, which = self._distinct(a, b, cut_a, cut_b, size_wa, size_wb)
+        ends = self._window_ends(a, b, all_a, all_b, cut_a[first], cut_b[first], size_wa[first], size_wb[first],
+                                 end_a, end_b)
+        if ends is None:
+            return None
+        # which tokens end a group, from those of the distinct windows
+        last_a, last_b = (_spread(np.frombuffer(b"".join(e), np.uint8), sizes[first], which, sizes)
+                          for e, sizes in zip(ends, (size_wa, size_wb)))
+        at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        links = a[at_a].astype(np.int64) * size_b + b[at_b]
+        span = len(self.a_bytes) * size_b
+        group_doc = np.searchsorted(at_a, doc_a)
+        keys, counts = np.unique(np.repeat(np.arange(len(parts_a)), np.diff(group_doc)) * span + links,
+                                 return_counts=True)
+        per_doc = np.searchsorted(keys, np.arange(len(parts_a) + 1) * span).tolist()
+        code = keys % span
+        pairs = code // size_b << 32 | code % size_b
+        # the text: tokens of A and B in turn, group by group
+        first_a, first_b = (np.concatenate([[1], x[:-1]]).astype(bool) for x in (last_a, last_b))
+        group_a, group_b = np.cumsum(first_a) - 1, np.cumsum(first_b) - 1
+        text = np.empty(len(a) + len(b), object)
+        before_b = np.concatenate([[0], at_b + 1])  # tokens of B in the groups before
+        place_a = np.arange(len(a)) + before_b[group_a]
+        place_b = np.arange(len(b)) + at_a[group_b] + 1
+        text[place_a] = np.where(first_a, self.shown_a[1][a], self.shown_a[0][a])
+        text[place_b] = np.where(first_b, self.shown_b[1][b], self.shown_b[0][b])
+        text = text.tolist()
+        return [(int(p - i), int(q - j), "".join(text[i + j:p + q])[1:], pairs[x:y], counts[x:y])
+                for i, j, p, q, x, y in zip(doc_a.tolist(), doc_b.tolist(), doc_a[1:].tolist(), doc_b[1:].tolist(),
+                                            per_doc, per_doc[1:])]
+
+    def _distinct(self, a, b, cut_a, cut_b, size_wa, size_wb):
+        """``(first, which)``: a first window of each distinct pair of id tuples, and the
+        position among these of each window.  Found by hashes, then compared."""
+        longest = int(max(size_wa.max(), size_wb.max()))
+        while len(self.weights) < longest:
+            self.weights = np.concatenate([self.weights, self.weights * np.uint64(0x9E3779B97F4A7C15)])
+        place_a, place_b = _places(cut_a, size_wa), _places(cut_b, size_wb)
+        h = (np.add.reduceat(self.random_a[a] * self.weights[place_a], cut_a)
+             + np.add.reduceat(self.random_b[b] * self.weights[place_b], cut_b) * np.uint64(0xD6E8FEB86659FD93))
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        same = first[which]
+        if ((size_wa == size_wa[same]).all() and (size_wb == size_wb[same]).all()
+                and (a == a[np.repeat(cut_a[same], size_wa) + place_a]).all()
+                and (b == b[np.repeat(cut_b[same], size_wb) + place_b]).all()):
+            return first, which
+        seen: dict = {}  # two windows share a hash: by the tuples themselves
+        which = np.array([seen.setdefault((a[i:i + n].tobytes(), b[j:j + m].tobytes()), len(seen)) for i, j, n, m in
+                          zip(cut_a.tolist(), cut_b.tolist(), size_wa.tolist(), size_wb.tolist())])
+        return np.unique(which, return_index=True)[1], which
+
+    def _window_ends(self, a, b, all_a, all_b, cut_a, cut_b, size_a, size_b, end_a, end_b):
+        """For each of some windows, which of its tokens end a group, a byte a token, on
+        both sides.  None if the sides of a window differ in their bytes."""
+        wa, wb = self.a.dtype.itemsize, self.b.dtype.itemsize
+        keys = [(all_a[i * wa:(i + n) * wa], all_b[j * wb:(j + m) * wb]) for i, j, n, m in
+                zip(cut_a.tolist(), cut_b.tolist(), size_a.tolist(), size_b.tolist())]
         memo, old = self.memo, self.old_memo
-        rows = list(map(memo.get, keys))
-        if None in rows:
-            for i, r in enumerate(rows):
-                if r is None:
-                    k = keys[i]
-                    r = memo.get(k) or old.get(k) or self._window(k)
-                    rows[i] = r
-                    if r is not None:
-                        memo[k] = r
-            if len(memo) > MEMO_ENTRIES:
-                self.memo, self.old_memo = {}, memo
-        return rows, per_doc
+        found = list(map(memo.get, keys))
+        lost = [k for k, f in enumerate(found) if f is None]
+        fresh = []
+        for k in lost:
+            found[k] = old.get(keys[k])
+            if found[k] is None:
+                fresh.append(k)
+            else:
+                memo[keys[k]] = found[k]
+        if fresh:
+            at = np.array(fresh)
+            in_a, in_b = (np.repeat(c[at], n[at]) + _places(np.cumsum(n[at]) - n[at], n[at])
+                          for c, n in ((cut_a, size_a), (cut_b, size_b)))
+            # windows begin at one byte on both sides, so global ends compare
+            both = np.intersect1d(end_a[in_a], end_b[in_b])
+            flag_a, flag_b = (np.isin(e, both, assume_unique=False, kind="sort").astype(np.uint8).tobytes()
+                              for e in (end_a[in_a], end_b[in_b]))
+            ids_a, ids_b = a[in_a].tolist(), b[in_b].tolist()
+            i = j = 0
+            for k, n, m in zip(fresh, size_a[at].tolist(), size_b[at].tolist()):
+                if b"".join(map(self.a_bytes.__getitem__, ids_a[i:i + n])) != \
+                        b"".join(map(self.b.bytes.__getitem__, ids_b[j:j + m])):
+                    return None
+                found[k] = memo[keys[k]] = (flag_a[i:i + n], flag_b[j:j + m])
+                i, j = i + n, j + m
+        if len(memo) > MEMO_ENTRIES:
+            self.memo, self.old_memo = {}, memo
+        return [f[0] for f in found], [f[1] for f in found]
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The place of each element in its run; runs of ``sizes`` from ``starts`` on
+    tile the elements."""
+    return np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+
+
+def _spread(pool: np.ndarray, sizes: np.ndarray, which: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """The elements of pooled runs (of ``sizes``), run ``which`` after another."""
+    starts = np.cumsum(sizes) - sizes
+    return pool[np.repeat(starts[which], each) + _places(np.cumsum(each) - each, each)]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
