@@ -9,6 +9,7 @@ kept packed in a dictionary of bounded size.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -128,6 +129,11 @@ class Encoder:
             shown = (text if self.keeps_space else text.lower()).encode("utf-8").decode("latin-1").translate(_SHOWN)
         else:
             return None
+        if sign:  # the word alone may be known, with the same space or line end before it
+            alone = (0, body) if type(key) is tuple else key[:-1]
+            ids = self.recent.get(alone) or self.older.get(alone)
+            if ids is not None:
+                return ids + sign
         tokens = self.merges(shown if bare or not self.keeps_space else "\u0120" + shown)
         ids = array(self.code, [t.id for t in tokens]).tobytes()
         return (self.line_end if key[:1] == b"\n" else b"") + ids + sign
@@ -217,6 +223,8 @@ _encoders: dict[tuple, Encoder] = {}
 
 def encoder(path: str, keeps_space: bool, plain_specials: bool = False, lead_space: bool = False) -> Encoder:
     """This worker process's encoder for a vocabulary file."""
+    # a batch makes many lists and tuples without cycles: seek cycles less often
+    gc.set_threshold(200_000, 50, 50)
     key = (path, keeps_space, plain_specials, lead_space)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
+from embedscope.llm.blocknames import dense_names
 from embedscope.llm.components import components
 from embedscope.llm.work import Cuts, row_keyed, table
 
@@ -243,24 +244,32 @@ def near_groups(docs: DataFrame, keys: list[str], cuts: Cuts, words: int = 5, pe
     """``(*keys, doc_id, n_shingles, component_id, kept)`` per row of ``docs``.
 
     Null, empty and blank texts have no shingles and are linked with nothing.
-    ``doc_id`` names a document: rows that repeat an id and the text are in one
-    class; a row without id is linked with nothing, has a null component and
-    stays.  An empty table gives an empty result; other columns are not read.
+    Rows of equal texts are in one class, whatever their ids, and rows that repeat
+    an id with other texts are documents of their own; a row without id is linked
+    with nothing, has a null component and stays.  An empty table gives an empty result; other columns are not read.
     """
     signed = cuts.cut(sign(docs, keys, words, bands, rows))
     classes = cuts.cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(
-        F.min(F.col("doc_id").cast("long")).alias("node"), F.any_value("n_shingles").alias("n"),
+        F.min(F.col("doc_id").cast("long")).alias("first"), F.any_value("n_shingles").alias("n"),
         F.any_value("bands").alias("bands")))
+    # a class is a node, named by its smallest id; where an id has several texts, by
+    # numbers in the order of these ids
+    shared = not classes.groupBy("first").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    classes = classes.withColumn("node", F.col("first"))
+    if shared:
+        order = dense_names(classes.select("first", "set_key"), cuts).select("set_key", F.col("name").alias("node"))
+        classes = cuts.cut(classes.drop("node").join(order, "set_key"))
     banded = classes.select("node", F.explode("bands").alias("h"))
     hubs = banded.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
     near = components(banded.join(hubs.select("h", "hub").hint("merge"), "h").where("node <> hub")
                       .select(F.col("node").alias("a"), F.col("hub").alias("b")), cuts)
-    nodes = cuts.cut(_blocked(classes.join(near, "node").select("node", F.col("component").alias("grp"), "n", "set_key")))
+    nodes = cuts.cut(_blocked(classes.join(near, "node").select(
+        "node", F.col("component").alias("grp"), "n", "set_key", "first")))
 
-    picked = nodes.select(F.col("node").alias("__node"), F.col("set_key").alias("__key"))
+    picked = nodes.select(F.col("node").alias("__node"), F.col("set_key").alias("__key"), F.col("first").alias("__first"))
     # merge joins at every size: no plan that only small inputs can have
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(
-        picked.hint("merge"), F.col("__id") == F.col("__node")).select("__node", "__key", "text")
+        picked.hint("merge"), F.col("__id") == F.col("__first")).select("__node", "__key", "text")
 
     def elements(batches):
         for b in batches:
@@ -314,6 +323,9 @@ def near_groups(docs: DataFrame, keys: list[str], cuts: Cuts, words: int = 5, pe
 
     final = classes.select("set_key", "node").join(joined, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("__c"))
+    if shared:  # nodes are in the order of ids, so a component's first node has its smallest id
+        final = final.join(classes.select(F.col("node").alias("__c"), "first"), "__c").select(
+            "set_key", F.col("first").alias("__c"))
     own = F.col("doc_id").cast("long")
     return signed.select(*keys, "doc_id", "n_shingles", "set_key").join(final.hint("merge"), "set_key", "left").select(
         *keys, "doc_id", "n_shingles",

@@ -20,6 +20,8 @@ source and tree node.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -173,6 +175,7 @@ def mix(docs: DataFrame, keys: list[str], cuts: Cuts, weights=WEIGHTS, share: fl
     targets = source_targets(sized, cuts, weights, share, cap)
     # blocks of each source, and its quota: whole passes and the rest in blocks
     words = "cast(round(target) as bigint)"
+    most = max(1, math.ceil(cap))  # passes over a source: targets stop at cap times its size
     passes = f"({words} div greatest(source_size, 1L))"
     targets = targets.withColumn("blocks", F.expr(f"cast(ceil(source_size / {block_words}D) as bigint)")).withColumn(
         "q", F.expr(f"{passes} * blocks + cast(round(({words} - {passes} * source_size) / {block_words}D) as bigint)"))
@@ -186,7 +189,7 @@ def mix(docs: DataFrame, keys: list[str], cuts: Cuts, weights=WEIGHTS, share: fl
         F.expr("transform(given, (g, i) -> aggregate(slice(given, 1, i + 1), 0L, (a, x) -> a + x.n))").alias("ends"),
         *[F.expr(f"transform(sequence(1, {ROUNDS}), r -> named_struct('k', pmod(xxhash64({seed}, idx, {e}, r), "
                  f"greatest(blocks, 1L)), 's', xxhash64({seed}, idx, {e}, r, 1)))").alias(f"keys{e}")
-          for e in range(int(cap))]))
+          for e in range(most)]))
 
     rows = sized.join(targets.select(F.col("source").alias("__s"), "buckets"),
                       F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn(
@@ -207,7 +210,6 @@ def mix(docs: DataFrame, keys: list[str], cuts: Cuts, weights=WEIGHTS, share: fl
         return "array(" + ", ".join(f"named_struct('pass', {e}, 'block', b, 'ticket', {e} * blocks + "
                                     f"{_permuted('b', 'blocks', f'keys{e}')})" for e in range(count)) + ")"
 
-    most = int(cap)
     deals = tickets(most)
     for e in range(most - 1, 0, -1):  # passes beyond the quota have no tickets
         deals = f"if(element_at(ends, -1) <= {e} * blocks, {tickets(e)}, {deals})"
@@ -228,13 +230,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, columns unchanged: a row for each pass over a
     document of which the mix takes words, its text the taken words in their
     order (the whole text, unchanged, where all are taken), ``n_chars`` their
-    length.  Rows without words are in no mix."""
+    length.  Parts that are not neighbours in the document follow each other
+    without a mark.  Rows without words are in no mix."""
     cuts = Cuts(docs.sparkSession)
     keyed = row_keyed(docs, cuts)
     flat = keyed.select("__file", "__row", *[F.col("__doc")[n].alias(n) for n in ("doc_id", "source", "text")])
     plan = cuts.cut(mix(flat, ["__file", "__row"], cuts, **options)
                     .where(F.size("pieces") > 0).select("__file", "__row", "size", "pieces"))
-    runs = F.expr("""filter(transform(sequence(0, 1), e -> filter(pieces, p -> p.pass = e)),
+    runs = F.expr("""filter(transform(sequence(0, array_max(transform(pieces, p -> p.pass))), e -> filter(pieces, p -> p.pass = e)),
                             r -> size(r) > 0)""")
     taken = keyed.join(plan, ["__file", "__row"]).select(
         "__doc", "size", F.col("__doc")["text"].alias("__t"), F.explode(runs).alias("run"))

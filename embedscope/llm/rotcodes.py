@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from embedscope.llm.blocknames import dense_names
 from embedscope.llm.components import components
 from embedscope.llm.work import Cuts, table
 
@@ -149,8 +150,18 @@ def near_vectors(vectors: DataFrame, cuts: Cuts, threshold: float = THRESHOLD, b
     rows = cuts.cut(rows.withColumn("key", F.when(sound, F.sha2(F.concat_ws(
         ",", F.col("label").cast("string"), F.col("v").cast("string")), 256))))
     classes = cuts.cut(rows.where("key is not null").groupBy("key").agg(
-        F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.any_value("label").alias("label"),
-        F.any_value("v").alias("v")).drop("key"))
+        F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("label").alias("label"),
+        F.any_value("v").alias("v")))
+    # a class is a node, named by its smallest id; where an id has several vectors, by
+    # numbers in the order of these ids
+    shared = not classes.groupBy("first").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    if shared:
+        order = dense_names(classes.select("first", "key"), cuts).select("key", F.col("name").alias("node"))
+        classes = cuts.cut(classes.join(order, "key"))
+    else:
+        classes = classes.withColumn("node", F.col("first"))
+    names = classes.select("key", "node", "first", "copies")
+    classes = classes.drop("key", "first")
 
     def keys(batches):
         for b in batches:
@@ -219,11 +230,11 @@ def near_vectors(vectors: DataFrame, cuts: Cuts, threshold: float = THRESHOLD, b
     found = cuts.cut(tasks.groupBy("k1", "k2", "k3").applyInArrow(run, "kind int, a long, b long"))
     joined = components(found.where("kind = 1").select("a", "b"), cuts)
     links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
-    named = (rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"),
-                                                              F.count(F.lit(1)).alias("copies"))
-             .join(links, "node", "left").join(joined, "node", "left")
+    named = (names.join(links, "node", "left").join(joined, "node", "left")
              .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"),
                      F.coalesce("component", "node").alias("c")))
+    if shared:  # a component's first node has its smallest id
+        named = named.join(names.select(F.col("node").alias("c"), "first"), "c").select("key", "n", F.col("first").alias("c"))
     return rows.select("vec_id", "key").join(named, "key", "left").select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("c", "vec_id").alias("component_id"),

@@ -67,20 +67,23 @@ def row_keyed(df: DataFrame, cuts: Cuts) -> DataFrame:
     """``(__doc struct of all columns, __file, __row)``: rows with a key that is
     the same in every evaluation.
 
-    Files read by Spark know each row's file and position; any other frame is
-    written first.  The columns travel inside one struct, so no name of theirs
-    can clash with a helper column.
+    Files read by Spark know each row's file and position; any other frame, and
+    one with a column named like that knowledge, is written first with a number
+    a row.  The columns travel inside one struct, so no name of theirs can clash
+    with a helper column.
     """
-    try:
-        keyed = df.select(F.struct("*").alias("__doc"),
-                          F.col("_metadata.file_path").alias("__file"),
-                          F.col("_metadata.row_index").alias("__row"))
-        keyed.schema  # resolves now
-        return keyed
-    except Exception as e:  # no file source: the metadata column does not resolve
-        if "_metadata" not in str(e):
-            raise
-    return row_keyed(cuts.cut(df), cuts)
+    if "_metadata" not in map(str.lower, df.columns):
+        try:
+            keyed = df.select(F.struct("*").alias("__doc"),
+                              F.col("_metadata.file_path").alias("__file"),
+                              F.col("_metadata.row_index").alias("__row"))
+            keyed.schema  # resolves now
+            return keyed
+        except Exception as e:  # no file source: the metadata column does not resolve
+            if "_metadata" not in str(e):
+                raise
+    return cuts.cut(df.select(F.struct("*").alias("__doc"), F.lit("").alias("__file"),
+                              F.monotonically_increasing_id().alias("__row")))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: dict[str, Column], bound: int,

@@ -183,3 +183,49 @@ def test_code_bounds_hold():
     assert (true <= rotcodes.upper_bounds(f, met, 64) + 1e-9).all()
     err = (met / f[:, None] - true)[np.triu_indices(300, 1)]
     assert abs(err.mean()) < 0.01  # unbiased
+
+
+def _with_repeated_ids(n, rng):
+    """Ids of which many occur with several contents."""
+    return rng.integers(0, n // 2, n).tolist()
+
+
+def test_near_groups_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(25):
+        base = [f"w{i}" for i in rng.integers(0, 300, 60)]
+        for _ in range(rng.integers(1, 4)):
+            t = list(base)
+            t[int(rng.integers(0, 60))] = f"v{rng.integers(0, 99)}"
+            texts.append(" ".join(t))
+    ids = _with_repeated_ids(len(texts), rng)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    comp = brute([shingles(t, 5) for t in texts], 80)
+    least = {c: min(i for i, d in zip(ids, comp) if d == c) for c in set(comp)}
+    want = sorted((i, least[c]) for i, c in zip(ids, comp))
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_groups(docs, [], Cuts(spark)).collect()) == want
+
+
+def test_near_vectors_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.standard_normal((20, 16)), 3, axis=0) + rng.normal(0, 0.03, (60, 16))
+    ids = _with_repeated_ids(60, rng)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    comp = brute([{i for i in range(60) if near[i, j]} or {j} for j in range(60)], 1)
+    least = {c: min(i for i, d in zip(ids, comp) if d == c) for c in set(comp)}
+    want = sorted((i, int(near[k].sum()) - 1, least[c]) for k, (i, c) in enumerate(zip(ids, comp)))
+    got = rotcodes.near_vectors(df, Cuts(spark)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
+
+
+def test_column_named_like_file_knowledge(spark, tmp_path):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).withColumn(
+        "_metadata", F.struct(F.lit("mine").alias("file_path"), F.lit(1).alias("row_index")))
+    docs.write.parquet(str(tmp_path / "t"))
+    for df in (docs, spark.read.parquet(str(tmp_path / "t"))):
+        out = blocknames.drop_exact_copies(df)
+        assert out.columns == docs.columns and out.count() == len({(r[1] or "") for r in odd_rows()})
+        assert minhash.drop_near_copies(df).columns == docs.columns

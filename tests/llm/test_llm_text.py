@@ -1,6 +1,7 @@
 """Classifiers, tokens, packing, mixing, urls, quotations and the pipeline."""
 
 import collections
+import math
 import re
 import zlib
 
@@ -32,7 +33,6 @@ def odd(spark):
 def test_encoder_equals_library(spark, name, keeps_space):
     path = public_tokenizers.path(name)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     texts = [r.text for r in table(spark, SF, "documents").select("text").collect()] + [r[1] for r in ODD]
     texts += [" lead", "trail ", "\n", "x \n y", "a, b. c.. ä, Ö. µ ª º İ ß ÿ Ÿ é.x", "\n\n a", "~ a~b ~~", "it's we'll"]
     enc = encode.Encoder(path, keeps_space)
@@ -97,7 +97,6 @@ def test_blocks_round_trip():
 def test_token_files(spark, odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     folder = shared_dir(spark)
     manifest = Cuts(spark).cut(tokenfiles.write_token_files(odd, folder, path, file_text_bytes=20_000))
     rows = sorted(tokenfiles.read_token_files(spark, folder, manifest).collect(), key=lambda r: r.start)
@@ -169,6 +168,19 @@ def test_mixing(spark, odd):
     for r in mixed:
         words[r.source] += len(r.text.split())
     assert words == taken
+    for cap in (3.0, 2.5):  # more than two passes; a pass in part
+        few = docs.where("source in ('src0', 'src5')")
+        rows = mixing.mix(few, [], Cuts(spark), cap=cap, share=4.0, block_words=64).collect()
+        want = collections.Counter()
+        for r in rows:
+            want[r.source] += sum(p.words for p in r.pieces)
+            assert sum(p.words for p in r.pieces) <= math.ceil(cap) * r.size
+        for r in rows:
+            assert r.target <= cap * r.source_size + 1e-6 and abs(want[r.source] - r.target) <= 2 * 64
+        got = collections.Counter()
+        for r in mixing.mixed_documents(few, cap=cap, share=4.0, block_words=64).collect():
+            got[r.source] += len(r.text.split())
+        assert got == want
     out = mixing.mixed_documents(odd)
     assert out.columns == odd.columns and out.where("doc_id in (3, 4, 5)").count() == 0
     assert mixing.mix(odd.limit(0), [], Cuts(spark)).count() == 0
