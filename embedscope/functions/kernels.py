@@ -42,6 +42,8 @@ def pairwise(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         bb = np.einsum("ij,ij->i", b, b)
         sq = np.maximum(aa[:, None] + bb[None, :] - 2.0 * (a @ b.T), 0.0)
         return sq if metric != "euclidean" else np.sqrt(sq)
+    if metric == "dot":
+        return a @ b.T
     if metric == "manhattan":
         out = np.empty((a.shape[0], b.shape[0]))
         step = max(1, int(4_000_000 // max(1, b.size)))

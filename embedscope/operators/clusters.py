@@ -10,16 +10,26 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedscope.functions import vectors as V
-from embedscope.operators.pairs import LID, RID, LabelSums, TopK, pair_reduce
-from embedscope.operators.ranking import global_rank
+from embedscope.functions.kernels import pairwise
+from embedscope.operators.pairs import (DEFAULT_BLOCK_ROWS, G, LID, RID, LabelMeans, Reducer, TopK,
+                                        pair_reduce)
+from embedscope.operators.ranking import global_rank, rank_within
+from embedscope.session import cut_lineage
 
 NOISE = -1
+#: Centres that every task may get; more of them meet the rows in the pair kernel.
+CENTRE_BYTES = 64 << 20
+#: Label sizes (two numbers each) up to this many are broadcast to the points.
+LABEL_BROADCAST_ROWS = 100_000
 
 
 def centres(df: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
@@ -39,13 +49,20 @@ def centres(df: DataFrame, label_col: str = "label", vec_col: str = "embedding")
 
 
 def nearest_centre(df: DataFrame, cents: DataFrame, metric: str = "cosine_raw",
-                   id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+                   id_col: str = "id", vec_col: str = "embedding",
+                   max_bytes: int = CENTRE_BYTES) -> DataFrame:
     """``(id, nearest_label, distance)`` for every row of ``df``.
 
     Undefined distances (zero vector with raw cosine) are skipped; a row with
     no defined distance (or no centres at all) gets +infinity and a NULL
-    label.  Ties go to the smallest label.
+    label.  Ties go to the smallest label.  Centres of up to ``max_bytes`` go to
+    every task, so the rows are not shuffled; more of them meet the rows in the
+    pair kernel, with the same result.
     """
+    cents = cut_lineage(cents.select("label", "centre"))
+    n, dim = cents.agg(F.count(F.lit(1)), F.max(F.size("centre"))).first()
+    if n * (dim or 0) * 8 <= max_bytes:
+        return _nearest_of_few(df, cents, metric, id_col, vec_col)
     best = pair_reduce(df, cents, TopK(1), metric=metric, id_col=id_col, vec_col=vec_col,
                        right_id_col="label", right_vec_col="centre")
     best = best.select(F.col(LID).alias(id_col), F.col(RID).alias("nearest_label"),
@@ -55,6 +72,33 @@ def nearest_centre(df: DataFrame, cents: DataFrame, metric: str = "cosine_raw",
                     F.coalesce("distance", F.lit(float("inf"))).alias("distance")))
 
 
+def _nearest_of_few(df: DataFrame, cents: DataFrame, metric: str, id_col: str, vec_col: str) -> DataFrame:
+    rows = sorted((r.label, r.centre) for r in cents.collect())  # of a checked size
+    labels = np.array([r[0] for r in rows], np.int64)
+    centres_ = np.array([r[1] for r in rows], np.float64)
+    frame = df.select(id_col, F.col(vec_col).cast("array<double>").alias("__v"))
+    schema = frame.select(id_col).schema.add("nearest_label", "long").add("distance", "double")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if len(labels):
+                d = pairwise(metric, np.asarray(b.column("__v").flatten(), np.float64).reshape(b.num_rows, -1), centres_)
+                d = np.where(np.isnan(d), np.inf, d)
+                at = d.argmin(axis=1)
+                best = d[np.arange(len(at)), at]
+            else:
+                at, best = np.zeros(b.num_rows, np.int64), np.full(b.num_rows, np.inf)
+            known = np.isfinite(best)
+            names = labels[at] if len(labels) else at
+            yield pa.RecordBatch.from_arrays(
+                [b.column(id_col), pa.array(names, pa.int64(), mask=~known), pa.array(best, pa.float64())],
+                [id_col, "nearest_label", "distance"])
+
+    return frame.mapInArrow(run, schema)
+
+
 @dataclass
 class ManifoldModel:
     """Q2 model object: the fitted centres and the parameters."""
@@ -91,6 +135,59 @@ def score_summary(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
                   F.min(c).alias(f"{prefix}min"), F.max(c).alias(f"{prefix}max"))
 
 
+def _distance_sums(pts: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """``(*keys, id, label, n_own, sum_own, b)`` by the pair kernel, its right side in
+    blocks of whole labels."""
+    spark = pts.sparkSession
+    block = int(spark.conf.get("embedscope.pairs.blockRows", str(DEFAULT_BLOCK_ROWS)))
+    pts = cut_lineage(pts)
+    sizes = cut_lineage(pts.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("size")))
+    few = sizes.count() <= LABEL_BROADCAST_ROWS
+    right = pts.join(F.broadcast(sizes) if few else sizes, [*keys, "label"])
+    # a label larger than a block is in several parts
+    right = right.withColumn("of", F.xxhash64("label", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / block))))
+    sums = pair_reduce(pts, right, LabelMeans(), metric=metric, lattrs=("label",), rattrs=("label", "size", "of"),
+                       same_ids=True, group_col=keys[0] if keys else None, right_block="of")
+    return sums.select(*[F.col(G).alias(k) for k in keys], F.col(LID).alias("id"), F.col("own").alias("label"),
+                       "n_own", "sum_own", "b")
+
+
+class _CosineMeans(Reducer):
+    """Per left row, from its products with the labels' sums of unit vectors: the sum of
+    its cosine distances to its own label and the least mean distance to another."""
+
+    schema = f"{LID} bigint, own bigint, n_own bigint, sum_own double, b double"
+
+    def tile(self, d, left, right):
+        n = right["size"].to_numpy()
+        total = n[None, :] - d
+        mine = left["label"].to_numpy()[:, None] == right[RID].to_numpy()[None, :]
+        return pd.DataFrame({LID: left[LID].to_numpy(), "own": left["label"].to_numpy(),
+                             "n_own": (mine * n[None, :]).sum(axis=1), "sum_own": np.where(mine, total, 0.0).sum(axis=1),
+                             "b": np.where(mine, np.inf, total / n[None, :]).min(axis=1)})
+
+    def merge(self, partial):
+        return partial.groupBy(G, LID, "own").agg(
+            F.sum("n_own").alias("n_own"), F.sum("sum_own").alias("sum_own"), F.min("b").alias("b"))
+
+
+def _cosine_sums(pts: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for cosine distance, without pairs of points: with unit rows ``u`` the
+    distances of a point to label ``k`` add up to ``n_k - u . S_k``, ``S_k`` the sum of
+    the label's rows.  A zero row is at distance 1 from others and 0 from itself."""
+    unit = cut_lineage(pts.withColumn("embedding", V.normalize("embedding")))
+    sums = (unit.select(*keys, "label", array_to_vector("embedding").alias("__f")).groupBy(*keys, "label")
+            .agg(Summarizer.metrics("sum", "count").summary(F.col("__f")).alias("__s"))
+            .select(*keys, "label", vector_to_array("__s.sum").alias("embedding"), F.col("__s.count").alias("size")))
+    sums = cut_lineage(sums)
+    found = pair_reduce(unit, sums, _CosineMeans(), metric="dot", right_id_col="label", right_vec_col="embedding",
+                        group_col=keys[0] if keys else None, lattrs=("label",), rattrs=("size",))
+    zero = unit.where(F.forall("embedding", lambda x: x == 0)).select(*keys, "id", F.lit(1.0).alias("itself"))
+    return (found.select(*[F.col(G).alias(k) for k in keys], F.col(LID).alias("id"), F.col("own").alias("label"),
+                         "n_own", "sum_own", "b").join(zero, [*keys, "id"], "left")
+            .withColumn("sum_own", F.greatest(F.lit(0.0), F.col("sum_own") - F.coalesce("itself", F.lit(0.0)))).drop("itself"))
+
+
 def silhouette_points(df: DataFrame, label_col: str = "label", metric: str = "euclidean",
                       id_col: str = "id", vec_col: str = "embedding",
                       include_noise: bool = False, group_col: str | None = None) -> DataFrame:
@@ -98,30 +195,22 @@ def silhouette_points(df: DataFrame, label_col: str = "label", metric: str = "eu
 
     a = mean distance to the rest of its own cluster, b = smallest mean
     distance to another cluster, s = (b - a) / max(a, b); a singleton
-    cluster gives 0.  Built from per-(point, label) distance sums made by
-    the pair kernel: n x k partial rows, never n x n.  With ``group_col``
+    cluster gives 0.  A point leaves a tile of the pair kernel as one row, with the
+    sum over its own label and the least mean of the others; cosine distances need
+    no pairs of points, only the labels' sums.  With ``group_col``
     every group (e.g. a clustering configuration) is scored separately in
     the same job.
     """
-    from embedscope.operators.pairs import G
     pts = df if include_noise else df.where(F.col(label_col) != NOISE)
     keys = [group_col] if group_col else []
     pts = pts.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"),
                      F.col(label_col).cast("bigint").alias("label"))
-    sums = pair_reduce(pts, pts, LabelSums("label"), metric=metric, rattrs=("label",),
-                       same_ids=True, group_col=group_col)
-    sums = sums.select(*([F.col(G).alias(group_col)] if group_col else []), F.col(LID).alias("id"),
-                       F.col("label").alias("other"), "sum_d", "n")
-    joined = sums.join(pts.select(*keys, "id", "label"), keys + ["id"])
-    own = F.col("other") == F.col("label")
-    per = joined.groupBy(*keys, "id", "label").agg(
-        F.max(F.when(own, F.col("n"))).alias("n_own"),
-        F.max(F.when(own, F.col("sum_d"))).alias("sum_own"),
-        F.min(F.when(~own, F.col("sum_d") / F.col("n"))).alias("b"))
+    sums = _cosine_sums(pts, keys) if metric == "cosine" else _distance_sums(pts, keys, metric)
     a = F.try_divide(F.col("sum_own"), F.col("n_own") - 1)
+    b = F.when(F.col("b") < float("inf"), F.col("b"))
     s = (F.when(F.col("n_own") <= 1, F.lit(0.0))
-         .otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0))))
-    return per.select(*keys, "id", "label", s.alias("s"))
+         .otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))))
+    return sums.select(*keys, "id", "label", s.alias("s"))
 
 
 def silhouette(df: DataFrame, label_col: str = "label", metric: str = "euclidean",
@@ -226,10 +315,8 @@ def mean_pair_distance(df: DataFrame, group_col: str | None = None,
 def cluster_members(labels: DataFrame, prompts: DataFrame, id_col: str = "id") -> DataFrame:
     """Members of each cluster and of noise, with a position 1..m per
     label in id order (rows, not collected lists)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("label").orderBy(id_col)
-    return (labels.join(prompts, id_col, "left")
-            .select("label", id_col, "prompt", F.row_number().over(w).alias("position")))
+    ranked = rank_within(labels.select("label", id_col), ["label"], [F.col(id_col)], "position")
+    return ranked.join(prompts, id_col, "left").select("label", id_col, "prompt", "position")
 
 
 def noise_to_nearest(df: DataFrame, label_col: str = "label", id_col: str = "id",

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedscope.functions.kernels import components, group_pairs, pairwise, rowwise, stack
+from embedscope.functions.kernels import group_pairs, pairwise, rowwise, stack
 from embedscope.session import cut_lineage, default_parallelism
 
 G, LID, RID, VEC, LB, RB, BK = "__g", "__lid", "__rid", "__v", "__lb", "__rb", "__bk"
@@ -97,6 +97,48 @@ class TopK(Reducer):
                 .where(F.col("nn") <= self.k))
 
 
+class LabelMeans(Reducer):
+    """Per left row what its silhouette needs: sum and count of the distances to its
+    own label's rows, and the least mean distance to another label's.
+
+    A label whose rows are all in the tile (``size_col`` on the right side tells) is
+    finished there, so a left row leaves a tile as one row; only labels larger than a
+    block leave it as partial sums."""
+
+    def __init__(self, label_col: str = "label", size_col: str = "size"):
+        self.label_col, self.size_col = label_col, size_col
+        self.schema = f"{LID} bigint, own bigint, part bigint, sum_d double, n bigint, b double"
+
+    def tile(self, d, left, right):
+        labels = right[self.label_col].to_numpy().astype(np.int64)
+        own = left[self.label_col].to_numpy().astype(np.int64)
+        lid = left[LID].to_numpy()
+        uniq, first, inv, n = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
+        onehot = np.zeros((len(labels), len(uniq)))
+        onehot[np.arange(len(labels)), inv] = 1.0
+        sums = d @ onehot
+        whole = right[self.size_col].to_numpy()[first] == n
+        mine = own[:, None] == uniq[None, :]
+        other = np.where(mine | ~whole[None, :], np.inf, sums / n[None, :]).min(axis=1)
+        held = mine & whole[None, :]
+        out = [pd.DataFrame({LID: lid, "own": own, "part": None, "sum_d": np.where(held, sums, 0.0).sum(axis=1),
+                             "n": (held * n[None, :]).sum(axis=1), "b": other})]
+        for k in np.flatnonzero(~whole):
+            out.append(pd.DataFrame({LID: lid, "own": own, "part": uniq[k], "sum_d": sums[:, k], "n": n[k], "b": np.inf}))
+        rows = pd.concat(out, ignore_index=True)
+        rows["part"] = rows["part"].astype("Int64")
+        return rows
+
+    def merge(self, partial):
+        """``(own, n_own, sum_own, b)`` per left row."""
+        per = partial.groupBy(G, LID, "own", "part").agg(
+            F.sum("sum_d").alias("sum_d"), F.sum("n").alias("n"), F.min("b").alias("b"))
+        own = F.col("part").isNull() | (F.col("part") == F.col("own"))
+        return per.groupBy(G, LID, "own").agg(
+            F.sum(F.when(own, F.col("n"))).alias("n_own"), F.sum(F.when(own, F.col("sum_d"))).alias("sum_own"),
+            F.least(F.min("b"), F.min(F.when(~own, F.col("sum_d") / F.col("n")))).alias("b"))
+
+
 class LabelSums(Reducer):
     """Per left row and right label: sum of distances and count of rows."""
 
@@ -140,55 +182,6 @@ class CountWithin(Reducer):
         return partial.groupBy(G, LID).agg(F.sum("n").alias("n"))
 
 
-class MinAttrWithin(Reducer):
-    """Per left row: smallest right attribute among rows with ``d <= eps``."""
-
-    def __init__(self, eps: float, attr: str):
-        self.eps = float(eps)
-        self.attr = attr
-        self.schema = f"{LID} bigint, m bigint"
-
-    def tile(self, d, left, right):
-        vals = right[self.attr].to_numpy().astype(np.int64)
-        big = np.iinfo(np.int64).max
-        m = np.where(d <= self.eps, vals[None, :], big).min(axis=1) if d.shape[1] else \
-            np.full(d.shape[0], big)
-        keep = m != big
-        return pd.DataFrame({LID: left[LID].to_numpy()[keep], "m": m[keep]})
-
-    def merge(self, partial):
-        return partial.groupBy(G, LID).agg(F.min("m").alias("m"))
-
-
-class ForestWithin(Reducer):
-    """Edges of a spanning forest of the graph ``d <= eps`` (self pairs
-    excluded).  Each tile emits at most (tile nodes - 1) edges, as chains, so
-    node degree stays small even inside one dense blob."""
-
-    def __init__(self, eps: float):
-        self.eps = float(eps)
-        self.schema = "src bigint, dst bigint"
-
-    def tile(self, d, left, right):
-        lids = left[LID].to_numpy()
-        rids = right[RID].to_numpy()
-        ids, inv = np.unique(np.concatenate([lids, rids]), return_inverse=True)
-        li, ri = inv[:len(lids)], inv[len(lids):]
-        a, b = np.nonzero(d <= self.eps)
-        src, dst = li[a], ri[b]
-        keep = src != dst
-        src, dst = src[keep], dst[keep]
-        if src.size == 0:
-            return pd.DataFrame({"src": [], "dst": []})
-        lab = components(len(ids), src, dst)
-        order = np.lexsort((ids, lab))
-        same = lab[order][1:] == lab[order][:-1]
-        return pd.DataFrame({"src": ids[order][:-1][same], "dst": ids[order][1:][same]})
-
-    def merge(self, partial):
-        return partial.select(G, "src", "dst").distinct()
-
-
 class PairStats(Reducer):
     """Per group: count, sum, sum of squares, min and max of the distances
     over ordered pairs of distinct ids."""
@@ -228,37 +221,6 @@ class PairStats(Reducer):
             F.min("mn").alias("mn"), F.max("mx").alias("mx"))
 
 
-class MinOutgoing(Reducer):
-    """Boruvka step on the mutual-reachability graph: per left row, the
-    lightest edge to a row of another component.  Weight is
-    ``max(core_l, core_r, d)``; ties by right id."""
-
-    def __init__(self, comp_col: str = "comp", core_col: str = "core"):
-        self.comp_col, self.core_col = comp_col, core_col
-        self.schema = f"{LID} bigint, {RID} bigint, w double"
-
-    def tile(self, d, left, right):
-        lc = left[self.comp_col].to_numpy()
-        rc = right[self.comp_col].to_numpy()
-        w = np.maximum(d, np.maximum(left[self.core_col].to_numpy()[:, None],
-                                     right[self.core_col].to_numpy()[None, :]))
-        w = np.where(lc[:, None] == rc[None, :], np.inf, w)
-        if w.shape[1] == 0:
-            return pd.DataFrame({LID: [], RID: [], "w": []})
-        best = w.min(axis=1)
-        rids = right[RID].to_numpy()
-        # smallest right id among the minima
-        cand = np.where(w == best[:, None], rids[None, :], np.iinfo(np.int64).max)
-        pick = cand.min(axis=1)
-        keep = np.isfinite(best)
-        return pd.DataFrame({LID: left[LID].to_numpy()[keep], RID: pick[keep], "w": best[keep]})
-
-    def merge(self, partial):
-        w = Window.partitionBy(G, LID).orderBy(F.col("w"), F.col(RID))
-        return (partial.withColumn("__r", F.row_number().over(w))
-                .where("__r = 1").drop("__r"))
-
-
 def _side(df: DataFrame, id_col: str, vec_col: str, group_col, attrs, id_name: str) -> DataFrame:
     g = F.col(group_col) if group_col else F.lit(0).cast("bigint")
     return df.select(g.alias(G), F.col(id_col).cast("bigint").alias(id_name),
@@ -282,12 +244,15 @@ def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric:
                 id_col: str = "id", vec_col: str = "embedding", right_id_col: str | None = None,
                 right_vec_col: str | None = None, group_col: str | None = None,
                 lattrs=(), rattrs=(), same_ids: bool = False,
-                block_rows: int | None = None, left_floor: int | None = None) -> DataFrame:
+                block_rows: int | None = None, left_floor: int | None = None,
+                right_block: str | None = None) -> DataFrame:
     """Run ``reducer`` over all (left, right) pairs inside each group.
 
     Returns the reducer's merged output with the group column named
     ``__g`` (a constant 0 when ``group_col`` is None).  ``same_ids`` says
     both sides share one id space, so a row met with itself gets distance 0.
+    ``right_block``: a right attribute whose equal rows stay in one block (as many
+    rows as a block at most may have one value).
 
     Grouped work is packed: small groups share a tile (the tile key is a
     hash bucket of the group, with ``total rows / block_rows`` buckets), and
@@ -324,7 +289,7 @@ def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric:
     lx = (lx.withColumn(LB, F.pmod(F.xxhash64(LID), F.col("__nlb")).cast("int"))
           .withColumn(RB, F.explode(F.sequence(F.lit(0), F.col("__nrb") - 1)))
           .withColumn(BK, bucket).drop("__nlb", "__nrb"))
-    rx = (rx.withColumn(RB, F.pmod(F.xxhash64(RID), F.col("__nrb")).cast("int"))
+    rx = (rx.withColumn(RB, F.pmod(F.xxhash64(right_block or RID), F.col("__nrb")).cast("int"))
           .withColumn(LB, F.explode(F.sequence(F.lit(0), F.col("__nlb") - 1)))
           .withColumn(BK, bucket).drop("__nlb", "__nrb"))
 
@@ -384,90 +349,3 @@ def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric:
     partial = (lx.groupBy(*keys).cogroup(rx.groupBy(*keys))
                .applyInPandas(run_tile, schema=f"{G} {gtype}, {red.schema}"))
     return red.merge(partial)
-
-
-def _mat(series, dtype) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=dtype) for v in series.to_numpy()])
-
-
-class CountWithinMulti(Reducer):
-    """CountWithin for several eps values at once (one distance tile):
-    ``(lid, cfg, n)``, cfg = position in ``eps_list``."""
-
-    def __init__(self, eps_list):
-        self.eps = [float(e) for e in eps_list]
-        self.schema = f"{LID} bigint, cfg int, n bigint"
-
-    def tile(self, d, left, right):
-        lids = left[LID].to_numpy()
-        parts = [pd.DataFrame({LID: lids, "cfg": c, "n": (d <= e).sum(axis=1).astype(np.int64)})
-                 for c, e in enumerate(self.eps)]
-        return pd.concat(parts, ignore_index=True)
-
-    def merge(self, partial):
-        return partial.groupBy(G, LID, "cfg").agg(F.sum("n").alias("n"))
-
-
-class ForestWithinMulti(Reducer):
-    """Spanning-forest edges of ``d <= eps_c`` among rows flagged in the
-    boolean array column ``flag_col`` (element c), for every config c:
-    ``(cfg, src, dst)``."""
-
-    def __init__(self, eps_list, flag_col: str = "core"):
-        self.eps = [float(e) for e in eps_list]
-        self.flag_col = flag_col
-        self.schema = "cfg int, src bigint, dst bigint"
-
-    def tile(self, d, left, right):
-        lids, rids = left[LID].to_numpy(), right[RID].to_numpy()
-        lf, rf = _mat(left[self.flag_col], bool), _mat(right[self.flag_col], bool)
-        ids, inv = np.unique(np.concatenate([lids, rids]), return_inverse=True)
-        li, ri = inv[:len(lids)], inv[len(lids):]
-        out = []
-        for c, e in enumerate(self.eps):
-            a, b = np.nonzero((d <= e) & lf[:, c][:, None] & rf[:, c][None, :])
-            src, dst = li[a], ri[b]
-            keep = src != dst
-            src, dst = src[keep], dst[keep]
-            if src.size == 0:
-                continue
-            lab = components(len(ids), src, dst)
-            used = np.zeros(len(ids), bool)
-            used[src] = True
-            used[dst] = True
-            order = np.lexsort((ids, lab))
-            order = order[used[order]]
-            same = lab[order][1:] == lab[order][:-1]
-            out.append(pd.DataFrame({"cfg": c, "src": ids[order][:-1][same],
-                                     "dst": ids[order][1:][same]}))
-        if not out:
-            return pd.DataFrame({"cfg": pd.Series([], dtype="int32"), "src": [], "dst": []})
-        return pd.concat(out, ignore_index=True)
-
-    def merge(self, partial):
-        return partial.select(G, "cfg", "src", "dst").distinct()
-
-
-class MinAttrWithinMulti(Reducer):
-    """Per left row and config c: smallest right ``attr[c]`` among right rows
-    with ``d <= eps_c`` and ``attr[c] >= 0`` (negative = absent)."""
-
-    def __init__(self, eps_list, attr: str):
-        self.eps = [float(e) for e in eps_list]
-        self.attr = attr
-        self.schema = f"{LID} bigint, cfg int, m bigint"
-
-    def tile(self, d, left, right):
-        lids = left[LID].to_numpy()
-        vals = _mat(right[self.attr], np.int64)
-        big = np.iinfo(np.int64).max
-        out = []
-        for c, e in enumerate(self.eps):
-            v = vals[:, c]
-            m = np.where((d <= e) & (v >= 0)[None, :], v[None, :], big).min(axis=1)
-            keep = m != big
-            out.append(pd.DataFrame({LID: lids[keep], "cfg": c, "m": m[keep]}))
-        return pd.concat(out, ignore_index=True)
-
-    def merge(self, partial):
-        return partial.groupBy(G, LID, "cfg").agg(F.min("m").alias("m"))
