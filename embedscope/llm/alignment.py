@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,7 @@ class Pieces:
         self.bytes = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) and self.model.is_byte(i)
                       else p.replace(MARK, " ").encode("utf-8") for i, p in enumerate(names)]
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         plain = [p for i, p in enumerate(names) if not self.model.is_control(i) and not self.model.is_unknown(i)]
         self.parted = not any(MARK in p.lstrip(MARK) or "\n" in p for p in plain)
         # a line end and what follows it, encoded after the added space
@@ -86,7 +88,7 @@ class Pieces:
         else:
             want = " " + key
         same = b"".join(map(self.bytes.__getitem__, ids)) == want.encode("utf-8")
-        return np.array(ids, self.dtype).tobytes() if same else self.BROKEN
+        return array(self.code, ids).tobytes() if same else self.BROKEN
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Each text's packed ids; ``BROKEN`` for an empty text and for one that
@@ -178,7 +180,7 @@ class Aligner:
                                        assume_unique=True, return_indices=True)
         cut_a, cut_b = mark_a[in_a], mark_b[in_b]
         doc_a, doc_b = (np.cumsum([0, *(len(p) // w for p in parts)]) for parts, w in ((parts_a, wa), (parts_b, wb)))
-        if not (np.isin(doc_a[:-1], cut_a).all() and np.isin(doc_b[:-1], cut_b).all()):
+        if not (np.isin(doc_a[:-1], cut_a).all() and np.isin(doc_b[:-1], cut_b).all()) or end_a[-1] != end_b[-1]:
             return None
         size_wa, size_wb = np.diff(cut_a, append=len(a)), np.diff(cut_b, append=len(b))
         first, which = self._distinct(a, b, cut_a, cut_b, size_wa, size_wb)
@@ -253,9 +255,10 @@ class Aligner:
             in_a, in_b = (np.repeat(c[at], n[at]) + _places(np.cumsum(n[at]) - n[at], n[at])
                           for c, n in ((cut_a, size_a), (cut_b, size_b)))
             # windows begin at one byte on both sides, so global ends compare
-            both = np.intersect1d(end_a[in_a], end_b[in_b])
-            flag_a, flag_b = (np.isin(e, both, assume_unique=False, kind="sort").astype(np.uint8).tobytes()
-                              for e in (end_a[in_a], end_b[in_b]))
+            stops_a, stops_b = end_a[in_a], end_b[in_b]
+            ends = np.zeros((2, int(end_a[-1]) + 1), np.uint8)
+            ends[0, stops_a], ends[1, stops_b] = 1, 1
+            flag_a, flag_b = ends[1, stops_a].tobytes(), ends[0, stops_b].tobytes()
             ids_a, ids_b = a[in_a].tolist(), b[in_b].tolist()
             i = j = 0
             for k, n, m in zip(fresh, size_a[at].tolist(), size_b[at].tolist()):
