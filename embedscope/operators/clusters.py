@@ -113,19 +113,17 @@ class ManifoldModel:
             id_col, F.col("distance").alias("manifold_distance"))
 
 
-def manifold_score(vecs: DataFrame, labels: DataFrame, prompts: DataFrame,
-                   id_col: str = "id") -> DataFrame:
+def manifold_score(vecs: DataFrame, prompts: DataFrame, id_col: str = "id") -> DataFrame:
     """Q1: distance to the nearest cluster centre (raw cosine), ranked
-    worst first, ties in id order.  Rows without a prompt are not scored.
+    worst first, ties (to 12 digits) in id order.  Every row of ``vecs`` is
+    scored; its prompt is null if it has none.
 
-    ``vecs``: (id, embedding); ``labels``: (id, label); ``prompts``: (id, prompt).
+    ``vecs``: (id, embedding, label); ``prompts``: (id, prompt).
     """
-    labelled = vecs.join(labels, id_col)
-    model = ManifoldModel(centres(labelled))
-    dist = model.distances(vecs, id_col=id_col)
-    scored = dist.join(prompts, id_col)
-    return global_rank(scored, [F.col("manifold_distance").desc(), F.col(id_col)]).select(
-        id_col, "prompt", "manifold_distance", "rank")
+    vecs = cut_lineage(vecs)
+    model = ManifoldModel(centres(vecs))
+    ranked = global_rank(model.distances(vecs, id_col=id_col), [F.round("manifold_distance", 12).desc(), F.col(id_col)])
+    return ranked.join(prompts, id_col, "left").select(id_col, "prompt", "manifold_distance", "rank")
 
 
 def score_summary(df: DataFrame, col: str, prefix: str = "") -> DataFrame:

@@ -29,7 +29,7 @@ def corpus_scores(queries: DataFrame, corpus: DataFrame, method: str = "cosine",
     to single precision first (parity with the single-precision search).
     """
     if method not in _KERNEL_METRIC:
-        raise ValueError(f"Unknown method: {method}")
+        raise ValueError(f"no distance is named {method}")
     if top_k <= 0:
         raise ValueError("top_k must be positive")
     q = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))

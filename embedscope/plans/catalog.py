@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from embedscope.operators import clusters as C
 from embedscope.plans.common import rounded
+from embedscope.session import cut_lineage
 from embedscope.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,11 +36,10 @@ def _given_labels(spark, sf):
 
 @register("manifold_score")
 def q_manifold_score(spark, sf):
-    """Q1 (A1 -> J7 -> W1): distance of every vector to the nearest centre of
-    the given clusters, ranked worst first, for vectors with a prompt."""
-    v = T.vectors(spark, sf)
-    return C.manifold_score(v.select("id", "embedding"), v.select("id", "label"),
-                            T.prompts(spark, sf))
+    """Q1 (A1 -> J7 -> W1): distance of every document's vector to the nearest
+    centre of the clusters (by language), ranked worst first."""
+    v = T.doc_vectors(spark, sf)
+    return C.manifold_score(v, T.prompts(spark, sf))
 
 
 @register("manifold_summary")
@@ -192,10 +192,14 @@ def q_agreement_global(spark, sf):
     return global_agreement(pairwise_agreement(_agreement_dists(spark, sf)))
 
 
+def _doc_dists(spark, sf):
+    from embedscope.operators.agreement import pair_distances
+    return pair_distances(T.doc_models(spark, sf), names=list(T.MODEL_NAMES), check=False)
+
+
 def _prompt_agreement(spark, sf):
     from embedscope.operators.agreement import prompt_agreement
-    prompts = T.vectors(spark, sf).select("id").join(T.prompts(spark, sf), "id")
-    return prompt_agreement(_agreement_dists(spark, sf), prompts)
+    return prompt_agreement(_doc_dists(spark, sf), T.prompts(spark, sf))
 
 
 @register("agreement_prompts")
@@ -214,16 +218,14 @@ def q_agreement_matrix(spark, sf):
 # ---------------------------------------------------------------- fusion
 
 def _combined(spark, sf):
+    from embedscope.operators.agreement import agreement_scores
     from embedscope.operators.consistency import response_metrics
     from embedscope.operators.fusion import combine_scores
-    v = T.vectors(spark, sf)
-    prompts = T.prompts(spark, sf)
-    listed = v.select("id").join(prompts, "id")
-    man = (C.ManifoldModel(C.centres(v)).distances(v.select("id", "embedding"))
-           .join(prompts, "id"))
-    cons = response_metrics(T.responses(spark, sf)).join(prompts, "id")
-    agr = _prompt_agreement(spark, sf)
-    return combine_scores(listed, man, cons, agr)
+    v = cut_lineage(T.doc_vectors(spark, sf))
+    man = C.ManifoldModel(C.centres(v)).distances(v.select("id", "embedding"))
+    cons = response_metrics(T.doc_responses(spark, sf))
+    agr = agreement_scores(_doc_dists(spark, sf), v.select("id"))
+    return combine_scores(T.prompts(spark, sf), man, cons, agr)
 
 
 @register("combined")
@@ -245,7 +247,7 @@ def q_combined_top5(spark, sf):
     """Five most likely hallucinations."""
     from embedscope.operators.ranking import top_k
     return top_k(_combined(spark, sf).select("id", "prompt", "combined_score"),
-                 [F.col("combined_score").desc(), F.col("id")], 5, "position")
+                 [F.round("combined_score", 12).desc(), F.col("id")], 5, "position")
 
 
 @register("combined_bottom5")
@@ -253,8 +255,8 @@ def q_combined_bottom5(spark, sf):
     """Last five of the ranking, in ranking order, renumbered."""
     from embedscope.operators.ranking import last_k
     return last_k(_combined(spark, sf).select("id", "prompt", "combined_score"),
-                  [F.col("combined_score").desc(), F.col("id")],
-                  [F.col("combined_score").asc(), F.col("id").desc()], 5)
+                  [F.round("combined_score", 12).desc(), F.col("id")],
+                  [F.round("combined_score", 12).asc(), F.col("id").desc()], 5)
 
 
 # ---------------------------------------------------------------- comparison
@@ -262,7 +264,7 @@ def q_combined_bottom5(spark, sf):
 def _long_scores(spark, sf):
     from embedscope.operators.compare import long_scores
     from embedscope.operators.scoring import corpus_scores
-    q, c = T.queries(spark, sf), T.corpus(spark, sf)
+    q, c = cut_lineage(T.doc_vectors(spark, sf)), cut_lineage(T.benchmark_vectors(spark, sf))
     prompts = T.prompts(spark, sf)
     frames = {m: corpus_scores(q, c, method=m).join(prompts, "id")
               for m in ("cosine", "euclidean", "manhattan", "faiss_cosine")}
@@ -542,12 +544,12 @@ def q_pipeline_report(spark, sf):
     """Report lines from the cluster statistics, consistency batch,
     global agreement and the combined ranking."""
     from embedscope.operators.agreement import global_agreement, pairwise_agreement
-    from embedscope.operators.consistency import batch_statistics
+    from embedscope.operators.consistency import batch_statistics, response_metrics
     from embedscope.operators.reports import pipeline_report
-    v = T.vectors(spark, sf)
+    v = cut_lineage(T.doc_vectors(spark, sf))
     stats = C.clustering_stats(v.select("label"), C.silhouette(v), 3, 2)
-    batch = batch_statistics(_consistency(spark, sf))
-    agr = global_agreement(pairwise_agreement(_agreement_dists(spark, sf)))
+    batch = batch_statistics(response_metrics(T.doc_responses(spark, sf)))
+    agr = global_agreement(pairwise_agreement(_doc_dists(spark, sf)))
     return pipeline_report(stats, batch, agr, _combined(spark, sf))
 
 
@@ -566,7 +568,7 @@ def q_agreement_report(spark, sf):
     """Agreement report of the three embedding models."""
     from embedscope.operators.agreement import global_agreement, pairwise_agreement
     from embedscope.operators.reports import agreement_report
-    pairs = pairwise_agreement(_agreement_dists(spark, sf))
+    pairs = pairwise_agreement(_doc_dists(spark, sf))
     return agreement_report(global_agreement(pairs), pairs, _prompt_agreement(spark, sf))
 
 
@@ -613,11 +615,11 @@ def q_hdbscan(spark, sf):
 
 @register("full_pipeline")
 def q_full_pipeline(spark, sf):
-    """Q9: HDBSCAN -> manifold score -> consistency of the five responses
+    """Q9 on every document: HDBSCAN -> manifold score -> consistency of five partial texts
     -> agreement of three models -> fusion -> report, written to the shared
     folder; returns the combined ranking."""
     from embedscope.plans.pipeline import run_full_pipeline
-    p = T.planted(spark, sf).select("id", "embedding")
-    out = run_full_pipeline(p, T.prompts(spark, sf), models=T.models(spark, sf),
-                            responses=T.responses(spark, sf))
+    v = cut_lineage(T.doc_vectors(spark, sf))
+    out = run_full_pipeline(v.select("id", "embedding"), T.prompts(spark, sf), models=T.doc_models(spark, sf),
+                            responses=T.doc_responses(spark, sf))
     return out["combined"]

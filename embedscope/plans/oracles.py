@@ -22,6 +22,37 @@ PL = ("pl AS (SELECT id, list_transform(e, lambda x, i: CASE WHEN i - 1 = label
 NORM = "sqrt(list_dot_product({a}, {a}))"
 
 
+_TOKS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
+_BUCKET = "CAST(('0x' || substr(md5({salt}{tok}), 1, 8)) AS BIGINT) % 64"
+
+def dense_cte(src: str, keys: str, toks: str, salt: str = "", p: str = "d") -> str:
+    """Dense 64-d hashed mean-pooled vectors ``{p}v`` of ``src`` rows keyed by ``keys``."""
+    on = " AND ".join(f"c.{k} = s.{k}" for k in keys.split(", "))
+    return f"""
+{p}k AS (SELECT {keys}, unnest({toks}) AS tok FROM {src}),
+{p}c AS (SELECT {keys}, {_BUCKET.format(salt=salt, tok='tok')} AS bucket, count(*) AS c FROM {p}k GROUP BY ALL),
+{p}t AS (SELECT {keys}, sum(c) AS n FROM {p}c GROUP BY ALL),
+{p}v AS (SELECT {', '.join('s.' + k for k in keys.split(', '))},
+         list(coalesce(c.c / t.n, 0.0) ORDER BY b.b) AS e
+       FROM {src} s CROSS JOIN range(64) b(b)
+       LEFT JOIN {p}c c ON {on} AND c.bucket = b.b
+       LEFT JOIN {p}t t ON {on.replace('c.', 't.')}
+       GROUP BY ALL)"""
+
+
+# Every document by the vector of its own text, five partial texts of each, and the
+# benchmark texts.
+DOCV = f"""{dense_cte('documents', 'doc_id', _TOKS)},
+v AS MATERIALIZED (SELECT doc_id AS id, e, coalesce({_BUCKET.format(salt='', tok='lang')}, -1) AS label
+      FROM dv JOIN documents USING (doc_id))"""
+DOCRS = f"""pt AS (SELECT doc_id, (i - 1) % 5 AS rid, list(tok ORDER BY i) AS ts FROM (
+        SELECT doc_id, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS i
+        FROM (SELECT doc_id, {_TOKS} AS t FROM documents)) GROUP BY ALL),
+{dense_cte('pt', 'doc_id, rid', 'ts', p='r')},
+rs AS MATERIALIZED (SELECT doc_id AS id, rid, e FROM rv)"""
+BENCHV = f"""{dense_cte('benchmark', 'item_id', _TOKS, p='b')},
+cv AS MATERIALIZED (SELECT item_id AS id, e FROM bv)"""
+
 def cos_raw(a: str, b: str) -> str:
     return f"(1.0 - list_dot_product({a}, {b}) / ({NORM.format(a=a)} * {NORM.format(a=b)}))"
 
@@ -56,10 +87,10 @@ sil AS (SELECT CASE WHEN (SELECT count(DISTINCT label) FROM {src}) >= 2 THEN
 ORACLES: dict[str, str] = {}
 
 ORACLES["manifold_score"] = f"""
-WITH {V}, {centres_cte('v')},
+WITH {DOCV}, {centres_cte('v')},
 d AS (SELECT v.id, min({cos_raw('v.e', 'c.c')}) AS d FROM v, c GROUP BY v.id)
 SELECT d.id, p.text AS prompt, {r('d.d')} AS manifold_distance,
-       CAST(row_number() OVER (ORDER BY d.d DESC, d.id) AS BIGINT) AS rank
+       CAST(row_number() OVER (ORDER BY round(d.d, 12) DESC, d.id) AS BIGINT) AS rank
 FROM d JOIN documents p ON p.doc_id = d.id
 """
 
@@ -286,9 +317,9 @@ pa AS (SELECT v.id, d.text AS prompt, 1.0 - coalesce(avg(distance), 0.0) AS agre
          coalesce(max(distance), 0.0) AS max_distance, count(distance) AS n_model_pairs
        FROM v JOIN documents d ON d.doc_id = v.id LEFT JOIN apd ON apd.id = v.id
        GROUP BY v.id, d.text),
-par AS (SELECT *, row_number() OVER (ORDER BY agreement_score, id) AS rank FROM pa)"""
+par AS (SELECT *, row_number() OVER (ORDER BY round(agreement_score, 12), id) AS rank FROM pa)"""
 
-ORACLES["agreement_prompts"] = f"""WITH {V}, {PAGR}
+ORACLES["agreement_prompts"] = f"""WITH {DOCV}, {PAGR}
 SELECT id, prompt, {r('agreement_score')} AS agreement_score, {r('mean_distance')} AS mean_distance,
   {r('std_distance')} AS std_distance, {r('max_distance')} AS max_distance,
   CAST(n_model_pairs AS BIGINT) AS n_model_pairs, CAST(rank AS BIGINT) AS rank
@@ -304,7 +335,7 @@ FROM mx"""
 
 # ---------------------------------------------------------------- fusion
 
-COMB = f"""{V}, {centres_cte('v')}, {RS}, {consistency_cte()}, {PAGR},
+COMB = f"""{DOCV}, {centres_cte('v')}, {DOCRS}, {consistency_cte()}, {PAGR},
 man AS (SELECT d.text AS prompt, max(x.d) AS manifold_distance
         FROM (SELECT v.id, min({cos_raw('v.e', 'c.c')}) AS d FROM v, c GROUP BY v.id) x
         JOIN documents d ON d.doc_id = x.id GROUP BY d.text),
@@ -321,7 +352,7 @@ j AS (SELECT lst.id, lst.prompt, manifold_distance, consistency_score, agreement
       FROM lst LEFT JOIN man ON man.prompt = lst.prompt LEFT JOIN con ON con.prompt = lst.prompt
       LEFT JOIN agr ON agr.prompt = lst.prompt),
 comb AS (SELECT *, CASE WHEN den > 0 THEN num / den ELSE 0.0 END AS combined_score FROM j),
-combr AS (SELECT *, row_number() OVER (ORDER BY combined_score DESC, id) AS rank FROM comb)"""
+combr AS (SELECT *, row_number() OVER (ORDER BY round(combined_score, 12) DESC, id) AS rank FROM comb)"""
 
 ORACLES["combined"] = f"""WITH {COMB}
 SELECT id, prompt, {r('manifold_distance')} AS manifold_distance, {r('consistency_score')} AS consistency_score,
@@ -346,7 +377,7 @@ FROM combr WHERE rank > (SELECT count(*) FROM combr) - 5"""
 
 # ---------------------------------------------------------------- comparison
 
-LONG = f"""{V}, {QV}, {CV},
+LONG = f"""{DOCV}, {BENCHV}, qv AS (SELECT * FROM v),
 """ + ",\n".join(
     f"""pd_{m} AS (SELECT q.id, len(q.e) AS dim, {_DIST[m]} AS d,
           row_number() OVER (PARTITION BY q.id ORDER BY {_DIST[m]}, c.id) AS nn FROM qv q, cv c),
@@ -514,9 +545,6 @@ WHERE silhouette IS NOT NULL AND silhouette > -1 ORDER BY silhouette DESC, cfg L
 
 # ---------------------------------------------------------------- text
 
-_TOKS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
-_BUCKET = "CAST(('0x' || substr(md5({salt}{tok}), 1, 8)) AS BIGINT) % 64"
-
 ORACLES["text_embedding"] = f"""WITH
 tk AS (SELECT doc_id AS id, unnest({_TOKS}) AS tok FROM documents),
 cnt AS (SELECT id, {_BUCKET.format(salt='', tok='tok')} AS bucket, count(*) AS c FROM tk GROUP BY ALL),
@@ -525,21 +553,6 @@ SELECT cnt.id, CAST(bucket AS BIGINT) AS bucket, {r('c / n')} AS weight, CAST(n
 FROM cnt JOIN tot ON tot.id = cnt.id"""
 
 
-def dense_cte(src: str, keys: str, toks: str, salt: str = "") -> str:
-    """Dense 64-d hashed mean-pooled vectors of ``src`` rows keyed by ``keys``."""
-    on = " AND ".join(f"c.{k} = s.{k}" for k in keys.split(", "))
-    return f"""
-dk AS (SELECT {keys}, unnest({toks}) AS tok FROM {src}),
-dc AS (SELECT {keys}, {_BUCKET.format(salt=salt, tok='tok')} AS bucket, count(*) AS c FROM dk GROUP BY ALL),
-dt AS (SELECT {keys}, sum(c) AS n FROM dc GROUP BY ALL),
-dv AS (SELECT {', '.join('s.' + k for k in keys.split(', '))},
-         list(coalesce(c.c / t.n, 0.0) ORDER BY b.b) AS e
-       FROM {src} s CROSS JOIN range(64) b(b)
-       LEFT JOIN dc c ON {on} AND c.bucket = b.b
-       LEFT JOIN dt t ON {on.replace('c.', 't.')}
-       GROUP BY ALL)"""
-
-
 ORACLES["conversation_consistency"] = f"""WITH
 pr AS (SELECT conv_id AS id, min_by(text, turn) FILTER (WHERE role = 'user') AS prompt
        FROM conversations GROUP BY conv_id),
@@ -582,20 +595,20 @@ ORACLES["scores_roundtrip"] = (f"WITH {corpus_sql('cosine')} SELECT id, {r('scor
 
 ORACLES["pipeline_report"] = f"""WITH {COMB}, {silhouette_sql('v', 'list_distance(a.e, b.e)')},
 ranked AS (SELECT *, count(*) OVER () AS total FROM combr)
-SELECT 'methods' AS section, CAST(1 AS BIGINT) AS position, 'Density-based manifold detection' AS text
-UNION ALL SELECT 'methods', 2, 'Consistency-based scoring'
-UNION ALL SELECT 'methods', 3, 'Cross-model agreement detection'
-UNION ALL SELECT 'manifold', 1, printf('Clusters found: %d', (SELECT count(DISTINCT label) FROM v WHERE label <> -1))
-UNION ALL SELECT 'manifold', 2, printf('Noise points: %d (%.1f%%)', (SELECT count(*) FROM v WHERE label = -1),
+SELECT 'methods' AS section, CAST(1 AS BIGINT) AS position, 'distance to cluster centres' AS text
+UNION ALL SELECT 'methods', 2, 'spread of responses'
+UNION ALL SELECT 'methods', 3, 'agreement of models'
+UNION ALL SELECT 'manifold', 1, printf('%d clusters', (SELECT count(DISTINCT label) FROM v WHERE label <> -1))
+UNION ALL SELECT 'manifold', 2, printf('%d rows in none (%.1f%%)', (SELECT count(*) FROM v WHERE label = -1),
                                        (SELECT 100.0 * count(*) FILTER (WHERE label = -1) / count(*) FROM v))
-UNION ALL SELECT 'manifold', 3, printf('Silhouette score: %.3f', (SELECT silhouette FROM sil))
-UNION ALL SELECT 'consistency', 1, printf('Mean consistency: %.3f', (SELECT coalesce(avg(consistency_score), 0.0) FROM cm))
-UNION ALL SELECT 'consistency', 2, printf('Mean embedding variance: %.3f',
+UNION ALL SELECT 'manifold', 3, printf('silhouette %.3f', (SELECT silhouette FROM sil))
+UNION ALL SELECT 'consistency', 1, printf('consistency %.3f on average', (SELECT coalesce(avg(consistency_score), 0.0) FROM cm))
+UNION ALL SELECT 'consistency', 2, printf('variance of the vectors %.3f on average',
                                           (SELECT coalesce(avg(embedding_variance), 0.0) FROM cm))
-UNION ALL SELECT 'agreement', 1, printf('Mean agreement: %.3f', (SELECT avg(agreement_score) FROM ap))
-UNION ALL SELECT 'agreement', 2, printf('Model pairs: %d', (SELECT count(*) FROM ap))
-UNION ALL SELECT 'combined', 1, printf('Mean combined score: %.3f', (SELECT avg(combined_score) FROM comb))
-UNION ALL SELECT 'combined', 2, printf('Score range: %.3f - %.3f', (SELECT min(combined_score) FROM comb),
+UNION ALL SELECT 'agreement', 1, printf('agreement %.3f on average', (SELECT avg(agreement_score) FROM ap))
+UNION ALL SELECT 'agreement', 2, printf('%d pairs of models', (SELECT count(*) FROM ap))
+UNION ALL SELECT 'combined', 1, printf('fused score %.3f on average', (SELECT avg(combined_score) FROM comb))
+UNION ALL SELECT 'combined', 2, printf('fused scores from %.3f to %.3f', (SELECT min(combined_score) FROM comb),
                                        (SELECT max(combined_score) FROM comb))
 UNION ALL SELECT 'top', rank, printf('%d. Score %.3f: %s...', rank, combined_score, substr(prompt, 1, 60))
   FROM ranked WHERE rank <= 5
@@ -630,18 +643,18 @@ _CONV_WITH = ORACLES["conversation_consistency"].split("\nSELECT id, prompt, n_r
 ORACLES["consistency_report"] = _CONV_WITH + """,
 tot AS (SELECT count(*) AS total FROM cons)
 SELECT 'summary' AS section, CAST(1 AS BIGINT) AS position, printf('Prompts analysed: %d', (SELECT total FROM tot)) AS text
-UNION ALL SELECT 'summary', 2, printf('Mean consistency: %.3f (std %.3f)',
+UNION ALL SELECT 'summary', 2, printf('consistency %.3f on average (std %.3f)',
   (SELECT coalesce(avg(consistency_score), 0.0) FROM cons), (SELECT coalesce(stddev_pop(consistency_score), 0.0) FROM cons))
-UNION ALL SELECT 'summary', 3, printf('Mean embedding variance: %.6f', (SELECT coalesce(avg(embedding_variance), 0.0) FROM cons))
+UNION ALL SELECT 'summary', 3, printf('variance of the vectors %.6f on average', (SELECT coalesce(avg(embedding_variance), 0.0) FROM cons))
 UNION ALL SELECT 'least_consistent', rank, printf('%d. Score %.3f: %s...', rank, coalesce(consistency_score, 0.0),
   substr(prompt, 1, 60)) FROM cons WHERE rank <= 5
 UNION ALL SELECT 'most_consistent', rank - (SELECT total FROM tot) + 5,
   printf('%d. Score %.3f: %s...', rank - (SELECT total FROM tot) + 5, coalesce(consistency_score, 0.0), substr(prompt, 1, 60))
   FROM cons WHERE rank > (SELECT total FROM tot) - 5"""
 
-ORACLES["agreement_report"] = f"""WITH {V}, {PAGR}
-SELECT 'summary' AS section, CAST(1 AS BIGINT) AS position, printf('Model pairs: %d', (SELECT count(*) FROM ap)) AS text
-UNION ALL SELECT 'summary', 2, printf('Mean agreement: %.3f (std %.3f)', (SELECT avg(agreement_score) FROM ap),
+ORACLES["agreement_report"] = f"""WITH {DOCV}, {PAGR}
+SELECT 'summary' AS section, CAST(1 AS BIGINT) AS position, printf('%d pairs of models', (SELECT count(*) FROM ap)) AS text
+UNION ALL SELECT 'summary', 2, printf('agreement %.3f on average (std %.3f)', (SELECT avg(agreement_score) FROM ap),
   (SELECT stddev_pop(agreement_score) FROM ap))
 UNION ALL SELECT 'pairs', row_number() OVER (ORDER BY model1, model2),
   printf('%s: agreement %.3f, mean distance %.3f', model1 || '_vs_' || model2, agreement_score, mean_distance) FROM ap

@@ -9,6 +9,9 @@ materialised.  Derived inputs (see FIXTURES.md):
 * ``models``    raw / reversed / planted as three models on one ``id``
 * ``corpus`` / ``queries``: ``label < 5`` / ``label >= 5``
 * ``prompts``   ``documents.doc_id`` as id, ``text`` as prompt
+* ``doc_vectors``, ``doc_models``, ``doc_responses``: the documents by vectors of
+  their own texts, as three models, and five partial texts of each
+* ``benchmark_vectors``: the benchmark texts as a corpus
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedscope.functions import vectors as V
+from embedscope.operators.featurize import DEFAULT_DIM, bucket, document_vectors
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -54,7 +58,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long table ``(model, model_pos, id, embedding)`` from one scan."""
-    v = vectors(spark, sf_dir)
+    return _as_models(vectors(spark, sf_dir))
+
+
+def _as_models(v: DataFrame) -> DataFrame:
     variants = F.array(
         F.struct(F.lit(MODEL_NAMES[0]).alias("model"), F.lit(0).alias("model_pos"),
                  F.col("embedding").alias("embedding")),
@@ -75,6 +82,31 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).where(F.col("label") >= CORPUS_LABEL_LIMIT)
 
 
+def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by the vector of its own text; its label is a hash of its
+    language (noise without one)."""
+    d = table(spark, sf_dir, "documents").select(
+        F.struct(F.col("doc_id"), F.coalesce(bucket(F.col("lang"), DEFAULT_DIM), F.lit(-1)).alias("label")).alias("id"), "text")
+    return document_vectors(d).select(F.col("id.doc_id").alias("id"), "embedding", F.col("id.label").alias("label"))
+
+
+def doc_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five partial texts of every document, ``(id, response_id, embedding)``."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return document_vectors(d, parts=RESPONSES_PER_PROMPT)
+
+
+def doc_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' vectors as three models."""
+    return _as_models(doc_vectors(spark, sf_dir))
+
+
+def benchmark_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark texts as a corpus ``(id, embedding)``."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return document_vectors(b)
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("id"), F.col("text").alias("prompt"))

@@ -29,16 +29,17 @@ def test_hdbscan_needs_two_points(spark):
         hdbscan(to_df(spark, np.ones((1, 2))))
 
 
-@pytest.mark.parametrize("kind,band", [("cloud", 7), ("cloud", 1 << 18), ("grid", 5), ("grid", 1 << 18)])
-def test_hdbscan_matches_definition(spark, kind, band):
-    """Any band size, many tied weights included, gives the textbook result."""
+@pytest.mark.parametrize("kind,band,block", [("cloud", 7, None), ("cloud", 1 << 18, 24), ("grid", 5, None), ("grid", 1 << 18, 24)])
+def test_hdbscan_matches_definition(spark, kind, band, block):
+    """Any band size, several balls, many tied weights included, gives the textbook result."""
     from embedscope.operators.hdbscan import hdbscan
     rng = np.random.default_rng(4)
     if kind == "cloud":
         x = planted_clusters(size=12, noise=12, sd=0.25)
     else:  # integer places, some repeated: most weights are ties
         x = rng.integers(0, 9, size=(60, 2)).astype(float)
-    labels, clusters = hdbscan(to_df(spark, x), 4, 2, band_edges=band)
+    few = {"block_rows": block, "tree_points": 0} if block else {}
+    labels, clusters = hdbscan(to_df(spark, x), 4, 2, band_edges=band, **few)
     got = {r["id"]: r["label"] for r in labels.collect()}
     want, n_clusters = bf_hdbscan(x, 4, 2)
     assert [got[i] for i in range(len(x))] == want
@@ -55,6 +56,16 @@ def test_hashed_text_embedding(spark):
     assert len(dense) == 3 and sum(dense[2]) == 0.0 and sum(dense[3]) == pytest.approx(1.0)
 
 
+def test_document_vectors_equal_text_embeddings(spark):
+    from embedscope.operators.featurize import document_vectors, text_embeddings
+    texts = spark.createDataFrame([(1, "a b  a\nc d"), (2, ""), (3, "x"), (4, None), (5, " \t é é ")], "id bigint, text string")
+    want = {r["id"]: r["embedding"] for r in text_embeddings(texts).collect()}
+    got = {r["id"]: r["embedding"] for r in document_vectors(texts).collect()}
+    assert got == want and len(got) == 5
+    parts = {(r["id"], r["response_id"]): sum(r["embedding"]) for r in document_vectors(texts, parts=3).collect()}
+    assert parts == {(1, 0): 1.0, (1, 1): 1.0, (1, 2): 1.0, (3, 0): 1.0, (5, 0): 1.0, (5, 1): 1.0}
+
+
 def test_stream_scores_equal_batch(spark):
     from embedscope.operators import clusters as C
     from embedscope.sources import tables as T
