@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from embedscope.functions import vectors as V
 from embedscope.functions.kernels import pairwise
-from embedscope.operators.pairs import (DEFAULT_BLOCK_ROWS, G, LID, RID, LabelMeans, Reducer, TopK,
+from embedscope.operators.pairs import (DEFAULT_BLOCK_ROWS, G, LID, RID, LabelMeans, LabelMeansMulti, Reducer, TopK,
                                         pair_reduce)
 from embedscope.operators.ranking import global_rank, rank_within
 from embedscope.session import cut_lineage
@@ -204,11 +204,37 @@ def silhouette_points(df: DataFrame, label_col: str = "label", metric: str = "eu
     pts = pts.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"),
                      F.col(label_col).cast("bigint").alias("label"))
     sums = _cosine_sums(pts, keys) if metric == "cosine" else _distance_sums(pts, keys, metric)
+    return sums.select(*keys, "id", "label", _silhouette_value().alias("s"))
+
+
+def _silhouette_value():
     a = F.try_divide(F.col("sum_own"), F.col("n_own") - 1)
     b = F.when(F.col("b") < float("inf"), F.col("b"))
-    s = (F.when(F.col("n_own") <= 1, F.lit(0.0))
-         .otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))))
-    return sums.select(*keys, "id", "label", s.alias("s"))
+    return (F.when(F.col("n_own") <= 1, F.lit(0.0))
+            .otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))))
+
+
+def silhouette_configs(df: DataFrame, labelled: DataFrame, configs: list, metric: str = "euclidean",
+                       config_col: str = "config", include_noise: bool = False) -> DataFrame:
+    """A17 for several labellings ``labelled (config, id, label)`` of the same vectors
+    ``df (id, embedding)`` in one pass over the pairs: ``(config, id, label, s)``.
+
+    ``configs``: their names (a few).  Every distance is computed once, whatever their
+    number."""
+    lab = labelled if include_noise else labelled.where(F.col("label") != NOISE)
+    sizes = lab.groupBy(config_col, "label").agg(F.count(F.lit(1)).alias("size"))
+    entries = lab.join(sizes, [config_col, "label"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(
+        config_col, F.struct(F.col("label").cast("bigint").alias("label"), "size")))).alias("m"))  # one a config
+    none = F.lit(0).cast("bigint")
+
+    def listed(field):
+        return F.array(*[F.coalesce(F.try_element_at("m", F.lit(c))[field], none) for c in configs]).alias(f"{field}s")
+
+    rows = cut_lineage(df.select("id", "embedding").join(entries, "id").select("id", "embedding", listed("label"), listed("size")))
+    sums = pair_reduce(rows, rows, LabelMeansMulti(), metric=metric, lattrs=("labels", "sizes"), rattrs=("labels", "sizes"),
+                       same_ids=True)
+    return sums.select(F.array(*[F.lit(c) for c in configs])[F.col("cfg")].alias(config_col), F.col(LID).alias("id"),
+                       F.col("own").alias("label"), _silhouette_value().alias("s"))
 
 
 def silhouette(df: DataFrame, label_col: str = "label", metric: str = "euclidean",

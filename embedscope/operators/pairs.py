@@ -97,46 +97,76 @@ class TopK(Reducer):
                 .where(F.col("nn") <= self.k))
 
 
+def _label_means(d: np.ndarray, lid: np.ndarray, own: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
+    """Rows ``(lid, own, part, sum_d, n, b)`` of :class:`LabelMeans` for one labelling;
+    right rows of size 0 take no part."""
+    at = np.flatnonzero(sizes > 0)
+    uniq, first, inv, n = np.unique(labels[at], return_index=True, return_inverse=True, return_counts=True)
+    onehot = np.zeros((len(labels), len(uniq)))
+    onehot[at, inv] = 1.0
+    sums = d @ onehot
+    whole = sizes[at][first] == n
+    mine = own[:, None] == uniq[None, :]
+    means = np.where(mine | ~whole[None, :], np.inf, sums / n[None, :])
+    held = mine & whole[None, :]
+    out = [pd.DataFrame({LID: lid, "own": own, "part": None, "sum_d": np.where(held, sums, 0.0).sum(axis=1),
+                         "n": (held * n[None, :]).sum(axis=1), "b": means.min(axis=1, initial=np.inf)})]
+    for k in np.flatnonzero(~whole):
+        out.append(pd.DataFrame({LID: lid, "own": own, "part": uniq[k], "sum_d": sums[:, k], "n": n[k], "b": np.inf}))
+    rows = pd.concat(out, ignore_index=True)
+    rows["part"] = rows["part"].astype("Int64")
+    return rows
+
+
+def _merged_means(partial: DataFrame, keys: list[str]) -> DataFrame:
+    per = partial.groupBy(*keys, "own", "part").agg(
+        F.sum("sum_d").alias("sum_d"), F.sum("n").alias("n"), F.min("b").alias("b"))
+    own = F.col("part").isNull() | (F.col("part") == F.col("own"))
+    return per.groupBy(*keys, "own").agg(
+        F.sum(F.when(own, F.col("n"))).alias("n_own"), F.sum(F.when(own, F.col("sum_d"))).alias("sum_own"),
+        F.least(F.min("b"), F.min(F.when(~own, F.col("sum_d") / F.col("n")))).alias("b"))
+
+
 class LabelMeans(Reducer):
     """Per left row what its silhouette needs: sum and count of the distances to its
     own label's rows, and the least mean distance to another label's.
 
     A label whose rows are all in the tile (``size_col`` on the right side tells) is
     finished there, so a left row leaves a tile as one row; only labels larger than a
-    block leave it as partial sums."""
+    block leave it as partial sums.  Merged: ``(own, n_own, sum_own, b)``."""
 
     def __init__(self, label_col: str = "label", size_col: str = "size"):
         self.label_col, self.size_col = label_col, size_col
         self.schema = f"{LID} bigint, own bigint, part bigint, sum_d double, n bigint, b double"
 
     def tile(self, d, left, right):
-        labels = right[self.label_col].to_numpy().astype(np.int64)
-        own = left[self.label_col].to_numpy().astype(np.int64)
+        return _label_means(d, left[LID].to_numpy(), left[self.label_col].to_numpy().astype(np.int64),
+                            right[self.label_col].to_numpy().astype(np.int64), right[self.size_col].to_numpy())
+
+    def merge(self, partial):
+        return _merged_means(partial, [G, LID])
+
+
+class LabelMeansMulti(Reducer):
+    """LabelMeans for several labellings of the same rows, from one distance block:
+    columns ``labels`` and ``sizes`` are arrays with an element for each (size 0: the
+    row takes no part in it).  Merged: ``(cfg, own, n_own, sum_own, b)``."""
+
+    schema = f"{LID} bigint, cfg int, own bigint, part bigint, sum_d double, n bigint, b double"
+
+    def tile(self, d, left, right):
+        (ll, ls), (rl, rs) = ([np.array(x[c].tolist(), np.int64) for c in ("labels", "sizes")] for x in (left, right))
         lid = left[LID].to_numpy()
-        uniq, first, inv, n = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
-        onehot = np.zeros((len(labels), len(uniq)))
-        onehot[np.arange(len(labels)), inv] = 1.0
-        sums = d @ onehot
-        whole = right[self.size_col].to_numpy()[first] == n
-        mine = own[:, None] == uniq[None, :]
-        other = np.where(mine | ~whole[None, :], np.inf, sums / n[None, :]).min(axis=1)
-        held = mine & whole[None, :]
-        out = [pd.DataFrame({LID: lid, "own": own, "part": None, "sum_d": np.where(held, sums, 0.0).sum(axis=1),
-                             "n": (held * n[None, :]).sum(axis=1), "b": other})]
-        for k in np.flatnonzero(~whole):
-            out.append(pd.DataFrame({LID: lid, "own": own, "part": uniq[k], "sum_d": sums[:, k], "n": n[k], "b": np.inf}))
-        rows = pd.concat(out, ignore_index=True)
-        rows["part"] = rows["part"].astype("Int64")
-        return rows
+        out = []
+        for c in range(ll.shape[1]):
+            some = ls[:, c] > 0
+            rows = _label_means(d[some], lid[some], ll[some, c], rl[:, c], rs[:, c])
+            rows.insert(1, "cfg", c)
+            out.append(rows)
+        return pd.concat(out, ignore_index=True)
 
     def merge(self, partial):
-        """``(own, n_own, sum_own, b)`` per left row."""
-        per = partial.groupBy(G, LID, "own", "part").agg(
-            F.sum("sum_d").alias("sum_d"), F.sum("n").alias("n"), F.min("b").alias("b"))
-        own = F.col("part").isNull() | (F.col("part") == F.col("own"))
-        return per.groupBy(G, LID, "own").agg(
-            F.sum(F.when(own, F.col("n"))).alias("n_own"), F.sum(F.when(own, F.col("sum_d"))).alias("sum_own"),
-            F.least(F.min("b"), F.min(F.when(~own, F.col("sum_d") / F.col("n")))).alias("b"))
+        return _merged_means(partial, [G, LID, "cfg"])
 
 
 class LabelSums(Reducer):

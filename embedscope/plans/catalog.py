@@ -300,8 +300,31 @@ def q_score_boxplot(spark, sf):
     return box_stats(_long_scores(spark, sf))
 
 
+@register("methods_listed")
+def q_methods_listed(spark, sf):
+    """The methods of the long score table."""
+    from embedscope.operators.compare import distinct_methods
+    return distinct_methods(_long_scores(spark, sf))
+
+
 # ---------------------------------------------------------------- row-wise functions
 
+@register("score_flags")
+def q_score_flags(spark, sf):
+    """Corpus scores of every document against the benchmark, flagged above 0.5."""
+    from embedscope.operators.scoring import corpus_scores, threshold_flags
+    s = corpus_scores(cut_lineage(T.doc_vectors(spark, sf)), cut_lineage(T.benchmark_vectors(spark, sf)), method="cosine")
+    return s.select("id", "score", threshold_flags(s, "score", 0.5).alias("flagged"))
+
+
+@register("float32_vectors")
+def q_float32_vectors(spark, sf):
+    """Length and sum of the normalised planted vectors in single precision."""
+    from embedscope.functions import vectors as V
+    v = T.planted(spark, sf).select("id", V.as_float(V.normalize("embedding")).alias("embedding"))
+    return v.select("id", V.norm("embedding").alias("norm"), V.vsum(F.col("embedding")).alias("total"))
+
+
 @register("vector_ops")
 def q_vector_ops(spark, sf):
     """Row-wise vector functions of each
@@ -426,6 +449,20 @@ def q_text_embedding(spark, sf):
     return hashed_embedding(_docs(spark, sf))
 
 
+@register("masked_pool")
+def q_masked_pool(spark, sf):
+    """Masked mean pooling of token vectors (length, bucket and place of each word)
+    of every conversation turn; words of one or two characters are masked."""
+    from embedscope.operators.featurize import bucket, mean_pool, token_array
+    turns = T.table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    tokens = turns.select("id", F.posexplode(token_array("text")).alias("token_pos", "token"))
+    pooled = mean_pool(tokens.select(
+        "id", "token_pos", (F.length("token") > 2).cast("int").alias("mask"),
+        F.array(F.length("token").cast("double"), bucket(F.col("token"), 64).cast("double"),
+                F.col("token_pos").cast("double")).alias("vec")))
+    return pooled.select("id", *[F.col("embedding")[i].alias(n) for i, n in enumerate(("length", "bucket", "place"))])
+
+
 def _conversation_inputs(spark, sf):
     from embedscope.operators.featurize import text_embeddings
     conv = T.table(spark, sf, "conversations")
@@ -489,6 +526,13 @@ def q_bisecting_kmeans(spark, sf):
     return bisecting_kmeans(T.planted(spark, sf), 10)
 
 
+@register("ward")
+def q_ward(spark, sf):
+    """M7: Ward's agglomeration, cut at k = 2..5 and 10."""
+    from embedscope.operators.mlmodels import ward
+    return ward(T.planted(spark, sf), [2, 3, 4, 5, 10])
+
+
 @register("gmm_uncertainty")
 def q_gmm_uncertainty(spark, sf):
     """Q13 (M3, P20, W9): Gaussian-mixture posterior entropy, ranked, with
@@ -499,7 +543,7 @@ def q_gmm_uncertainty(spark, sf):
 
 @register("cluster_tournament")
 def q_cluster_tournament(spark, sf):
-    """M8: k-means / GMM / bisecting k-means for k = 2..5 and 10, and DBSCAN:
+    """M8: k-means / GMM / Ward for k = 2..5 and 10, and DBSCAN:
     silhouette and Calinski-Harabasz per configuration, best silhouette."""
     from embedscope.operators.mlmodels import tournament
     return tournament(T.planted(spark, sf), 10, DBSCAN_EPS)
@@ -577,11 +621,20 @@ def q_agreement_report(spark, sf):
 @register("stream_manifold_scores")
 def q_stream_manifold_scores(spark, sf):
     """The embeddings file as a stream scored against the centres of the
-    given labels (stateless, append, availableNow)."""
+    given labels."""
     from embedscope.streaming.stream import embeddings_stream, run_to_table, score_stream
     cents = C.centres(T.vectors(spark, sf))
     return run_to_table(spark, lambda sink, ck: score_stream(spark, embeddings_stream(spark, sf), cents,
-                                                            sink, ck), "x1")
+                                                            sink, ck), "x1").drop("epoch")
+
+
+@register("stream_corpus_scores")
+def q_stream_corpus_scores(spark, sf):
+    """A stream of the query vectors scored against the fixed corpus."""
+    from embedscope.streaming.stream import corpus_stream, embeddings_stream, run_to_table
+    arriving = embeddings_stream(spark, sf, F.col("label") >= T.CORPUS_LABEL_LIMIT)
+    return run_to_table(spark, lambda sink, ck: corpus_stream(spark, arriving, T.corpus(spark, sf), sink, ck),
+                        "x1c").drop("epoch")
 
 
 @register("event_drift")
@@ -597,10 +650,10 @@ def q_event_drift(spark, sf):
 def q_stream_event_drift(spark, sf):
     """X2 (streaming): watermarked daily profiles from the events stream,
     then the drift step on the sink."""
-    from embedscope.streaming.stream import drift, events_stream, run_to_table, stream_daily_profiles
+    from embedscope.streaming.stream import drift, events_stream, latest, run_to_table, stream_daily_profiles
     prof = run_to_table(spark, lambda sink, ck: stream_daily_profiles(spark, events_stream(spark, sf),
                                                                       sink, ck), "x2")
-    return drift(prof)
+    return drift(latest(prof, ["event_type", "day"]))
 
 
 # ---------------------------------------------------------------- hierarchical density clustering

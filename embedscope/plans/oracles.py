@@ -553,6 +553,22 @@ SELECT cnt.id, CAST(bucket AS BIGINT) AS bucket, {r('c / n')} AS weight, CAST(n
 FROM cnt JOIN tot ON tot.id = cnt.id"""
 
 
+ORACLES["methods_listed"] = f"WITH {LONG} SELECT DISTINCT method FROM lg"
+
+ORACLES["score_flags"] = f"""WITH {LONG}
+SELECT id, {r('score')} AS score, score > 0.5 AS flagged FROM s_cosine"""
+
+ORACLES["float32_vectors"] = f"""WITH {V}, {PL},
+f AS (SELECT id, list_transform(e, lambda x: CAST(CAST(x / sqrt(list_dot_product(e, e)) AS FLOAT) AS DOUBLE)) AS e FROM pl)
+SELECT id, {r('sqrt(list_dot_product(e, e))')} AS norm, {r('list_sum(e)')} AS total FROM f"""
+
+ORACLES["masked_pool"] = f"""WITH
+t AS (SELECT conv_id || ':' || turn AS id, {_TOKS} AS t FROM conversations),
+k AS (SELECT id, unnest(t) AS tok, unnest(range(len(t))) AS i FROM t)
+SELECT id, {r('avg(length(tok))')} AS length, {r('avg(' + _BUCKET.format(salt='', tok='tok') + ')')} AS bucket,
+  {r('avg(i)')} AS place
+FROM k WHERE length(tok) > 2 GROUP BY id"""
+
 ORACLES["conversation_consistency"] = f"""WITH
 pr AS (SELECT conv_id AS id, min_by(text, turn) FILTER (WHERE role = 'user') AS prompt
        FROM conversations GROUP BY conv_id),
@@ -623,6 +639,8 @@ d AS (SELECT v.id, c.label, {cos_raw('v.e', 'c.c')} AS d,
         row_number() OVER (PARTITION BY v.id ORDER BY {cos_raw('v.e', 'c.c')}, c.label) AS rk FROM v, c)
 SELECT id, CAST(label AS BIGINT) AS nearest_label, {r('d')} AS manifold_distance FROM d WHERE rk = 1"""
 
+ORACLES["stream_corpus_scores"] = ORACLES["corpus_score_cosine"]
+
 DRIFT = f"""WITH
 p AS (SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, value AS f0,
         sin(2.0 * pi() / 24.0 * hour(ts)) AS f1, cos(2.0 * pi() / 24.0 * hour(ts)) AS f2 FROM events),

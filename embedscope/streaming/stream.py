@@ -1,82 +1,78 @@
 """Structured Streaming.
 
-X1 scores a stream of new vectors against fitted centres: a stateless
-``mapInPandas`` over Arrow batches with the centres in a broadcast variable
-(its size is checked first: clusters x dimension x 8 bytes), append mode.
-
-X2 measures drift of a per-key profile over time: a watermarked one-day
-window aggregate (sums only, so partial aggregation applies), then the
-cosine distance of each day's centre to the key's previous day (a window
-over days per key: its group is the number of days, not the data volume).
+X1 scores a stream of new vectors against fitted centres or a fixed corpus.  Each
+micro-batch is a batch job of the same operators (``nearest_centre``,
+``corpus_scores``), so centres or a corpus of any size give the rows that a batch
+gives.
+
+X2 measures drift of a per-key profile over time: a watermarked one-day window
+aggregate (sums only, so partial aggregation applies) in update mode, whose state
+ends with the watermark, then the cosine distance of each day's centre to the key's
+previous day (a window over days per key: its group is the number of days, not the
+data volume).
+
+Sinks write the rows of an epoch to a folder of its own and overwrite it when the
+epoch is repeated after a failure, so no row counts twice.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from embedscope.functions import vectors as V
+from embedscope.operators.clusters import CENTRE_BYTES, nearest_centre
+from embedscope.operators.scoring import corpus_scores
+from embedscope.session import cut_lineage
 from embedscope.sources.files import output_dir
 
-BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
+def _epochs(job, sink_path: str):
+    """A ``foreachBatch`` function: the rows of ``job(batch)`` to the epoch's folder."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        job(batch).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}")
+    return write
 
 
-def centres_for_broadcast(centres: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES):
-    """Collect fitted centres for a broadcast after checking their size."""
-    n, dim = centres.agg(F.count(F.lit(1)), F.max(F.size("centre"))).first()
-    if n and n * (dim or 0) * 8 > limit_bytes:
-        raise ValueError(f"{n} centres of dimension {dim} exceed the broadcast limit; "
-                         "score them with the batch pair kernel instead")
-    rows = centres.select("label", "centre").orderBy("label").collect()
-    labels = np.array([r["label"] for r in rows], dtype=np.int64)
-    mat = np.array([r["centre"] for r in rows], dtype=np.float64).reshape(len(rows), dim or 0)
-    return labels, mat
+def _start(rows: DataFrame, job, sink_path: str, checkpoint_path: str, mode: str = "append") -> StreamingQuery:
+    return (rows.writeStream.outputMode(mode).foreachBatch(_epochs(job, sink_path))
+            .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
 
 
 def score_stream(spark: SparkSession, stream: DataFrame, centres: DataFrame, sink_path: str,
-                 checkpoint_path: str, id_col: str = "id", vec_col: str = "embedding") -> StreamingQuery:
-    """``(id, nearest_label, manifold_distance)`` for each arriving row,
-    written to Parquet in append mode with ``availableNow``."""
-    labels, mat = centres_for_broadcast(centres)
-    bc = spark.sparkContext.broadcast((labels, mat))
-
-    def score(batches):
-        lab, cm = bc.value
-        cn = np.sqrt((cm * cm).sum(axis=1))
-        for pdf in batches:
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].to_numpy()]) \
-                if len(pdf) else np.zeros((0, cm.shape[1]))
-            if len(cm) == 0 or len(pdf) == 0:
-                d = np.full(len(pdf), np.inf)
-                best = np.full(len(pdf), -1)
-            else:
-                xn = np.sqrt((x * x).sum(axis=1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = 1.0 - (x @ cm.T) / (xn[:, None] * cn[None, :])
-                dist = np.where(np.isnan(dist), np.inf, dist)
-                idx = dist.argmin(axis=1)
-                d = dist[np.arange(len(x)), idx]
-                best = np.where(np.isfinite(d), lab[idx], -1)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "nearest_label": best, "manifold_distance": d})
-
-    scored = stream.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col)).mapInPandas(
-        score, schema=f"{id_col} bigint, nearest_label bigint, manifold_distance double")
-    return (scored.writeStream.format("parquet").option("path", sink_path)
-            .option("checkpointLocation", checkpoint_path).outputMode("append")
-            .trigger(availableNow=True).start())
-
-
-def embeddings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's embeddings file as a file stream."""
+                 checkpoint_path: str, id_col: str = "id", vec_col: str = "embedding",
+                 max_bytes: int = CENTRE_BYTES) -> StreamingQuery:
+    """``(id, nearest_label, manifold_distance)`` for each arriving row (label -1
+    and +infinity without a defined distance), with ``availableNow``."""
+    cents = cut_lineage(centres.select("label", "centre"))
+
+    def job(batch: DataFrame) -> DataFrame:
+        near = nearest_centre(cut_lineage(batch), cents, id_col=id_col, vec_col=vec_col, max_bytes=max_bytes)
+        return near.select(id_col, F.coalesce("nearest_label", F.lit(-1)).cast("bigint").alias("nearest_label"),
+                           F.col("distance").alias("manifold_distance"))
+
+    return _start(stream.select(id_col, vec_col), job, sink_path, checkpoint_path)
+
+
+def corpus_stream(spark: SparkSession, stream: DataFrame, corpus: DataFrame, sink_path: str, checkpoint_path: str,
+                  method: str = "cosine", top_k: int = 5) -> StreamingQuery:
+    """The corpus score of each arriving vector ``(id, embedding)`` against a fixed
+    corpus ``(id, embedding)``."""
+    fixed = cut_lineage(corpus.select("id", "embedding"))
+    return _start(stream.select("id", V.as_double("embedding").alias("embedding")),
+                  lambda batch: corpus_scores(cut_lineage(batch), fixed, method=method, top_k=top_k),
+                  sink_path, checkpoint_path)
+
+
+def embeddings_stream(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """The driver's embeddings file as a file stream of some or all rows."""
     schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    rows = (spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    return ((rows if where is None else rows.where(where))
             .select(F.col("vec_id").alias("id"), "embedding"))
 
 
@@ -89,6 +85,12 @@ def run_to_table(spark: SparkSession, start, name: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows that epochs wrote for a key, the last ones."""
+    rest = [c for c in rows.columns if c not in (*keys, "epoch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r")).select(*keys, "r.*")
+
+
 # ---------------------------------------------------------------- drift
 
 def _profile(events: DataFrame) -> DataFrame:
@@ -133,17 +135,11 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_daily_profiles(spark: SparkSession, stream: DataFrame, sink_path: str, checkpoint_path: str,
                           watermark: str = "1 day") -> StreamingQuery:
-    """X2 streaming half: watermarked daily profile sums.
+    """X2 streaming half: watermarked daily profile sums, rows of :func:`latest` by
+    ``(event_type, day)``.
 
-    Complete mode (state is keys x days, not data volume) written with an
-    idempotent overwrite per micro-batch, so the last, still open day is in
-    the output too (append mode would hold it back until the watermark
-    passes it, which never happens at the end of a finite stream).
+    In update mode an epoch emits the keys and days that it changed, the last, still
+    open day too; the state of a day ends when the watermark passes it, so it holds the
+    days within the watermark only.  Events older than that are dropped.
     """
-    agg = daily_profiles(stream, watermark)
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_path)
-
-    return (agg.writeStream.outputMode("complete").foreachBatch(write)
-            .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
+    return _start(daily_profiles(stream, watermark), lambda batch: batch, sink_path, checkpoint_path, "update")

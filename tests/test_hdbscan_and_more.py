@@ -74,6 +74,11 @@ def test_stream_scores_equal_batch(spark):
     v = T.vectors(spark, sf)
     cents = C.centres(v)
     streamed = run_to_table(spark, lambda s, c: score_stream(spark, embeddings_stream(spark, sf), cents, s, c), "t")
+    # centres above the bound meet the rows in the pair kernel: the same rows
+    kernel = run_to_table(spark, lambda s, c: score_stream(spark, embeddings_stream(spark, sf), cents, s, c,
+                                                           max_bytes=0), "t0")
+    assert {(r["id"], r["nearest_label"]) for r in kernel.collect()} == \
+        {(r["id"], r["nearest_label"]) for r in streamed.collect()}
     batch = C.ManifoldModel(cents).distances(v.select("id", "embedding"))
     j = streamed.join(batch.withColumnRenamed("manifold_distance", "b"), "id")
     assert j.count() == v.count()
@@ -137,3 +142,23 @@ def test_fusion_weights_present_scores_only(spark):
     assert out[1]["combined_score"] == pytest.approx((0.4 * 0.6 + 0.3 * 0.1) / 0.7)
     assert out[2]["combined_score"] == pytest.approx(0.1)
     assert out[1]["rank"] == 1 and out[3]["rank"] == 2
+
+
+def test_stream_state_ends(spark, tmp_path):
+    """Days that the watermark has passed leave the state; events older than it are dropped."""
+    from embedscope.streaming.stream import daily_profiles, latest, stream_daily_profiles
+    days = [[1, 1, 2], [4, 5], [8], [9, 1]]  # the last of day 1 comes long after its day has ended
+    for k, ds in enumerate(days):
+        spark.createDataFrame([(f"2024-01-{d:02d} 10:00:00", "a", float(d)) for d in ds], "t string, event_type string, value double") \
+            .select(F.col("t").cast("timestamp").alias("ts"), "event_type", "value").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    schema = "ts timestamp, event_type string, value double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true") \
+        .parquet(f"{tmp_path}/in")
+    q = stream_daily_profiles(spark, stream, f"{tmp_path}/sink", f"{tmp_path}/ck")
+    q.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(states) <= 4 and states[-1] <= 2
+    got = {str(r["day"]): r["n"] for r in latest(spark.read.parquet(f"{tmp_path}/sink"), ["event_type", "day"]).collect()}
+    assert got == {"2024-01-01": 2, "2024-01-02": 1, "2024-01-04": 1, "2024-01-05": 1, "2024-01-08": 1, "2024-01-09": 1}
+    whole = daily_profiles(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"))
+    assert whole.where("day = '2024-01-01'").first()["n"] == 3
