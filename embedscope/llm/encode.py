@@ -185,6 +185,15 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[str]):
+        # many lists and tuples without cycles: seek none until they are gone
+        gc.disable()
+        try:
+            found = self._found(texts)
+        finally:
+            gc.enable()
+        return found
+
+    def _found(self, texts: list[str]) -> list[bytes]:
         parts, holes = [], []
         wanted: dict = {}
         recent, older = self.recent, self.older
@@ -214,8 +223,7 @@ class Encoder:
             self.held += sum(map(len, fresh)) + sum(map(len, fresh.values())) + ENTRY_BYTES * len(fresh)
         if self.held > CACHE_BYTES:
             self.recent, self.older, self.held = {}, recent, 0
-        for found in parts:
-            yield b"".join(found)
+        return [b"".join(found) for found in parts]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -223,8 +231,6 @@ _encoders: dict[tuple, Encoder] = {}
 
 def encoder(path: str, keeps_space: bool, plain_specials: bool = False, lead_space: bool = False) -> Encoder:
     """This worker process's encoder for a vocabulary file."""
-    # a batch makes many lists and tuples without cycles: seek cycles less often
-    gc.set_threshold(200_000, 50, 50)
     key = (path, keeps_space, plain_specials, lead_space)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
