@@ -51,21 +51,17 @@ def bucket(token: Column, dim: int, salt: str = "") -> Column:
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
 
-def mean_pool(tokens: DataFrame, id_col: str = "id", vec_col: str = "vec", mask_col: str = "mask",
-              pos_col: str = "token_pos", max_tokens: int | None = None) -> DataFrame:
-    """Masked mean pooling of dense token vectors ``(id, token_pos,
-    mask, vec)`` -> ``(id, embedding)``.  ``max_tokens`` truncates like a
-    tokenizer's max length (default: whole text)."""
-    t = tokens.where(F.col(mask_col) == 1)
-    if max_tokens is not None:
-        t = t.where(F.col(pos_col) < max_tokens)
-    return (t.select(id_col, array_to_vector(vec_col).alias("__f"))
+def mean_pool(tokens: DataFrame, id_col: str = "id", vec_col: str = "vec",
+              mask_col: str = "mask") -> DataFrame:
+    """Masked mean pooling of the dense token vectors of whole texts, ``(id, mask,
+    vec)`` -> ``(id, embedding)``; texts without an unmasked token have no row."""
+    return (tokens.where(F.col(mask_col) == 1).select(id_col, array_to_vector(vec_col).alias("__f"))
             .groupBy(id_col).agg(Summarizer.mean(F.col("__f")).alias("__m"))
             .select(id_col, vector_to_array("__m").alias("embedding")))
 
 
 def hashed_embedding(texts: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = DEFAULT_DIM,
-                     analyzer: str = "unigram", salt: str = "", max_tokens: int | None = None) -> DataFrame:
+                     analyzer: str = "unigram", salt: str = "") -> DataFrame:
     """Mean of one-hot hashed token vectors over the whole text.
 
     Sparse result ``(id, bucket, weight, n_tokens)`` (weight = share of the
@@ -76,9 +72,7 @@ def hashed_embedding(texts: DataFrame, id_col: str = "id", text_col: str = "text
         toks = bigram_array(toks)
     elif analyzer != "unigram":
         raise ValueError(f"unknown analyzer {analyzer}")
-    ex = texts.select(F.col(id_col).alias("id"), F.posexplode(toks).alias("token_pos", "token"))
-    if max_tokens is not None:
-        ex = ex.where(F.col("token_pos") < max_tokens)
+    ex = texts.select(F.col(id_col).alias("id"), F.explode(toks).alias("token"))
     counts = ex.groupBy("id", bucket(F.col("token"), dim, salt).alias("bucket")).agg(
         F.count(F.lit(1)).alias("c"))
     total = counts.groupBy("id").agg(F.sum("c").alias("n_tokens"))

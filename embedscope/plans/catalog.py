@@ -457,7 +457,7 @@ def q_masked_pool(spark, sf):
     turns = T.table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     tokens = turns.select("id", F.posexplode(token_array("text")).alias("token_pos", "token"))
     pooled = mean_pool(tokens.select(
-        "id", "token_pos", (F.length("token") > 2).cast("int").alias("mask"),
+        "id", (F.length("token") > 2).cast("int").alias("mask"),
         F.array(F.length("token").cast("double"), bucket(F.col("token"), 64).cast("double"),
                 F.col("token_pos").cast("double")).alias("vec")))
     return pooled.select("id", *[F.col("embedding")[i].alias(n) for i, n in enumerate(("length", "bucket", "place"))])

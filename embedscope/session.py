@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import tempfile
 import uuid
@@ -100,9 +99,3 @@ def default_parallelism(spark: SparkSession) -> int:
         return max(1, int(spark.sparkContext.defaultParallelism))
     except Exception:  # pragma: no cover - connect sessions
         return 8
-
-
-def side_blocks_floor(spark: SparkSession) -> int:
-    """Smallest number of blocks per side of an ungrouped pair product,
-    so that the tile count reaches the available task slots."""
-    return max(1, int(math.ceil(math.sqrt(default_parallelism(spark)))))
