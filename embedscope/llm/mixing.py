@@ -11,7 +11,8 @@ gets an exact number of blocks of every source, and all shards are equally large
 The blocks of a source are permuted, once for each pass over the source, by a
 keyed bijection that each row computes for itself; shard after shard takes the
 next blocks of that sequence, so the shards' draws are disjoint.  ``place`` is
-the hash by which a shard's writer shuffles its pieces.
+the hash that shuffles a shard's pieces: ``mix_shards`` gives the pieces with
+their texts in that order, ``write_mix`` writes them shard by shard.
 
 DataFrame and SQL functions only.  All random choices are hashes of the seed, so
 reruns agree.  The vector of quotas travels as one array: a few bytes for each
@@ -36,6 +37,7 @@ SHARDS = 32
 SEED = 20
 ROUNDS = 16
 BUCKET_ROWS = 20_000
+FILE_WORDS = 8_000_000
 
 _SPACE = r"\\x20\\x09-\\x0D"
 
@@ -226,6 +228,48 @@ def mix(docs: DataFrame, keys: list[str], cuts: Cuts, weights=WEIGHTS, share: fl
     return rows.select(*keys, "doc_id", "source", "size", "source_size", "target", F.expr(pieces).alias("pieces"))
 
 
+def _taken(docs: DataFrame, cuts: Cuts, **options) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with a key, and the pieces of those that the mix takes."""
+    keyed = row_keyed(docs, cuts)
+    flat = keyed.select("__file", "__row", *[F.col("__doc")[n].alias(n) for n in ("doc_id", "source", "text")])
+    return keyed, cuts.cut(mix(flat, ["__file", "__row"], cuts, **options)
+                           .where(F.size("pieces") > 0).select("__file", "__row", "size", "pieces"))
+
+
+def _words(text: str) -> str:
+    """SQL: the words of a text, each with the white space after it."""
+    return f"split(regexp_replace({text}, '^[{_SPACE}]+', ''), '(?<=[{_SPACE}])(?=[^{_SPACE}])')"
+
+
+def mix_shards(docs: DataFrame, shards: int = SHARDS, file_words: int = FILE_WORDS, **options) -> DataFrame:
+    """The mix as its shards: ``(shard, place, doc_id, source, pass, block, first,
+    words, text)``, a row for each piece.
+
+    A shard is dealt to as many partitions as its words need at ``file_words``
+    each, and every partition is in the order of ``place``, the local shuffle.
+    ``text`` keeps the white space between the words and after the last.
+    An empty table, or one without words, gives an empty result.
+    """
+    cuts = Cuts(docs.sparkSession)
+    keyed, plan = _taken(docs, cuts, shards=shards, **options)
+    total = plan.agg(F.sum(F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)"))).first()[0] or 0
+    files = max(1, math.ceil(total / (shards * file_words)))
+    # a text is split once, whatever its number of pieces
+    cut = f"""element_at(transform(array({_words('__t')}), ws -> transform(pieces, p -> named_struct(
+        'p', p, 'text', array_join(slice(ws, cast(p.first as int) + 1, cast(p.words as int)), '')))), 1)"""
+    rows = keyed.join(plan, ["__file", "__row"]).select(
+        F.col("__doc")["doc_id"].alias("doc_id"), F.col("__doc")["source"].alias("source"),
+        F.col("__doc")["text"].alias("__t"), "pieces").select("doc_id", "source", F.explode(F.expr(cut)).alias("c"))
+    return rows.select("c.p.shard", "c.p.place", "doc_id", "source", "c.p.pass", "c.p.block", "c.p.first", "c.p.words",
+                       "c.text").repartition(shards * files, "shard", F.pmod("place", F.lit(files))) \
+        .sortWithinPartitions("shard", "place", "doc_id", "first")
+
+
+def write_mix(docs: DataFrame, folder: str, **options) -> None:
+    """Writes the mix below ``folder``: Parquet in a folder per shard, each file in shuffled order."""
+    mix_shards(docs, **options).write.partitionBy("shard").mode("overwrite").parquet(folder)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, columns unchanged: a row for each pass over a
     document of which the mix takes words, its text the taken words in their
@@ -233,17 +277,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     length.  Parts that are not neighbours in the document follow each other
     without a mark.  Rows without words are in no mix."""
     cuts = Cuts(docs.sparkSession)
-    keyed = row_keyed(docs, cuts)
-    flat = keyed.select("__file", "__row", *[F.col("__doc")[n].alias(n) for n in ("doc_id", "source", "text")])
-    plan = cuts.cut(mix(flat, ["__file", "__row"], cuts, **options)
-                    .where(F.size("pieces") > 0).select("__file", "__row", "size", "pieces"))
+    keyed, plan = _taken(docs, cuts, **options)
     runs = F.expr("""filter(transform(sequence(0, array_max(transform(pieces, p -> p.pass))), e -> filter(pieces, p -> p.pass = e)),
                             r -> size(r) > 0)""")
     taken = keyed.join(plan, ["__file", "__row"]).select(
         "__doc", "size", F.col("__doc")["text"].alias("__t"), F.explode(runs).alias("run"))
-    words = f"split(regexp_replace(__t, '^[{_SPACE}]+', ''), '(?<=[{_SPACE}])(?=[^{_SPACE}])')"
     part = f"""if(aggregate(run, 0L, (a, p) -> a + p.words) = size, __t,
-        element_at(transform(array({words}), ws -> array_join(transform(array_sort(run, (x, y) ->
+        element_at(transform(array({_words('__t')}), ws -> array_join(transform(array_sort(run, (x, y) ->
             case when x.first < y.first then -1 when x.first > y.first then 1 else 0 end),
             p -> array_join(slice(ws, cast(p.first as int) + 1, cast(p.words as int)), '')), '')), 1))"""
     taken = taken.withColumn("__part", F.expr(part))
@@ -252,6 +292,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), [], Cuts(spark)).select(
+    """The digest of the mix, with the shards that take words of a document and
+    the words that each of them takes."""
+    mixed = mix(table(spark, sf_dir, "documents"), [], Cuts(spark))
+    shards = "array_sort(array_distinct(transform(pieces, p -> cast(p.shard as bigint))))"
+    return mixed.select(
         "doc_id", "size", "source_size", "target",
-        F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)").alias("taken"))
+        F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)").alias("taken"),
+        F.expr(shards).alias("shards"),
+        F.expr(f"transform({shards}, s -> aggregate(filter(pieces, p -> p.shard = s), 0L, (a, p) -> a + p.words))")
+        .alias("shard_words"))

@@ -186,6 +186,59 @@ def test_mixing(spark, odd):
     assert mixing.mix(odd.limit(0), [], Cuts(spark)).count() == 0
 
 
+def test_permutation(spark):
+    """Every place once, and each row of keys another order."""
+    seen = set()
+    for n in (1, 2, 7, 64, 1000):
+        for salt in range(3):
+            keys = (f"transform(sequence(1, {mixing.ROUNDS}), r -> named_struct('k', pmod(xxhash64({salt}, r), {n}L), "
+                    f"'s', xxhash64({salt}, r, 1)))")
+            got = [r.p for r in spark.range(n).orderBy("id").selectExpr(
+                f"{mixing._permuted('id', f'{n}L', keys)} AS p").collect()]
+            assert sorted(got) == list(range(n))
+            seen.add(tuple(got))
+    assert len([s for s in seen if len(s) > 7]) == 6
+
+
+def test_mix_shards(spark, odd, tmp_path):
+    """The pieces by a plain walk: streams cut into blocks, shards' numbers from the tree."""
+    docs = table(spark, SF, "documents").select("doc_id", "source", "text")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").count()
+    assert repeated == 0
+    texts = {r.doc_id: re.findall(r"[^ \t-\r]+", r.text or "") for r in docs.collect()}
+    rows = mixing.mix_shards(docs, shards=5, file_words=4000, block_words=50)
+    files = rows.rdd.glom().collect()
+    got = [r for f in files for r in f]
+    assert len([f for f in files if f]) > 5  # a shard of more than file_words has several partitions
+    for f in files:
+        assert [(r.shard, r.place) for r in f] == sorted((r.shard, r.place) for r in f)
+    per = {r.doc_id: r.pieces for r in mixing.mix(docs, [], Cuts(spark), shards=5, block_words=50).collect()}
+    want = [(d, p["pass"], p.block, p.shard, p.place, p.first, p.words) for d, v in per.items() for p in v]
+    assert sorted((r.doc_id, r["pass"], r.block, r.shard, r.place, r.first, r.words) for r in got) == sorted(want)
+    taken, blocks = collections.Counter(), collections.defaultdict(set)
+    for r in got:
+        assert r.text.split() == texts[r.doc_id][r.first:r.first + r.words] and r.words > 0
+        taken[r.source, r["pass"], r.block] += r.words
+        blocks[r.source, r["pass"], r.block].add(r.shard)
+        for i in range(r.first, r.first + r.words):
+            taken[r.doc_id, r["pass"], "word", i] += 1
+    assert max(n for k, n in taken.items() if "word" in k) == 1  # a word once a pass
+    assert all(len(s) == 1 for s in blocks.values())
+    assert max(n for k, n in taken.items() if "word" not in k) == 50
+    shard = collections.Counter(next(iter(s)) for s in blocks.values())
+    assert len(shard) == 5 and max(shard.values()) - min(shard.values()) <= 3
+    order = [(r.doc_id, r.first) for r in sorted(got, key=lambda r: r.place) if r.shard == 0]
+    assert order != sorted(order)
+    folder = str(tmp_path / "mix")
+    mixing.write_mix(odd, folder, shards=3, block_words=1000)
+    back = spark.read.parquet(folder).collect()
+    by = {r.doc_id: (r.size, sum(p.words for p in r.pieces)) for r in mixing.mix(
+        odd, [], Cuts(spark), shards=3, block_words=1000).collect()}
+    for d in (6, 7, 8, 9):
+        assert sum(len(re.findall(r"[^ \t-\r]+", r.text)) for r in back if r.doc_id == d) == by[d][1]
+    assert mixing.mix_shards(odd.limit(0)).count() == 0
+
+
 def test_quality(spark, odd):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     rows = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
