@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from embedscope.llm.work import release_memory
+
 CACHE_BYTES = 80 << 20  # of each of two generations
 ENTRY_BYTES = 170
 GROUP_CHARS = 1 << 20
@@ -235,3 +237,12 @@ def encoder(path: str, keeps_space: bool, plain_specials: bool = False, lead_spa
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Drops this worker process's encoders: workers are reused, and the caches
+    of a finished stage would stay beside what the next stage needs.  Operators
+    that encode nothing call it at the start of a task."""
+    if _encoders:
+        _encoders.clear()
+        release_memory()

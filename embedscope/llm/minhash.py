@@ -34,7 +34,8 @@ from xxhash import xxh3_64_intdigest
 
 from embedscope.llm.blocknames import dense_names
 from embedscope.llm.components import components
-from embedscope.llm.work import Cuts, row_keyed, table
+from embedscope.llm.encode import forget
+from embedscope.llm.work import Cuts, release_memory, row_keyed, table
 
 BANDS = 48
 ROWS = 6
@@ -128,6 +129,7 @@ def sign(docs: DataFrame, keys: list[str], words: int, bands: int, rows: int) ->
         .add("bands", T.ArrayType(T.LongType()))
 
     def run(batches):
+        forget()
         for b in batches:
             counts, names, hashes, sets, size = [], [], [], [], 0
 
@@ -150,6 +152,7 @@ def sign(docs: DataFrame, keys: list[str], words: int, bands: int, rows: int) ->
                 [b.column(c) for c in passed] + [pa.array(counts, pa.int64()), pa.array(names, pa.binary()),
                                                  pa.array(hashes, pa.list_(pa.int64()))],
                 [*passed, "n_shingles", "set_key", "bands"])
+        release_memory()
 
     return frame.mapInArrow(run, schema)
 
@@ -204,6 +207,7 @@ def _verify(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ``grp`` of a task, or, where ``side`` differs, across the sides."""
 
     def run(t: pa.Table) -> pa.Table:
+        forget()
         t = t.sort_by([("grp", "ascending"), ("side", "ascending"), ("node", "ascending")])
         grp, side = t["grp"].to_numpy(), t["side"].to_numpy()
         node, data = t["node"].to_numpy(), t["elements"].to_pylist()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedscope.llm.encode import encoder
-from embedscope.llm.work import Cuts, table
+from embedscope.llm.work import Cuts, release_memory, table
 
 WINDOW = 4096
 END_ID = 2
@@ -92,6 +92,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: in
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").take(pa.array(index))] + [pa.array(c, pa.int64()) for c in cols[:4]]
                     + [pa.array(cols[4], pa.binary())] * with_ids, names)
+        release_memory()
 
     return frame.mapInArrow(run, schema)
 

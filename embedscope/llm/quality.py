@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from embedscope.llm.work import labelled_sample
+from embedscope.llm.encode import forget
+from embedscope.llm.work import labelled_sample, release_memory
 
 SAMPLE_ROWS = 12_000
 BITS = 20
@@ -206,6 +207,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], bits: int = BIT
     schema = frame.drop("__text").schema
 
     def run(batches):
+        forget()
         cache, w = _Hashes(), shared.value
         for b in batches:
             out = []
@@ -214,6 +216,8 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], bits: int = BIT
                 out.append(sigmoid(float(w[idx].astype(np.float64) @ x)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in keep] + [pa.array(out, pa.float64())], [*keep, "score"])
+        del cache
+        release_memory()
 
     return frame.mapInArrow(run, schema.add("score", "double"))
 

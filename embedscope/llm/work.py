@@ -9,15 +9,26 @@ as a key from then on.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedscope.session import ensure_checkpoint_dir
 from embedscope.sources.tables import table
 
-__all__ = ["table", "Cuts", "labelled_sample", "row_keyed", "shared_dir", "delete_path"]
+__all__ = ["table", "Cuts", "labelled_sample", "row_keyed", "shared_dir", "delete_path", "release_memory"]
+
+
+def release_memory() -> None:
+    """Gives the memory that this process has freed back to the system, where the
+    C library has a call for it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
