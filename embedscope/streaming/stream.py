@@ -22,7 +22,6 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from embedscope.functions import vectors as V
 from embedscope.operators.clusters import CENTRE_BYTES, nearest_centre
@@ -67,11 +66,20 @@ def corpus_stream(spark: SparkSession, stream: DataFrame, corpus: DataFrame, sin
                   sink_path, checkpoint_path)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A driver table as a file stream.  It is one file or a folder of part files; the
+    pattern matches either by its own name, and of a folder the source lists all files."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    return source.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
+
+
 def embeddings_stream(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
-    """The driver's embeddings file as a file stream of some or all rows."""
-    schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
-    rows = (spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    """The driver's embeddings as a file stream of some or all rows, all that have
+    arrived in one batch: the whole corpus meets each batch anew."""
+    rows = table_stream(spark, sf_dir, "embeddings")
     return ((rows if where is None else rows.where(where))
             .select(F.col("vec_id").alias("id"), "embedding"))
 
@@ -128,9 +136,7 @@ def drift(profiles: DataFrame) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema: StructType = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .parquet(sf_dir).select("ts", "event_type", "value"))
+    return table_stream(spark, sf_dir, "events").select("ts", "event_type", "value")
 
 
 def stream_daily_profiles(spark: SparkSession, stream: DataFrame, sink_path: str, checkpoint_path: str,
