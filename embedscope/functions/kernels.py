@@ -17,6 +17,10 @@ def stack(series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
+#: Rows and columns of a block of Manhattan distances.
+MANHATTAN_ROWS, MANHATTAN_COLS = 8, 4096
+
+
 def _unit_rows(x: np.ndarray) -> np.ndarray:
     n = np.sqrt(np.einsum("ij,ij->i", x, x))
     n = np.where(n == 0, 1.0, n)
@@ -40,19 +44,66 @@ def pairwise(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if metric in ("euclidean", "sqeuclidean", "faiss_l2"):
         aa = np.einsum("ij,ij->i", a, a)
         bb = np.einsum("ij,ij->i", b, b)
-        sq = np.maximum(aa[:, None] + bb[None, :] - 2.0 * (a @ b.T), 0.0)
-        return sq if metric != "euclidean" else np.sqrt(sq)
+        sq, ab = aa[:, None] + bb[None, :], a @ b.T
+        ab *= 2.0
+        sq -= ab
+        np.maximum(sq, 0.0, out=sq)
+        return sq if metric != "euclidean" else np.sqrt(sq, out=sq)
     if metric == "dot":
         return a @ b.T
     if metric == "manhattan":
-        out = np.empty((a.shape[0], b.shape[0]))
-        step = max(1, int(4_000_000 // max(1, b.size)))
-        for s in range(0, a.shape[0], step):
-            out[s:s + step] = np.abs(a[s:s + step, None, :] - b[None, :, :]).sum(axis=2)
-        return out
+        return np.concatenate([x for _, x in _manhattan_rows(a, b)])
     raise ValueError(f"Unknown method: {metric}")
 
 
+def _manhattan_rows(a: np.ndarray, b: np.ndarray):
+    """``(first row, distances of some rows)``, in the precision of ``a`` and ``b``, by
+    blocks that stay in the processor's cache."""
+    bt = np.ascontiguousarray(b.T)
+    for s in range(0, len(a), MANHATTAN_ROWS):
+        x = a[s:s + MANHATTAN_ROWS]
+        out = np.empty((len(x), len(b)), a.dtype)
+        for t in range(0, len(b), MANHATTAN_COLS):
+            y = bt[:, t:t + MANHATTAN_COLS]
+            total, gap = np.zeros((len(x), y.shape[1]), a.dtype), np.empty((len(x), y.shape[1]), a.dtype)
+            for k in range(a.shape[1]):
+                np.subtract(x[:, k, None], y[k, None, :], out=gap)
+                np.abs(gap, out=gap)
+                np.add(total, gap, out=total)
+            out[:, t:t + MANHATTAN_COLS] = total
+        yield s, out
+
+
+def nearest_manhattan(a: np.ndarray, b: np.ndarray, k: int):
+    """The ``k`` nearest rows of ``b`` for each row of ``a``: ``(row, column, distance)``.
+
+    Single precision narrows the columns down: its error is within ``room``, a bound from
+    the sizes of the rows, and every column that may be among the nearest by it is
+    measured in double precision."""
+    rows, cols, vals = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    kk = min(k, len(b)) - 1
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = b.mean(axis=0) if len(b) else 0.0  # distances do not change by it, their rounding does
+        fa, fb = (a - middle).astype(np.float32), (b - middle).astype(np.float32)
+        spread = np.abs(a - middle).sum(axis=1) + np.abs(b - middle).sum(axis=1).max(initial=0.0)
+        size = np.abs(a).sum(axis=1) + np.abs(b).sum(axis=1).max(initial=0.0)
+        room = ((a.shape[1] + 8) * (float(np.finfo(np.float32).eps) * spread + 4 * float(np.finfo(np.float64).eps) * size)
+                + a.shape[1] * float(np.finfo(np.float32).tiny))
+        for s, near in _manhattan_rows(fa, fb):
+            for i, row in enumerate(near, s):
+                limit = np.float64(np.partition(row, kk)[kk]) + 2.0 * room[i]
+                # with numbers too large for single precision, or none, all are measured
+                at = np.flatnonzero(row <= limit) if np.isfinite(limit) and np.isfinite(row).all() else np.arange(len(b))
+                d = np.abs(a[i][None, :] - b[at]).sum(axis=1)
+                d = np.where(np.isnan(d), np.inf, d)
+                best = np.argpartition(d, kk)[:kk + 1] if kk + 1 < len(d) else np.arange(len(d))
+                best = best[np.isfinite(d[best])]
+                rows.append(np.full(len(best), i))
+                cols.append(at[best])
+                vals.append(d[best])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+
+
 def components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """Connected components of a small graph: label = smallest node index.
 

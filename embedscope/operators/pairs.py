@@ -8,9 +8,10 @@ Plan:
 
 1. Count rows: of both sides where there are no groups (two numbers, literals
    in the plan, so no join), else per group (a written table).
-2. Split each group into blocks of at most ``block_rows`` rows by a hash of
-   the row id.  A group that holds a third of all rows simply gets many
-   blocks; a tiny group gets one.  The ungrouped case is one group whose
+2. Split each group into blocks by a hash of the row id: about ``BLOCKS`` of them
+   a side whatever the number of rows, so that each row is copied so many times, and
+   more only where a block would hold more than ``BLOCK_BYTES`` of vectors.  A group
+   that holds a third of all rows simply gets many blocks; a tiny group gets one.  The ungrouped case is one group whose
    left side is also split up to the available task slots.  Only the groups of
    several blocks are joined to the rows: broadcast up to
    ``PLAN_BROADCAST_ROWS`` of them, else by a salted key, so that a hot group
@@ -18,12 +19,12 @@ Plan:
 3. Replicate each left row to the right blocks of its group and each right
    row to the left blocks (an equi-join key ``(group, lb, rb)``, never a
    cartesian product of rows), then ``cogroup(...).applyInPandas`` per tile.
-4. Inside the tile a NumPy matrix product gives the distance block; a
-   *reducer* turns it into small partial rows (top-k per row, sums per
+4. Inside the tile NumPy matrix products give the distances, some left rows
+   (``CHUNK_PAIRS``) at a time; a *reducer* turns it into small partial rows (top-k per row, sums per
    label, counts within eps, a spanning forest, pair statistics).
 5. Partials are merged with an ordinary aggregate / window.
 
-Memory per task is bounded by ``block_rows`` squared, whatever the skew,
+Memory per task is bounded by two blocks and a chunk, whatever the skew,
 and no row of the output grows with the number of pairs.
 """
 
@@ -34,12 +35,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedscope.functions.kernels import group_pairs, pairwise, rowwise, stack
+from embedscope.functions.kernels import group_pairs, nearest_manhattan, pairwise, rowwise, stack
 from embedscope.session import cut_lineage, default_parallelism
 
 G, LID, RID, VEC, LB, RB, BK = "__g", "__lid", "__rid", "__v", "__lb", "__rb", "__bk"
 
 DEFAULT_BLOCK_ROWS = 2048
+# Blocks a side where no number of rows is given, and the bytes of vectors in one.
+BLOCKS = 10
+BLOCK_BYTES = 32 << 20
+# Pairs whose distances are held at a time.
+CHUNK_PAIRS = 1 << 22
 # Groups with at most this many pairs in a tile take the vectorised path.
 SMALL_GROUP_PAIRS = 4096
 # Block plans (three numbers a group) up to this many rows are broadcast.
@@ -55,6 +61,11 @@ class Reducer:
     def tile(self, d: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
+    def tile_vectors(self, metric: str, a: np.ndarray, b: np.ndarray, left: pd.DataFrame,
+                     right: pd.DataFrame) -> pd.DataFrame | None:
+        """The same from the vectors themselves, where the reducer has a shorter way."""
+        return None
+
     def merge(self, partial: DataFrame) -> DataFrame:
         raise NotImplementedError
 
@@ -91,6 +102,13 @@ class TopK(Reducer):
             "d": vals[keep],
         })
 
+    def tile_vectors(self, metric, a, b, left, right):
+        """The rows of :meth:`tile` where the distances of most pairs need not be exact."""
+        if metric != "manhattan" or len(b) <= 4 * self.k:
+            return None
+        rows, cols, vals = nearest_manhattan(a, b, self.k)
+        return pd.DataFrame({LID: left[LID].to_numpy()[rows], RID: right[RID].to_numpy()[cols], "d": vals})
+
     def merge(self, partial):
         w = Window.partitionBy(G, LID).orderBy(F.col("d"), F.col(RID))
         return (partial.withColumn("nn", F.row_number().over(w))
@@ -160,7 +178,8 @@ class LabelMeansMulti(Reducer):
         out = []
         for c in range(ll.shape[1]):
             some = ls[:, c] > 0
-            rows = _label_means(d[some], lid[some], ll[some, c], rl[:, c], rs[:, c])
+            mine = d if some.all() else d[some]
+            rows = _label_means(mine, lid[some], ll[some, c], rl[:, c], rs[:, c])
             rows.insert(1, "cfg", c)
             out.append(rows)
         return pd.concat(out, ignore_index=True)
@@ -258,6 +277,13 @@ def _side(df: DataFrame, id_col: str, vec_col: str, group_col, attrs, id_name: s
                      *[F.col(a).alias(a) for a in attrs])
 
 
+def _block_rows(n: int, most: int | None, dim: int) -> int:
+    """Rows of a block of ``n`` rows: ``most`` if given, else by the number of blocks."""
+    if most:
+        return most
+    return max(DEFAULT_BLOCK_ROWS, min(-(-n // BLOCKS), BLOCK_BYTES // (8 * max(1, dim or 1))))
+
+
 def _planned(rows: DataFrame, several: DataFrame, id_name: str, few: bool) -> DataFrame:
     """``rows`` with the numbers of blocks of their group (1 where the plan has none)."""
     if few:
@@ -287,11 +313,12 @@ def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric:
     Grouped work is packed: small groups share a tile (the tile key is a
     hash bucket of the group, with ``total rows / block_rows`` buckets), and
     a group larger than a block is split into blocks of its own.  A tile
-    therefore holds about ``block_rows`` rows per side, whatever the mix of
-    many tiny groups and a few huge ones.
+    therefore holds about ``block_rows`` rows per side (or what ``_block_rows`` gives),
+    whatever the mix of many tiny groups and a few huge ones.
     """
     spark = left.sparkSession
-    block = int(block_rows or spark.conf.get("embedscope.pairs.blockRows", str(DEFAULT_BLOCK_ROWS)))
+    most = int(block_rows or spark.conf.get("embedscope.pairs.blockRows", "0"))
+    block = most or DEFAULT_BLOCK_ROWS
     lft = _side(left, id_col, vec_col, group_col, lattrs, LID)
     rgt = _side(right, right_id_col or id_col, right_vec_col or vec_col, group_col, rattrs, RID)
     gtype = lft.schema[G].dataType.simpleString()
@@ -299,21 +326,29 @@ def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric:
 
     if group_col:
         lft, rgt = lft.where(F.col(G).isNotNull()), rgt.where(F.col(G).isNotNull())
-        counts = cut_lineage(lft.groupBy(G).agg(F.count(F.lit(1)).alias("__nl"))
+        counts = cut_lineage(lft.groupBy(G).agg(F.count(F.lit(1)).alias("__nl"), F.max(F.size(VEC)).alias("__dim"))
                              .join(rgt.groupBy(G).agg(F.count(F.lit(1)).alias("__nr")), G))
-        total = counts.agg(F.sum("__nl")).first()[0] or 0
+        total, dim = counts.agg(F.sum("__nl"), F.max("__dim")).first()
+        total = total or 0
+        widest = BLOCK_BYTES // (8 * max(1, dim or 1))
+
+        def blocks(n: str):
+            of = F.lit(most) if most else F.greatest(F.lit(block), F.least(F.ceil(F.col(n) / BLOCKS), F.lit(widest)))
+            return F.ceil(F.col(n) / of)
+
         keys = [BK, LB, RB]
         bucket = F.pmod(F.xxhash64(G), F.lit(max(1, -(-total // block)))).cast("int")
         several = cut_lineage(counts.select(
-            G, F.greatest(F.ceil(F.col("__nl") / block), F.least(F.col("__nl"), F.lit(floor))).cast("int").alias("__nlb"),
-            F.ceil(F.col("__nr") / block).cast("int").alias("__nrb")).where("__nlb > 1 or __nrb > 1"))
+            G, F.greatest(blocks("__nl"), F.least(F.col("__nl"), F.lit(floor))).cast("int").alias("__nlb"),
+            blocks("__nr").cast("int").alias("__nrb")).where("__nlb > 1 or __nrb > 1"))
         few = several.count() <= PLAN_BROADCAST_ROWS
         lx, rx = _planned(lft, several, LID, few), _planned(rgt, several, RID, few)
     else:
-        nl = lft.count()
+        nl, dim = lft.agg(F.count(F.lit(1)), F.max(F.size(VEC))).first()
         nr = nl if left is right else rgt.count()
         keys, bucket = [LB, RB], F.lit(0)
-        sizes = {"__nlb": F.lit(max(1, -(-nl // block), min(nl, floor))), "__nrb": F.lit(max(1, -(-nr // block)))}
+        nlb, nrb = (max(1, -(-n // _block_rows(n, most, dim))) for n in (nl, nr))
+        sizes = {"__nlb": F.lit(max(nlb, min(nl, floor))), "__nrb": F.lit(nrb)}
         lx, rx = lft.withColumns(sizes), rgt.withColumns(sizes)
 
     lx = (lx.withColumn(LB, F.pmod(F.xxhash64(LID), F.col("__nlb")).cast("int"))
@@ -327,10 +362,20 @@ def pair_reduce(left: DataFrame, right: DataFrame, reducer: Reducer, *, metric:
     out_cols = [G] + [c.split()[0] for c in red.schema.split(", ")]
 
     def one_group(g, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        d = pairwise(metric, stack(lpdf[VEC]), stack(rpdf[VEC]))
-        if same_ids:
-            d[lpdf[LID].to_numpy()[:, None] == rpdf[RID].to_numpy()[None, :]] = 0.0
-        out = red.tile(d, lpdf, rpdf)
+        a, b = stack(lpdf[VEC]), stack(rpdf[VEC])
+        out = red.tile_vectors(metric, a, b, lpdf, rpdf) if not same_ids else None
+        if out is None:
+            lpdf, rpdf = lpdf.drop(columns=VEC), rpdf.drop(columns=VEC)
+            lid, rid = lpdf[LID].to_numpy(), rpdf[RID].to_numpy()
+            step = max(1, CHUNK_PAIRS // max(1, len(b)))
+            outs = []
+            for s in range(0, len(a), step):
+                d = pairwise(metric, a[s:s + step], b)
+                if same_ids:
+                    d[lid[s:s + step, None] == rid[None, :]] = 0.0
+                outs.append(red.tile(d, lpdf.iloc[s:s + step], rpdf))
+            some = [x for x in outs if len(x)]
+            out = outs[0] if not some else some[0] if len(some) == 1 else pd.concat(some, ignore_index=True)
         out.insert(0, G, g)
         return out
 
