@@ -5,12 +5,12 @@ and by a sentence-piece file (B, which adds that space).  The byte ranges of bot
 token sequences tile the same bytes, so a token of A and one of B may end
 together; such ends cut both sequences into groups.
 
-*Anchors*: where tokens of both sides begin at one byte and both are marked with a
-space, the ends before them are shared.  Anchors cut a document into windows, pairs
-of short id tuples (mostly a word), and what lies inside a window depends on its ids
-alone: which of its tokens end a group is found once, verified byte for byte, and
-kept by the two tuples in a dictionary of bounded size.  A batch of documents asks for
-its distinct windows only; groups and links follow from the kept ends by array steps.
+*Units*: both files split a text before the white space that follows a word, so no
+token of either goes over that place and an end is shared there.  A text is its units
+(mostly words), one after the other, and its groups are those of its units.  A unit is
+encoded by both libraries, verified byte for byte and cut into groups once; its
+numbers, links and groups are kept in a table of bounded size.  Documents look up
+their units; what they return follows from the units by array steps.
 
 How often a pair of ids is linked in the whole corpus is an aggregate over the
 documents' distinct pairs; a join brings the counts back to the documents.
@@ -18,39 +18,41 @@ documents' distinct pairs; a join brings the counts back to the documents.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from array import array
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedscope.llm.encode import _SHOWN, encoder
+from embedscope.llm.encode import _OTHER_SPACE, _SHOWN, distinct, encoder
 from embedscope.llm.work import Cuts, table
 
-MEMO_ENTRIES = 150_000  # of each of two generations
-PIECE_ENTRIES = 200_000
+MEMO_ENTRIES = 300_000  # units of each of two generations
+PIECE_ENTRIES = 4_000_000  # tokens of these units
 GROUP_CHARS = 1 << 20
 MARK = "▁"
 #: Pairs of ids that are broadcast (24 bytes each); beyond, the same join shuffles.
 PAIR_BROADCAST_ROWS = 2_000_000
 
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
+#: Units of a text with tabs or carriage returns: B may go on over these, so only a
+#: space or a line end after a word begins the next unit.
+_GLUED = re.compile(rb"[ \t\n\r]*[^ \t\n\r]+(?:[\t\r][ \t\n\r]*[^ \t\n\r]+)*|[ \t\n\r]+")
 
 
 class Pieces:
-    """Ids of whole texts by a sentence-piece file, a word at a time.
+    """Ids of units by a sentence-piece file.
 
-    No piece goes on after a space or over a line end (checked when the file is
-    read), so the ids of a text are those of its parts before spaces and line
-    ends; the ids of recent parts are kept.  A part whose pieces do not give back
-    its bytes has the value ``BROKEN``.
+    ``parted``: no piece goes on after a space or over a line end (checked when the
+    file is read), so the ids of a text are those of its units.  ``signs``: the ids of
+    signs that no piece joins to a letter or digit before them.
     """
 
-    BROKEN = b""
-
     def __init__(self, path: str):
         import sentencepiece
 
@@ -59,75 +61,53 @@ class Pieces:
         names = [self.model.id_to_piece(i) for i in range(n)]
         self.bytes = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) and self.model.is_byte(i)
                       else p.replace(MARK, " ").encode("utf-8") for i, p in enumerate(names)]
-        self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
         plain = [p for i, p in enumerate(names) if not self.model.is_control(i) and not self.model.is_unknown(i)]
-        self.parted = not any(MARK in p.lstrip(MARK) or "\n" in p for p in plain)
-        # a line end and what follows it, encoded after the added space
+        # a line end and what follows it are encoded after the added space
         lead = self.model.encode("\n")
-        self.lead = 1 if self.parted and len(lead) == 2 and self.bytes[lead[0]] == b" " else None
-        self.space = self.model.encode(" ")[:1]
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _parts(self, text: str) -> list[str] | None:
-        """Parts of ``space + text``, each without the one space before it; a part
-        that begins with a line end has no such space.  None: encode it whole."""
-        if not self.parted or self.lead is None or MARK in text:
-            return None
-        if text[:1] not in (" ", "\n") and "  " not in text and " \n" not in text and text[-1:] != " ":
-            return text.replace("\n", " \n").split(" ")
-        return None
-
-    def _checked(self, key, ids: list[int]) -> bytes:
-        """The packed ids of a part, or ``BROKEN``."""
-        if type(key) is tuple:
-            want = " " + key[0]
-        elif key[:1] == "\n":
-            ids, want = ids[1:], key
-        else:
-            want = " " + key
-        same = b"".join(map(self.bytes.__getitem__, ids)) == want.encode("utf-8")
-        return array(self.code, ids).tobytes() if same else self.BROKEN
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """Each text's packed ids; ``BROKEN`` for an empty text and for one that
-        its pieces do not give back."""
-        recent, older = self.recent, self.older
-        found, wanted = [], {}
-        for t in texts:
-            if not t:
-                found.append(((), ()))
-                continue
-            # a text that is encoded whole is a key for this call only
-            parts = self._parts(t) or [(t,)]
-            have = list(map(recent.get, parts))
-            found.append((parts, have))
-            if None in have:
-                for i, v in enumerate(have):
-                    if v is None:
-                        k = parts[i]
-                        v = older.get(k)
-                        if v is None:
-                            wanted[k] = None
-                        else:
-                            have[i] = recent[k] = v
-        if wanted:
-            keys = list(wanted)
-            done = self.model.encode([k[0] if type(k) is tuple else k for k in keys], num_threads=1)
-            # an empty part is one space
-            fresh = {k: self._checked(k, ids or self.space) for k, ids in zip(keys, done)}
-            for parts, have in found:
-                if None in have:
-                    have[:] = [fresh[k] if v is None else v for k, v in zip(parts, have)]
-            recent.update((k, v) for k, v in fresh.items() if type(k) is str)
-            if len(recent) > PIECE_ENTRIES:
-                self.recent, self.older = {}, recent
-        return [self.BROKEN if self.BROKEN in have else b"".join(have) for _, have in found]
+        self.parted = (not any(MARK in p.lstrip(MARK) or "\n" in p for p in plain)
+                       and len(lead) == 2 and self.bytes[lead[0]] == b" ")
+        joined = {b for p in plain for a, b in zip(p, p[1:]) if a.isalnum()}
+        self.signs = {c.encode(): i for c in ".," if c not in joined and (i := names.index(c) if c in names else None)}
+
+    def units(self, keys: list) -> list[list[int]]:
+        """The ids of each key's unit (see :meth:`Aligner._keys`)."""
+        texts = [k[1] if type(k) is tuple else k for k in keys]
+        # the space that the library adds is the unit's own, or no part of it
+        done = self.model.encode([(t[1:] if t[:1] == b" " else t).decode("utf-8") for t in texts], num_threads=1)
+        return [ids if t[:1] == b" " else [self.signs[t]] if t in self.signs else ids[1:]
+                for t, ids in zip(texts, done)]
+
+
+class Units:
+    """Aligned units by key: numbers of tokens and links, links, groups as text (each
+    after a semicolon).  A unit that a file does not give back has no link."""
+
+    def __init__(self):
+        self.index: dict = {}
+        self.texts: list[str] = []
+        self.n_a, self.n_b, self.n_links, self.start, self.links = (array("q") for _ in range(5))
+        self.tokens = 0
+
+    def add(self, keys, n_a, n_b, n_links, links, texts) -> None:
+        self.index.update(zip(keys, range(len(self.texts), len(self.texts) + len(texts))))
+        self.texts += texts
+        self.tokens += int(n_a.sum() + n_b.sum())
+        start = len(self.links) + np.cumsum(n_links) - n_links
+        for held, new in zip((self.n_a, self.n_b, self.n_links, self.start, self.links),
+                             (n_a, n_b, n_links, start, links)):
+            held.frombytes(new.astype(np.int64).tobytes())
+
+    def take(self, at: np.ndarray):
+        """``(n_a, n_b, n_links)`` of some units, and their links one after the other."""
+        n_a, n_b, n_links, start = (np.frombuffer(x, np.int64)[at]
+                                    for x in (self.n_a, self.n_b, self.n_links, self.start))
+        first = np.cumsum(n_links) - n_links
+        links = np.frombuffer(self.links, np.int64) if self.links else np.empty(0, np.int64)
+        return n_a, n_b, n_links, links[np.repeat(start - first, n_links) + np.arange(int(n_links.sum()))]
 
 
 class Aligner:
-    """Aligns texts; keeps the alignments of recent windows."""
+    """Aligns texts; keeps the alignments of recent units."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a = encoder(path_a, True, plain_specials=True, lead_space=True)
@@ -137,151 +117,147 @@ class Aligner:
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for name, i in vocab.items():
             self.a_bytes[i] = bytes(back[c] for c in name)
-        sides = (self.a_bytes, self.b.bytes)
-        self.length_a, self.length_b = (np.array([len(x) for x in s], np.int64) for s in sides)
-        self.space_a, self.space_b = (np.array([x[:1] == b" " for x in s]) for s in sides)
+        self.length_a, self.length_b = (np.array([len(x) for x in s], np.int64) for s in (self.a_bytes, self.b.bytes))
         # ids as text after each separator
         self.shown_a = [np.array([c + str(i) for i in range(len(self.a_bytes))], object) for c in ",;"]
         self.shown_b = [np.array([c + str(i) for i in range(len(self.b.bytes))], object) for c in ",|"]
-        rng = np.random.default_rng(0)
-        self.random_a, self.random_b = (rng.integers(0, 1 << 63, len(s), np.uint64) for s in sides)
-        self.weights = rng.integers(0, 1 << 63, 1 << 10, np.uint64) | np.uint64(1)
-        self.memo: dict = {}
-        self.old_memo: dict = {}
+        self.signs = b"".join(c for c in self.a.signs if c in self.b.signs)
+        self.units, self.older = Units(), Units()
+
+    @property
+    def memo(self) -> dict:
+        return self.units.index
 
     def align(self, texts: list[str | None]) -> list[tuple]:
         """``(n_a, n_b, groups, pairs, counts)`` of each text: the groups as text,
         its distinct linked pairs and how often each is linked.  Texts without
         tokens have zeros and nothing."""
+        # many lists and tuples without cycles: seek none until they are gone
+        gc.disable()
+        try:
+            return self._align(texts)
+        finally:
+            gc.enable()
+
+    # Keys are those of the encoder of A with a space before each text, and (2, a space
+    # and the text) for a text that is a unit of its own.
+
+    def _even(self, text: str) -> bytes | None:
+        return self.a._even(text) if self.b.parted and MARK not in text else None
+
+    def _keys(self, text: str) -> list:
+        if not text:
+            return []
+        whole = [(2, b" " + text.encode("utf-8"))]
+        if not self.b.parted or MARK in text or text[-1] in " \t\r":
+            return whole
+        if "\t" not in text and "\r" not in text:
+            return self.a._keys(text) or whole
+        if _OTHER_SPACE.search(text):
+            return whole
+        units = _GLUED.findall(whole[0][1])
+        if units[-1][:1] in b"\t\r":
+            return whole
+        return [u if u[:1] in b" \n" and u.split() == [u[1:]] else (1, u) for u in units]
+
+    def _align(self, texts: list[str | None]) -> list[tuple]:
+        if len(self.units.texts) > MEMO_ENTRIES or self.units.tokens > PIECE_ENTRIES:
+            self.units, self.older = Units(), self.units
         texts = [t or "" for t in texts]
-        packed_b = self.b.packed(texts)
-        good = [i for i, p in enumerate(packed_b) if p]  # B gives the text back
-        out: list[tuple] = [(0, 0, "", (), ())] * len(texts)
-        if not good:
-            return out
-        parts_a = list(self.a.packed([texts[i] for i in good]))
-        found = self._align(parts_a, [packed_b[i] for i in good])
-        if found is None:  # A does not give every text back: one by one
-            return [r for t in texts for r in self.align([t])] if len(texts) > 1 else out
-        for i, r in zip(good, found):
-            out[i] = r
+        even = [self._even(t) for t in texts]
+        # even texts first
+        order = sorted(range(len(texts)), key=lambda i: even[i] is None)
+        keys, which, sizes = distinct([even[i] for i in order if even[i] is not None], self.signs)
+        odd = [self._keys(texts[i]) for i in order[len(sizes):]]
+        which = np.concatenate([which, len(keys) + np.arange(sum(map(len, odd)))])
+        sizes = np.concatenate([sizes, np.array([len(more) for more in odd], np.int64)])
+        keys += chain.from_iterable(odd)
+        units = self.units
+        at = np.array(list(map(units.index.get, keys, repeat(-1))), np.int64)
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            names = [keys[i] for i in lost.tolist()]
+            self._learn(list(dict.fromkeys(names)))
+            at[lost] = [units.index[k] for k in names]
+        at = at[which]
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        broken = np.zeros(len(texts), bool)  # a file does not give these back
+        broken[doc[np.frombuffer(units.n_links, np.int64)[at] == 0]] = True
+        if broken.any():
+            at, sizes = at[~broken[doc]], np.where(broken, 0, sizes)
+        n_a, n_b, n_links, links = units.take(at)
+        ends = np.cumsum(sizes)
+        n_a, n_b, n_links = (np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])])
+                             for n in (n_a, n_b, n_links))
+        size_b, span = len(self.b.bytes), len(self.a_bytes) * len(self.b.bytes)
+        found, counts = np.unique(np.repeat(np.arange(len(texts)) * span, n_links) + links, return_counts=True)
+        per_doc = np.searchsorted(found, np.arange(len(texts) + 1) * span).tolist()
+        code = found % span
+        pairs = code // size_b << 32 | code % size_b
+        shown = list(map(units.texts.__getitem__, at.tolist()))
+        out: list = [None] * len(texts)
+        for i, p, q, n, e, x, y in zip(order, n_a.tolist(), n_b.tolist(), sizes.tolist(), ends.tolist(),
+                                       per_doc, per_doc[1:]):
+            out[i] = (p, q, "".join(shown[e - n:e])[1:], pairs[x:y], counts[x:y])
         return out
 
-    def _align(self, parts_a: list[bytes], parts_b: list[bytes]) -> list[tuple] | None:
-        """Documents whose B side is known to be their text; None if an A side differs."""
-        wa, wb, size_b = self.a.dtype.itemsize, self.b.dtype.itemsize, len(self.b.bytes)
-        all_a, all_b = b"".join(parts_a), b"".join(parts_b)
-        a, b = np.frombuffer(all_a, self.a.dtype), np.frombuffer(all_b, self.b.dtype)
+    def _learn(self, keys: list) -> None:
+        """Adds units that the table does not hold."""
+        units, older = self.units, self.older
+        known = np.array(list(map(older.index.get, keys, repeat(-1))), np.int64)
+        kept = known[known >= 0]
+        if len(kept):
+            units.add([k for k, i in zip(keys, known.tolist()) if i >= 0], *older.take(kept),
+                      [older.texts[i] for i in kept.tolist()])
+            keys = [k for k, i in zip(keys, known.tolist()) if i < 0]
+        if keys:
+            units.add(keys, *self._fresh(keys))
+
+    def _fresh(self, keys: list):
+        """The columns of :meth:`Units.add` of some units, encoded and aligned."""
+        ids = self.a._fresh(keys)
+        parts_a, parts_b = [ids[k] for k in keys], self.b.units(keys)
+        bytes_of = [k[1] if type(k) is tuple else k for k in keys]
+        a = np.frombuffer(b"".join(parts_a), self.a.dtype).astype(np.int64)
+        b = np.array(list(chain.from_iterable(parts_b)), np.int64)
+        n_a = np.array([len(p) for p in parts_a], np.int64) // self.a.dtype.itemsize
+        n_b = np.array([len(p) for p in parts_b], np.int64)
+        good = (_give_back(a, n_a, self.a_bytes, self.length_a, bytes_of)
+                & _give_back(b, n_b, self.b.bytes, self.length_b, bytes_of))
+        if not good.all():
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        # both sides tile the same bytes
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        mark_a, mark_b = np.flatnonzero(self.space_a[a]), np.flatnonzero(self.space_b[b])
-        # anchors: tokens with a space that begin at one byte, so what ends before them ends together;
-        # both sides begin a document with its space, so its start is one
-        _, in_a, in_b = np.intersect1d((end_a - self.length_a[a])[mark_a], (end_b - self.length_b[b])[mark_b],
-                                       assume_unique=True, return_indices=True)
-        cut_a, cut_b = mark_a[in_a], mark_b[in_b]
-        doc_a, doc_b = (np.cumsum([0, *(len(p) // w for p in parts)]) for parts, w in ((parts_a, wa), (parts_b, wb)))
-        if not (np.isin(doc_a[:-1], cut_a).all() and np.isin(doc_b[:-1], cut_b).all()) or end_a[-1] != end_b[-1]:
-            return None
-        size_wa, size_wb = np.diff(cut_a, append=len(a)), np.diff(cut_b, append=len(b))
-        first, which = self._distinct(a, b, cut_a, cut_b, size_wa, size_wb)
-        ends = self._window_ends(a, b, all_a, all_b, cut_a[first], cut_b[first], size_wa[first], size_wb[first],
-                                 end_a, end_b)
-        if ends is None:
-            return None
-        # which tokens end a group, from those of the distinct windows
-        last_a, last_b = (_spread(np.frombuffer(b"".join(e), np.uint8), sizes[first], which, sizes)
-                          for e, sizes in zip(ends, (size_wa, size_wb)))
+        ends = np.zeros((2, (int(end_a[-1]) if len(a) else 0) + 1), bool)
+        ends[0, end_a], ends[1, end_b] = True, True
+        last_a, last_b = ends[1, end_a], ends[0, end_b]
         at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
-        links = a[at_a].astype(np.int64) * size_b + b[at_b]
-        span = len(self.a_bytes) * size_b
-        group_doc = np.searchsorted(at_a, doc_a)
-        keys, counts = np.unique(np.repeat(np.arange(len(parts_a)), np.diff(group_doc)) * span + links,
-                                 return_counts=True)
-        per_doc = np.searchsorted(keys, np.arange(len(parts_a) + 1) * span).tolist()
-        code = keys % span
-        pairs = code // size_b << 32 | code % size_b
+        stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
+        n_links = np.diff(np.searchsorted(at_a, stop_a), prepend=0)
         # the text: tokens of A and B in turn, group by group
-        first_a, first_b = (np.concatenate([[1], x[:-1]]).astype(bool) for x in (last_a, last_b))
+        first_a, first_b = (np.concatenate([[True], x])[:-1] for x in (last_a, last_b))
         group_a, group_b = np.cumsum(first_a) - 1, np.cumsum(first_b) - 1
         text = np.empty(len(a) + len(b), object)
-        before_b = np.concatenate([[0], at_b + 1])  # tokens of B in the groups before
-        place_a = np.arange(len(a)) + before_b[group_a]
-        place_b = np.arange(len(b)) + at_a[group_b] + 1
-        text[place_a] = np.where(first_a, self.shown_a[1][a], self.shown_a[0][a])
-        text[place_b] = np.where(first_b, self.shown_b[1][b], self.shown_b[0][b])
+        text[np.arange(len(a)) + np.concatenate([[0], at_b + 1])[group_a]] = np.where(
+            first_a, self.shown_a[1][a], self.shown_a[0][a])
+        text[np.arange(len(b)) + at_a[group_b] + 1] = np.where(first_b, self.shown_b[1][b], self.shown_b[0][b])
         text = text.tolist()
-        return [(int(p - i), int(q - j), "".join(text[i + j:p + q])[1:], pairs[x:y], counts[x:y])
-                for i, j, p, q, x, y in zip(doc_a.tolist(), doc_b.tolist(), doc_a[1:].tolist(), doc_b[1:].tolist(),
-                                            per_doc, per_doc[1:])]
-
-    def _distinct(self, a, b, cut_a, cut_b, size_wa, size_wb):
-        """``(first, which)``: a first window of each distinct pair of id tuples, and the
-        position among these of each window.  Found by hashes, then compared."""
-        longest = int(max(size_wa.max(), size_wb.max()))
-        while len(self.weights) < longest:
-            self.weights = np.concatenate([self.weights, self.weights * np.uint64(0x9E3779B97F4A7C15)])
-        place_a, place_b = _places(cut_a, size_wa), _places(cut_b, size_wb)
-        h = (np.add.reduceat(self.random_a[a] * self.weights[place_a], cut_a)
-             + np.add.reduceat(self.random_b[b] * self.weights[place_b], cut_b) * np.uint64(0xD6E8FEB86659FD93))
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        same = first[which]
-        if ((size_wa == size_wa[same]).all() and (size_wb == size_wb[same]).all()
-                and (a == a[np.repeat(cut_a[same], size_wa) + place_a]).all()
-                and (b == b[np.repeat(cut_b[same], size_wb) + place_b]).all()):
-            return first, which
-        seen: dict = {}  # two windows share a hash: by the tuples themselves
-        which = np.array([seen.setdefault((a[i:i + n].tobytes(), b[j:j + m].tobytes()), len(seen)) for i, j, n, m in
-                          zip(cut_a.tolist(), cut_b.tolist(), size_wa.tolist(), size_wb.tolist())])
-        return np.unique(which, return_index=True)[1], which
-
-    def _window_ends(self, a, b, all_a, all_b, cut_a, cut_b, size_a, size_b, end_a, end_b):
-        """For each of some windows, which of its tokens end a group, a byte a token, on
-        both sides.  None if the sides of a window differ in their bytes."""
-        wa, wb = self.a.dtype.itemsize, self.b.dtype.itemsize
-        keys = [(all_a[i * wa:(i + n) * wa], all_b[j * wb:(j + m) * wb]) for i, j, n, m in
-                zip(cut_a.tolist(), cut_b.tolist(), size_a.tolist(), size_b.tolist())]
-        memo, old = self.memo, self.old_memo
-        found = list(map(memo.get, keys))
-        lost = [k for k, f in enumerate(found) if f is None]
-        fresh = []
-        for k in lost:
-            found[k] = old.get(keys[k])
-            if found[k] is None:
-                fresh.append(k)
-            else:
-                memo[keys[k]] = found[k]
-        if fresh:
-            at = np.array(fresh)
-            in_a, in_b = (np.repeat(c[at], n[at]) + _places(np.cumsum(n[at]) - n[at], n[at])
-                          for c, n in ((cut_a, size_a), (cut_b, size_b)))
-            # windows begin at one byte on both sides, so global ends compare
-            stops_a, stops_b = end_a[in_a], end_b[in_b]
-            ends = np.zeros((2, int(end_a[-1]) + 1), np.uint8)
-            ends[0, stops_a], ends[1, stops_b] = 1, 1
-            flag_a, flag_b = ends[1, stops_a].tobytes(), ends[0, stops_b].tobytes()
-            ids_a, ids_b = a[in_a].tolist(), b[in_b].tolist()
-            i = j = 0
-            for k, n, m in zip(fresh, size_a[at].tolist(), size_b[at].tolist()):
-                if b"".join(map(self.a_bytes.__getitem__, ids_a[i:i + n])) != \
-                        b"".join(map(self.b.bytes.__getitem__, ids_b[j:j + m])):
-                    return None
-                found[k] = memo[keys[k]] = (flag_a[i:i + n], flag_b[j:j + m])
-                i, j = i + n, j + m
-        if len(memo) > MEMO_ENTRIES:
-            self.memo, self.old_memo = {}, memo
-        return [f[0] for f in found], [f[1] for f in found]
-
-
-def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The place of each element in its run; runs of ``sizes`` from ``starts`` on
-    tile the elements."""
-    return np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
-
-
-def _spread(pool: np.ndarray, sizes: np.ndarray, which: np.ndarray, each: np.ndarray) -> np.ndarray:
-    """The elements of pooled runs (of ``sizes``), run ``which`` after another."""
-    starts = np.cumsum(sizes) - sizes
-    return pool[np.repeat(starts[which], each) + _places(np.cumsum(each) - each, each)]
+        stops = (stop_a + stop_b).tolist()
+        shown = ["".join(text[i:j]) for i, j in zip([0, *stops], stops)]
+        return n_a, n_b, n_links, a[at_a] * len(self.b.bytes) + b[at_b], shown
+
+
+def _give_back(ids: np.ndarray, sizes: np.ndarray, names: list[bytes], lengths: np.ndarray,
+               texts: list[bytes]) -> np.ndarray:
+    """Which runs of ids (of ``sizes``) join to their texts."""
+    stops = np.cumsum(sizes)
+    joined = b"".join(map(names.__getitem__, ids.tolist()))
+    at = np.concatenate([[0], np.cumsum(lengths[ids])])[stops]
+    if joined == b"".join(texts) and (at == np.cumsum([len(t) for t in texts])).all():
+        return np.ones(len(texts), bool)
+    at = at.tolist()
+    return np.array([joined[i:j] == t for i, j, t in zip([0, *at], at, texts)], bool)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}

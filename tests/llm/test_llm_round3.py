@@ -157,6 +157,40 @@ def test_alignment_memo_is_bounded(monkeypatch):
     assert len(both.memo) <= 50 + 200
 
 
+def test_alignment_learns_a_word_once():
+    """A word, alone or before a sign, goes through each library once."""
+    both = alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    given = []
+
+    class Model:
+        def encode(self, texts, num_threads):
+            given.extend(texts)
+            return model.encode(texts, num_threads=num_threads)
+
+    model, both.b.model = both.b.model, Model()
+    texts = ["alpha, beta. gamma", "alpha beta, alpha.\nbeta gamma,"]
+    got = both.align(texts) + both.align(texts)
+    for g, w in zip(got, _plain_alignment(texts + texts)):
+        assert (g[0], g[1], g[2]) == (w[0], w[1], w[3])
+    words = [t for t in given if t.isalpha()]
+    assert sorted(words) == ["alpha", "beta", "gamma"]
+
+
+def test_alignment_of_mixed_parts():
+    """Words, signs and white space of every kind, in random order."""
+    rng = np.random.default_rng(0)
+    parts = ["foo", "bar,", "É.", "×,", "3, ", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\r", "don't", "Σας.", "日本",
+             "\U00010348", "<|endoftext|>", "~", "(),", "a", ".", ",", "\xa0", "\x0b", "▁", "e\u0301", "ﬁ"]
+    texts = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 14, 1500)]
+    texts += ["a\tb c", "a \tb", "a\t", "a\r\nb\r\n", "\tx", "x\n", "x \n", " x", "x\n ", " \n x", "é, ab.\ncd,\n"]
+    both = alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    got = [r for k in range(0, len(texts), 50) for r in both.align(texts[k:k + 50])]
+    for t, g, w in zip(texts, got, _plain_alignment(texts)):
+        assert (g[0], g[1], g[2]) == (w[0], w[1], w[3]), t
+        links = collections.Counter(a << 32 | b for a, b in w[2])
+        assert dict(zip(map(int, g[3]), map(int, g[4]))) == links, t
+
+
 # ------------------------------------------------------------------ spelling variants
 
 def _plain_vocabulary(rows, least_length, least_count):
