@@ -40,6 +40,20 @@ def test_encoder_equals_library(spark, name, keeps_space):
         assert np.frombuffer(packed, enc.dtype).tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name,keeps_space", FILES)
+def test_encoder_merges_a_word_once(name, keeps_space):
+    """A word, alone or before a sign, goes through the library's merges once."""
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    enc = encode.Encoder(path, keeps_space)
+    given, merges = [], enc.merges
+    enc.merges = lambda word: given.append(word) or merges(word)
+    texts = ["x alpha, béta. gamma", "x alpha béta, alpha. béta gamma,", "x 3, ×, É, (a), alpha.. béta,."]
+    for t, packed in zip(texts + texts, enc.packed(texts + texts)):
+        assert np.frombuffer(packed, enc.dtype).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert len(given) == len(set(given)) and sum("lpha" in g for g in given) == 1
+
+
 def test_forget():
     """Encoders dropped between stages come back with the same ids."""
     path, texts = public_tokenizers.path("byte_bpe_50k.json"), [r[1] for r in ODD]
