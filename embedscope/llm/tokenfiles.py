@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from embedscope.llm.encode import encoder
-from embedscope.llm.work import Cuts, delete_path, shared_dir, table
+from embedscope.llm.work import Cuts, delete_path, release_memory, shared_dir, table
 
 END_ID = 0
 BLOCK_IDS = 1024
@@ -216,6 +216,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, keeps_space:
                 [{"part": part, "file": name, "n_docs": len(writer.docs), "n_ids": writer.ids, "bytes": size}],
                 schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()),
                                   ("n_ids", pa.int64()), ("bytes", pa.int64())]))
+        release_memory()
 
     return placed.mapInArrow(run, "part int, file string, n_docs long, n_ids long, bytes long")
 
