@@ -35,7 +35,7 @@ from xxhash import xxh3_64_intdigest
 from embedscope.llm.blocknames import dense_names
 from embedscope.llm.components import components
 from embedscope.llm.encode import forget
-from embedscope.llm.work import Cuts, release_memory, row_keyed, table
+from embedscope.llm.work import Cuts, release_memory, row_keyed, slices, table
 
 BANDS = 48
 ROWS = 6
@@ -130,7 +130,8 @@ def sign(docs: DataFrame, keys: list[str], words: int, bands: int, rows: int) ->
 
     def run(batches):
         forget()
-        for b in batches:
+        b = sets = hashes = None
+        for b in slices(batches, "text"):
             counts, names, hashes, sets, size = [], [], [], [], 0
 
             def flush():
@@ -152,6 +153,7 @@ def sign(docs: DataFrame, keys: list[str], words: int, bands: int, rows: int) ->
                 [b.column(c) for c in passed] + [pa.array(counts, pa.int64()), pa.array(names, pa.binary()),
                                                  pa.array(hashes, pa.list_(pa.int64()))],
                 [*passed, "n_shingles", "set_key", "bands"])
+        b = sets = hashes = None
         release_memory()
 
     return frame.mapInArrow(run, schema)
@@ -276,13 +278,17 @@ def near_groups(docs: DataFrame, keys: list[str], cuts: Cuts, words: int = 5, pe
         picked.hint("merge"), F.col("__id") == F.col("__first")).select("__node", "__key", "text")
 
     def elements(batches):
-        for b in batches:
+        forget()
+        b = made = right = None
+        for b in slices(batches, "text"):
             made = [shingle_set(t, words).tobytes() for t in b.column("text").to_pylist()]
             right = [hashlib.blake2b(m, digest_size=16).digest() == k
                      for m, k in zip(made, b.column("__key").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("__node").filter(pa.array(right)),
                  pa.array([m for m, ok in zip(made, right) if ok], pa.binary())], ["node", "elements"])
+        del b, made, right
+        release_memory()
 
     sets = texts.mapInArrow(elements, "node long, elements binary")
     repeated = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedscope.llm.encode import encoder
-from embedscope.llm.work import Cuts, release_memory, table
+from embedscope.llm.encode import encoder, forget
+from embedscope.llm.work import Cuts, release_memory, slices, table
 
 WINDOW = 4096
 END_ID = 2
@@ -79,19 +79,21 @@ def cut_documents(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: in
     def run(batches):
         enc = encoder(tokenizer, keeps_space)
         end = np.array([end_id], "<u4")
-        for b in batches:
+        b = out = cols = None
+        for b in slices(batches, "text"):
             out, index = [], []
             for i, packed in enumerate(enc.packed(b.column("text").to_pylist())):
                 ids = np.concatenate([np.frombuffer(packed, enc.dtype).astype("<u4"), end])
                 for s in range(0, len(ids), window):
                     data = ids[s:s + window].tobytes()
                     index.append(i)
-                    out.append((s, len(data) // 4, zlib.crc32(data), len(ids), data))
+                    out.append((s, len(data) // 4, zlib.crc32(data), len(ids), data if with_ids else None))
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").take(pa.array(index))] + [pa.array(c, pa.int64()) for c in cols[:4]]
                     + [pa.array(cols[4], pa.binary())] * with_ids, names)
+        del b, out, cols
         release_memory()
 
     return frame.mapInArrow(run, schema)
@@ -114,6 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = False, end_id: int
     groups = max(1, -(-ids // (window * group_windows)))
 
     def run(t: pa.Table) -> pa.Table:
+        forget()
         t = t.sort_by([("length", "descending"), ("__id", "ascending")])
         number, offset = best_fit_decreasing(t["length"].to_pylist(), window)
         base = t["__g"][0].as_py() << 32

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from embedscope.llm.encode import forget
-from embedscope.llm.work import labelled_sample, release_memory
+from embedscope.llm.work import labelled_sample, release_memory, slices
 
 SAMPLE_ROWS = 12_000
 BITS = 20
@@ -151,12 +151,16 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS,
 
 def _featurise(bits: int):
     def run(batches):
+        forget()
         cache = _Hashes()
-        for b in batches:
+        b = cells = None
+        for b in slices(batches, "text"):
             cells = [features(t or "", cache, bits) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("y"), pa.array([c.tobytes() for c, _ in cells], pa.binary()),
                  pa.array([v.tobytes() for _, v in cells], pa.binary())], ["doc_id", "y", "cells", "vals"])
+        del cache, b, cells
+        release_memory()
     return run
 
 
@@ -169,6 +173,7 @@ def trained(sample: DataFrame, learn) -> list[np.ndarray]:
     """
 
     def run(batches):
+        forget()
         rows = []
         for b in batches:
             rows += zip(map(str, b.column("doc_id").to_pylist()), b.column("y").to_pylist(),
@@ -178,6 +183,8 @@ def trained(sample: DataFrame, learn) -> list[np.ndarray]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(made)), pa.int32()), pa.array([m.dtype.str for m in made]),
              pa.array([m.tobytes() for m in made], pa.binary())], ["part", "kind", "data"])
+        del rows, made
+        release_memory()
 
     parts = sample.repartition(1).mapInArrow(run, "part int, kind string, data binary").collect()
     if not parts:  # an empty plan runs no task
@@ -208,15 +215,15 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], bits: int = BIT
 
     def run(batches):
         forget()
-        cache, w = _Hashes(), shared.value
-        for b in batches:
+        cache, w, b = _Hashes(), shared.value, None
+        for b in slices(batches, "__text"):
             out = []
             for t in b.column("__text").to_pylist():
                 idx, x = features(t or "", cache, bits)
                 out.append(sigmoid(float(w[idx].astype(np.float64) @ x)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in keep] + [pa.array(out, pa.float64())], [*keep, "score"])
-        del cache
+        del cache, b
         release_memory()
 
     return frame.mapInArrow(run, schema.add("score", "double"))

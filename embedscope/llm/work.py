@@ -12,14 +12,19 @@ from __future__ import annotations
 import ctypes
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedscope.session import ensure_checkpoint_dir
 from embedscope.sources.tables import table
 
-__all__ = ["table", "Cuts", "labelled_sample", "row_keyed", "shared_dir", "delete_path", "release_memory"]
+__all__ = ["table", "Cuts", "labelled_sample", "row_keyed", "shared_dir", "delete_path", "release_memory",
+           "slices"]
+
+SLICE_BYTES = 4 << 20
 
 
 def release_memory() -> None:
@@ -31,6 +36,18 @@ def release_memory() -> None:
         trim(0)
 
 
+def slices(batches, column: str, bound: int = SLICE_BYTES):
+    """All rows of ``batches`` in their order, in runs whose texts in ``column`` have
+    at most ``bound`` bytes and one row's more: what a task makes of a run is then
+    small, however large Spark's batches are."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column).cast(pa.large_string())), 0)
+        run = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64) // bound
+        ends = [*(np.flatnonzero(np.diff(run)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip([0, *ends], ends):
+            yield b.slice(lo, hi - lo)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the session's checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
