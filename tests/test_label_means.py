@@ -74,3 +74,25 @@ def test_unit_vectors_bind_their_norm(spark):
     assert str(V.normalize("v")).count("aggregate") == 1
     df = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None)], "id int, v array<double>")
     assert [r[0] for r in df.orderBy("id").select(V.normalize("v")).collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+
+
+def test_cosine_distances_of_columns():
+    """The rule of the row-wise expression: missing, zero and odd vectors are at distance 1."""
+    import pyarrow as pa
+    from embedscope.operators.agreement import _cosine_distances
+    a = pa.array([[1.0, 0.0], [0.0, 0.0], None, [1.0, None], [1.0, 2.0, 3.0], [1.0], [], [float("nan"), 1.0], [3.0, 4.0]], pa.list_(pa.float64()))
+    b = pa.array([[-2.0, 0.0], [1.0, 0.0], [1.0, 0.0], [1.0, 1.0], [2.0, 4.0, 6.0], [1.0, 1.0], [], [1.0, 1.0], [4.0, 3.0]], pa.list_(pa.float64()))
+    assert _cosine_distances(a, b) == pytest.approx([2.0, 1.0, 1.0, 1.0, 0.0, 1.0, 1.0, 2.0, 1 - 24 / 25])
+
+
+def test_document_tokens(spark, monkeypatch):
+    """Every ASCII character: only white space parts tokens; slices of a few bytes give the same vectors."""
+    from embedscope.operators import featurize as T
+    every = "".join(f"{chr(c)}x{chr(c)}{chr(c)}é" for c in range(1, 128))
+    texts = spark.createDataFrame([(i, every[i:] + " a" * i) for i in range(12)] + [(90, None), (91, "  \t")], "id bigint, text string")
+    want = {r["id"]: r["embedding"] for r in T.text_embeddings(texts).collect()}
+    assert {r["id"]: r["embedding"] for r in T.document_vectors(texts).collect()} == want
+    import pyarrow as pa
+    monkeypatch.setattr(T, "TEXT_BYTES", 3)
+    batch = pa.record_batch([pa.array([0, 1, 2, 3]), pa.array(["ab", None, "c", "long text"])], ["id", "text"])
+    assert [s.num_rows for s in T._text_slices(batch)] == [3, 1]
